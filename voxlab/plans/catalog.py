@@ -19,3 +19,8 @@ def register(name: str, fn, sql: str | None = None) -> None:
 
 
 register("holdout_screening", screening.holdout_screening, screening.holdout_screening_sql())
+
+from . import explore  # noqa: E402
+
+for _n, (_f, _s) in explore.QUERIES.items():
+    register(_n, _f, _s)
