@@ -24,3 +24,8 @@ from . import explore  # noqa: E402
 
 for _n, (_f, _s) in explore.QUERIES.items():
     register(_n, _f, _s)
+
+from . import signals  # noqa: E402
+
+for _n, (_f, _s) in signals.QUERIES.items():
+    register(_n, _f, _s)
