@@ -293,3 +293,51 @@ QUERIES = {
     "delay_vectors": (q_delay_vectors, SQL_DELAY_VECTORS),
     "trim_silence": (q_trim_silence, SQL_TRIM_SILENCE),
 }
+
+
+# --- M19: full voice-feature row ----------------------------------------------
+
+def q_voice_features(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.voice import voice_features
+    fr = frames_r(spark, sf)
+    pu = series_pulses(spark, sf)
+    v = voice_features(fr, pu)
+    # same per-measure rounding as the single-measure queries
+    digits = {"MDVP:Fo(Hz)": 4, "DFA": 5, "MDVP:Jitter(Abs)": 9, "MDVP:RAP": 9, "MDVP:PPQ": 9, "Jitter:DDP": 9}
+    cols = []
+    for f in C.LABELLED_FEATURES:
+        c = F.col(f"`{f}`")
+        if f == "MDVP:Jitter(%)":
+            cols.append((F.round(c / 100.0, 9) * 100.0).alias(f))
+        else:
+            cols.append(F.round(c, digits.get(f, 6)).alias(f))
+    return v.select(REC, *cols)
+
+
+def _voice_sql() -> str:
+    parts = {
+        "a": (SQL_F0_SUMMARY, {"f0_mean": "MDVP:Fo(Hz)", "f0_max": "MDVP:Fhi(Hz)", "f0_min": "MDVP:Flo(Hz)"}),
+        "b": (SQL_JITTER, {"jitter_local * 100.0": "MDVP:Jitter(%)", "jitter_abs": "MDVP:Jitter(Abs)",
+                           "jitter_rap": "MDVP:RAP", "jitter_ppq5": "MDVP:PPQ", "jitter_ddp": "Jitter:DDP"}),
+        "c": (SQL_SHIMMER, {"shimmer_local": "MDVP:Shimmer", "shimmer_db": "MDVP:Shimmer(dB)",
+                            "shimmer_apq3": "Shimmer:APQ3", "shimmer_apq5": "Shimmer:APQ5",
+                            "shimmer_apq11": "MDVP:APQ", "shimmer_dda": "Shimmer:DDA"}),
+        "d": (SQL_HARMONICITY, {"NHR": "NHR", "HNR": "HNR"}),
+        "e": (SQL_RPDE, {"RPDE": "RPDE"}),
+        "f": (SQL_DFA, {"DFA": "DFA"}),
+        "g": (SQL_SPREADS, {"spread1": "spread1", "spread2": "spread2"}),
+        "h": (SQL_CORRELATION_DIMENSION, {"D2": "D2"}),
+        "i": (SQL_PPE, {"PPE": "PPE"}),
+    }
+    sel = {}
+    for alias, (_, m) in parts.items():
+        for expr, name in m.items():
+            sel[name] = f'{alias}.{expr} AS "{name}"'
+    joins = " ".join(f"JOIN ({sql}) {alias} USING (recording_id)" for alias, (sql, _) in list(parts.items())[1:])
+    first_alias, (first_sql, _) = next(iter(parts.items()))
+    return (f"SELECT {first_alias}.recording_id, " + ", ".join(sel[f] for f in C.LABELLED_FEATURES) +
+            f" FROM ({first_sql}) {first_alias} {joins}")
+
+
+SQL_VOICE_FEATURES = _voice_sql()
+QUERIES["voice_features"] = (q_voice_features, SQL_VOICE_FEATURES)
