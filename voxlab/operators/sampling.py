@@ -66,3 +66,53 @@ def background_sample(df: DataFrame, keys, n: int = C.BACKGROUND_ROWS, seed: int
     """First ``n`` rows in md5 order (a top-n: each task keeps at most n rows)."""
     k = _keys(keys)
     return df.withColumn("_vx_h", md5_key(seed, k)).orderBy("_vx_h", *k).limit(n).drop("_vx_h")
+
+
+def _u32(seed, tag: str, j) -> "F.Column":
+    """Unsigned 32-bit draw from md5('seed|tag|j') (same in Spark and DuckDB)."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), j.cast("string")))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
+
+
+def smote(df: DataFrame, key: str, feats: Sequence[str], y: str = "status", minority=0, majority=1,
+          ratio: float = C.OVERSAMPLE_RATIO, k: int = C.SMOTE_K, seed: int = C.SEED,
+          num_partitions: int | None = None) -> DataFrame:
+    """Synthetic minority rows by interpolation with a nearest neighbour.
+
+    Target minority size = int(ratio * majority count); ``target - minority``
+    new rows j = 0, 1, ... are made.  Row j takes parent = minority row at
+    md5 position (draw_p(j) mod n_min) + 1, neighbour = its
+    (draw_n(j) mod k')-th nearest other minority row (k' = min(k, n_min - 1)),
+    u = draw_u(j) / 2^32, and features x + u (nn - x).  Draws are md5-based
+    so results are reproducible across engines.  Returns only the new rows:
+    ``(syn_id, parent_<key>, nn_<key>, y, feats…)``.
+    """
+    from .neighbours import knn_self
+    feats = list(feats)
+    counts = df.agg(F.count_if(F.col(y) == minority).alias("n_min"),
+                    F.count_if(F.col(y) == majority).alias("n_maj")).first()
+    n_min, n_maj = int(counts["n_min"]), int(counts["n_maj"])
+    target = int(n_maj * ratio)
+    n_new = target - n_min
+    spark = df.sparkSession
+    schema_cols = ["syn_id", f"parent_{key}", f"nn_{key}", y] + feats
+    if n_new <= 0 or n_min < 2:
+        return spark.createDataFrame([], ", ".join([f"syn_id long, parent_{key} long, nn_{key} long, {y} int"] +
+                                                   [f"`{f}` double" for f in feats]))
+    kk = min(k, n_min - 1)
+    mino = df.where(F.col(y) == minority).select(key, *[F.col(f"`{f}`").cast("double").alias(f) for f in feats])
+    mino = hash_rank(mino, key, [], seed, out="_rk", totals=False).drop("_vx_h")
+    nn = knn_self(mino, key, feats, k=kk, order_key="_rk")
+    syn = spark.range(0, n_new, numPartitions=num_partitions or max(1, min(n_new // 100_000 + 1, 10_000)))
+    j = F.col("id")
+    syn = syn.select(j.alias("syn_id"),
+                     (F.pmod(_u32(seed, "p", j), F.lit(n_min)) + 1).alias("_rk"),
+                     (F.pmod(_u32(seed, "n", j), F.lit(kk)) + 1).alias("pos"),
+                     (_u32(seed, "u", j).cast("double") / F.lit(4294967296.0)).alias("_u"))
+    par = mino.select(F.col(key).alias(f"parent_{key}"), "_rk", *[F.col(f).alias(f"p__{f}") for f in feats])
+    out = syn.join(par, "_rk")
+    out = out.join(nn.select(F.col(key).alias(f"parent_{key}"), "pos", f"nn_{key}"), [f"parent_{key}", "pos"])
+    nb = mino.select(F.col(key).alias(f"nn_{key}"), *[F.col(f).alias(f"n__{f}") for f in feats])
+    out = out.join(nb, f"nn_{key}")
+    return out.select("syn_id", f"parent_{key}", f"nn_{key}", F.lit(minority).cast("int").alias(y),
+                      *[(F.col(f"p__{f}") + F.col("_u") * (F.col(f"n__{f}") - F.col(f"p__{f}"))).alias(f) for f in feats])

@@ -29,3 +29,8 @@ from . import signals  # noqa: E402
 
 for _n, (_f, _s) in signals.QUERIES.items():
     register(_n, _f, _s)
+
+from . import balance  # noqa: E402
+
+for _n, (_f, _s) in balance.QUERIES.items():
+    register(_n, _f, _s)
