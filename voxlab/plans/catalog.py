@@ -34,3 +34,8 @@ from . import balance  # noqa: E402
 
 for _n, (_f, _s) in balance.QUERIES.items():
     register(_n, _f, _s)
+
+from . import models  # noqa: E402
+
+for _n, (_f, _s) in models.QUERIES.items():
+    register(_n, _f, _s)
