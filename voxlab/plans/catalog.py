@@ -39,3 +39,8 @@ from . import models  # noqa: E402
 
 for _n, (_f, _s) in models.QUERIES.items():
     register(_n, _f, _s)
+
+from . import learning  # noqa: E402
+
+for _n, (_f, _s) in learning.QUERIES.items():
+    register(_n, _f, _s)
