@@ -49,3 +49,8 @@ from . import streams  # noqa: E402
 
 for _n, (_f, _s) in streams.QUERIES.items():
     register(_n, _f, _s)
+
+from . import storage  # noqa: E402
+
+for _n, (_f, _s) in storage.QUERIES.items():
+    register(_n, _f, _s)

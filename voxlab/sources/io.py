@@ -89,7 +89,8 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA.add("log_date", T.DateType())).parquet(path)
+    schema = T.StructType(list(LOG_SCHEMA.fields) + [T.StructField("log_date", T.DateType())])
+    return spark.read.schema(schema).parquet(path)
 
 
 def clear_log(spark: SparkSession, path: str) -> None:
