@@ -123,23 +123,35 @@ def histogram_density(df: DataFrame, x: str, rec: str = REC, max_bins: int = C.H
     """Equal-width histogram per group with density values.
 
     bins = min(max_bins, n div 2) over [min, max]; the last bin is closed on
-    the right; density = count / (n * width).  A zero-width range is widened
-    to [v - 0.5, v + 0.5] (all values in the middle bin).  Output
-    ``(rec, bin, count, density, n, bins)``.
+    the right; a zero-width range is widened to [v - 0.5, v + 0.5].  Bin
+    edges are ``lo + k * (hi - lo) / bins`` (last edge = hi) and a value's bin
+    is the scaled index corrected against those edges, so values lying on an
+    edge fall exactly where numpy puts them.  density = count / width / n.
+    Output ``(rec, bin, count, density, n, bins)``.
     """
     st = df.groupBy(rec).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
     st = st.withColumn("bins", F.least(F.lit(max_bins), F.floor(F.col("n") / 2)).cast("int"))
     st = st.withColumns({
         "lo_e": F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.col("lo") - 0.5),
         "hi_e": F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("hi") + 0.5)})
+    st = st.withColumn("step", (F.col("hi_e") - F.col("lo_e")) / F.col("bins"))
     j = df.select(rec, F.col(x).alias("_vx_x")).join(st.where(F.col("bins") > 0), rec)
-    norm = F.col("bins") / (F.col("hi_e") - F.col("lo_e"))
-    b = F.least(F.floor((F.col("_vx_x") - F.col("lo_e")) * norm), F.col("bins") - 1).cast("int")
-    h = j.groupBy(rec, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"),
-                                           F.first("n").alias("n"), F.first("bins").alias("bins"),
-                                           F.first("lo_e").alias("lo_e"), F.first("hi_e").alias("hi_e"))
-    width = (F.col("hi_e") - F.col("lo_e")) / F.col("bins")
-    return h.select(rec, "bin", "count", (F.col("count") / (F.col("n") * width)).alias("density"), "n", "bins")
+    bins, lo_e, hi_e, step, v = F.col("bins"), F.col("lo_e"), F.col("hi_e"), F.col("step"), F.col("_vx_x")
+
+    def edge(k):
+        return F.when(k == bins, hi_e).otherwise(k.cast("double") * step + lo_e)
+
+    i0 = F.least(F.floor(((v - lo_e) / (hi_e - lo_e)) * bins), bins - 1).cast("int")
+    j = j.withColumn("_vx_i", i0)
+    i1 = F.when(v < edge(F.col("_vx_i")), F.col("_vx_i") - 1).otherwise(F.col("_vx_i"))
+    j = j.withColumn("_vx_i", i1)
+    i2 = F.when((v >= edge(F.col("_vx_i") + 1)) & (F.col("_vx_i") != bins - 1), F.col("_vx_i") + 1).otherwise(F.col("_vx_i"))
+    j = j.withColumn("bin", i2)
+    h = j.groupBy(rec, "bin").agg(F.count(F.lit(1)).alias("count"), F.first("n").alias("n"), F.first("bins").alias("bins"),
+                                  F.first("lo_e").alias("lo_e"), F.first("hi_e").alias("hi_e"), F.first("step").alias("step"))
+    bins, lo_e, hi_e, step = F.col("bins"), F.col("lo_e"), F.col("hi_e"), F.col("step")
+    width = edge(F.col("bin") + 1) - edge(F.col("bin"))
+    return h.select(rec, "bin", "count", (F.col("count") / width / F.col("n")).alias("density"), "n", "bins")
 
 
 def density_entropy(hist: DataFrame, rec: str = REC) -> DataFrame:

@@ -114,15 +114,23 @@ FROM recs r LEFT JOIN a USING (recording_id)"""
 
 
 def _entropy_sql(src: str, col: str, default: float, out: str) -> str:
+    def edge(k):
+        return f"(CASE WHEN {k} = bins THEN hi_e ELSE CAST({k} AS DOUBLE) * step + lo_e END)"
     return f"""
 st_{out} AS (SELECT recording_id, count(*) n, min({col}) lo, max({col}) hi FROM {src} GROUP BY 1),
-st2_{out} AS (SELECT *, least(20, n // 2) AS bins,
-                  CASE WHEN hi > lo THEN lo ELSE lo - 0.5 END AS lo_e,
-                  CASE WHEN hi > lo THEN hi ELSE hi + 0.5 END AS hi_e FROM st_{out}),
-hb_{out} AS (SELECT s.recording_id, least(floor(({col} - lo_e) * (bins / (hi_e - lo_e))), bins - 1) AS bin,
-                count(*) AS c, any_value(n) AS n, any_value(bins) AS bins, any_value(lo_e) AS lo_e, any_value(hi_e) AS hi_e
-         FROM {src} s JOIN st2_{out} USING (recording_id) WHERE bins > 0 GROUP BY 1, 2),
-de_{out} AS (SELECT recording_id, c / (n * ((hi_e - lo_e) / bins)) AS h FROM hb_{out}),
+st2_{out} AS (SELECT *, (hi_e - lo_e) / bins AS step FROM (
+                SELECT *, least(20, n // 2) AS bins,
+                       CASE WHEN hi > lo THEN lo ELSE lo - 0.5 END AS lo_e,
+                       CASE WHEN hi > lo THEN hi ELSE hi + 0.5 END AS hi_e FROM st_{out})),
+b0_{out} AS (SELECT s.recording_id, {col} AS v, bins, lo_e, hi_e, step, n,
+                    CAST(least(floor((({col} - lo_e) / (hi_e - lo_e)) * bins), bins - 1) AS INTEGER) AS i0
+             FROM {src} s JOIN st2_{out} USING (recording_id) WHERE bins > 0),
+b1_{out} AS (SELECT *, CASE WHEN v < {edge('i0')} THEN i0 - 1 ELSE i0 END AS i1 FROM b0_{out}),
+b2_{out} AS (SELECT *, CASE WHEN v >= {edge('(i1 + 1)')} AND i1 <> bins - 1 THEN i1 + 1 ELSE i1 END AS bin FROM b1_{out}),
+hb_{out} AS (SELECT recording_id, bin, count(*) AS c, any_value(n) AS n, any_value(bins) AS bins,
+                    any_value(lo_e) AS lo_e, any_value(hi_e) AS hi_e, any_value(step) AS step
+             FROM b2_{out} GROUP BY 1, 2),
+de_{out} AS (SELECT recording_id, c / ({edge('(bin + 1)')} - {edge('bin')}) / n AS h FROM hb_{out}),
 en_{out} AS (SELECT recording_id, -sum(h * ln(h + 1e-12)) AS hh, count(*) AS k FROM de_{out} WHERE h > 0 GROUP BY 1),
 res_{out} AS (
   SELECT r.recording_id,
