@@ -255,7 +255,8 @@ def dfa(signal: DataFrame, rec: str = REC, all_recordings: DataFrame | None = No
 # ---------------------------------------------------------------------------
 
 def _ratio_ok(a: Column, b: Column, limit: float) -> Column:
-    return (F.greatest(a, b) / F.least(a, b)) <= F.lit(limit)
+    """max/min of two positives within ``limit``; an undefined ratio (a zero) is not ok."""
+    return F.coalesce(F.try_divide(F.greatest(a, b), F.least(a, b)) <= F.lit(limit), F.lit(False))
 
 
 def periods(pulses: DataFrame, rec: str = REC) -> DataFrame:
@@ -336,7 +337,7 @@ def shimmer(pulses: DataFrame, t_min: float = C.JITTER_T_MIN, t_max: float = C.J
     agg = s.groupBy(rec).agg(
         F.avg(a[0]).alias("mean_A"),
         F.avg(F.when(window_ok(-1, 0), F.abs(a[0] - a[-1]))).alias("loc_"),
-        F.avg(F.when(window_ok(-1, 0), F.abs(F.lit(20.0) * F.log10(a[0] / a[-1])))).alias("db_"),
+        F.avg(F.when(window_ok(-1, 0), F.abs(F.lit(20.0) * F.log10(F.try_divide(a[0], a[-1]))))).alias("db_"),
         apq(1).alias("apq3_"), apq(2).alias("apq5_"), apq(5).alias("apq11_"))
     g = lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
     out = recordings(pulses, rec).join(agg, rec, "left")
@@ -379,7 +380,8 @@ def trim_silence(samples: DataFrame, top_db: float = 60.0, frame: int = 2048, re
     s = s.withColumn("_vx_f", F.floor(F.col("i") / frame))
     fr = s.groupBy(rec, "_vx_f").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
     mx = fr.groupBy(rec).agg(F.max("rms").alias("mx"))
-    loud = fr.join(mx, rec).where((F.col("mx") > 0) & (F.lit(20.0) * F.log10(F.col("rms") / F.col("mx")) > -top_db))
+    level = F.lit(20.0) * F.log10(F.try_divide(F.col("rms"), F.col("mx")))
+    loud = fr.join(mx, rec).where((F.col("mx") > 0) & F.coalesce(level > -top_db, F.lit(False)))
     span = loud.groupBy(rec).agg(F.min("_vx_f").alias("f_lo"), F.max("_vx_f").alias("f_hi"))
     return s.join(span, rec).where(F.col("_vx_f").between(F.col("f_lo"), F.col("f_hi"))) \
         .drop("_vx_f", "f_lo", "f_hi")

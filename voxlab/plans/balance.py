@@ -21,7 +21,7 @@ def imbalanced_docs(spark: SparkSession, sf: str) -> DataFrame:
     doc = read_table(spark, sf, "documents").select("doc_id", "n_chars", "source")
     return lab.join(doc, "doc_id").select(
         "doc_id", F.col("quality").alias("status"), F.col("n_chars").cast("double").alias("n_chars"),
-        F.col("toxic").cast("double").alias("toxic"), F.substring("source", 4, 10).cast("double").alias("src"))
+        F.col("toxic").cast("double").alias("toxic"), F.substring("source", 4, 10).try_cast("double").alias("src"))
 
 
 def q_smote(spark: SparkSession, sf: str) -> DataFrame:

@@ -39,7 +39,7 @@ def labelled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("event_type") == "purchase").cast("int").alias("status"),
                     F.col("value").cast("double").alias("value"),
                     F.hour("ts").cast("double").alias("hour"),
-                    F.get_json_object("props", "$.k").cast("double").alias("k"),
+                    F.get_json_object("props", "$.k").try_cast("double").alias("k"),
                     F.col("user_n").cast("double").alias("user_n"),
                     F.col("user_mean").cast("double").alias("user_mean")))
 
@@ -52,7 +52,7 @@ def longitudinal_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.year("o_orderdate").cast("double").alias("year"),
                     F.month("o_orderdate").cast("double").alias("month"),
                     F.dayofweek("o_orderdate").cast("double").alias("dow"),
-                    F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"),
+                    F.substring("o_orderpriority", 1, 1).try_cast("double").alias("priority"),
                     (F.col("o_orderstatus") == "F").cast("double").alias("is_f"))
 
 
