@@ -85,6 +85,45 @@ def voiced_series(frames: DataFrame, f0: str = "f0", order: str = "frame_idx", r
     return dense_index(v, order, rec)
 
 
+def lag_diff(df: DataFrame, x: str, rec: str = REC, i: str = "i", out: str | None = None) -> DataFrame:
+    """``x_i - x_{i-1}`` along the dense index (null for the first row)."""
+    s = stencil(df, [x], [-1], rec, i)
+    return s.select(rec, i, F.col(f"{x}_p0").alias(x), (F.col(f"{x}_p0") - F.col(f"{x}_m1")).alias(out or f"{x}_diff"))
+
+
+def centred_mean(df: DataFrame, x: str, width: int, rec: str = REC, i: str = "i", out: str | None = None) -> DataFrame:
+    """Centred moving mean over ``width`` (odd) points; only full frames."""
+    h = width // 2
+    s = stencil(df, [x], [o for o in range(-h, h + 1) if o != 0], rec, i)
+    parts = [F.col(f"{x}_{_tag(o)}") for o in range(-h, h + 1)]
+    full = F.lit(True)
+    for c in parts:
+        full = full & c.isNotNull()
+    m = sum(parts[1:], parts[0]) / float(width)
+    return s.where(full).select(rec, i, F.col(f"{x}_p0").alias(x), m.alias(out or f"{x}_mean{width}"))
+
+
+def segment(df: DataFrame, s: int, n_col: str = "n", i: str = "i") -> DataFrame:
+    """Segment ``i div s`` and in-segment index ``i mod s``; segments start
+    at 0, s, 2s, ... while start < n - s (an exact final segment is lost)."""
+    seg = F.floor(F.col(i) / s)
+    return df.withColumns({"seg": seg, "k": F.col(i) % s}).where(seg * s < F.col(n_col) - s)
+
+
+def minmax(df: DataFrame, x: str, rec: str = REC, eps: float = 1e-6, out: str | None = None) -> DataFrame:
+    """``(x - min) / ((max - min) + eps)`` inside each group (group
+    extremes by partial aggregation, joined back)."""
+    st = df.groupBy(rec).agg(F.min(x).alias("_vx_mn"), F.max(x).alias("_vx_mx"))
+    return df.join(st, rec).withColumn(out or f"{x}_norm", (F.col(x) - F.col("_vx_mn")) /
+                                       ((F.col("_vx_mx") - F.col("_vx_mn")) + F.lit(eps))).drop("_vx_mn", "_vx_mx")
+
+
+def over_max(df: DataFrame, x: str, rec: str = REC, out: str | None = None) -> DataFrame:
+    """``x / max(x)`` inside each group (null when the maximum is 0)."""
+    st = df.groupBy(rec).agg(F.max(x).alias("_vx_mx"))
+    return df.join(st, rec).withColumn(out or f"{x}_share", F.try_divide(F.col(x), F.col("_vx_mx"))).drop("_vx_mx")
+
+
 # ---------------------------------------------------------------------------
 # f0 summary and spreads
 # ---------------------------------------------------------------------------

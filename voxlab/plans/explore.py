@@ -404,3 +404,34 @@ QUERIES = {
     "validate_input": (q_validate_input, SQL_VALIDATE_INPUT),
     "oversample_target": (q_oversample_target, SQL_OVERSAMPLE_TARGET),
 }
+
+
+# --- F1 / F3 / P2 / P4 / P5 / P6 / P9 / P11 / P17: projections and class filters ----
+
+def q_class_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Numeric columns minus an exclusion set, ordered intersection with a
+    wanted list, optional and strict drops, class filter, positive filter,
+    casts, and the feature values in long form."""
+    li = read_table(spark, sf, "lineitem")
+    li = li.withColumn("status", (F.col("l_returnflag") == "R").cast("int"))
+    li = P.drop_if_present(li, ["absent_col", "l_comment"])
+    li = P.drop_strict(li, ["l_linestatus"])
+    num = P.numeric_columns(li, exclude=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "status"])
+    feats = P.common_columns(li, ["l_tax", "absent_feature"] + [c for c in num if c != "l_tax"])
+    sel = P.class_filter(li, "status", 1, ["l_orderkey", "l_linenumber"] + feats)
+    sel = P.positive(sel, "l_discount")
+    sel = P.cast_columns(sel, {"l_linenumber": "long"})
+    arr = sel.select("l_orderkey", "l_linenumber", F.array(*[F.col(f) for f in feats]).alias("vals"))
+    return P.explode_named(arr, "vals", feats, keep=["l_orderkey", "l_linenumber"]) \
+        .select("l_orderkey", "l_linenumber", "feature", F.round("value", 6).alias("value"))
+
+
+SQL_CLASS_VIEW = """
+WITH s AS (SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, feature, round(value, 6) AS value FROM (
+  SELECT l_orderkey, l_linenumber, 'l_tax' AS feature, l_tax AS value FROM s UNION ALL
+  SELECT l_orderkey, l_linenumber, 'l_quantity', l_quantity FROM s UNION ALL
+  SELECT l_orderkey, l_linenumber, 'l_extendedprice', l_extendedprice FROM s UNION ALL
+  SELECT l_orderkey, l_linenumber, 'l_discount', l_discount FROM s)"""
+
+QUERIES["class_view"] = (q_class_view, SQL_CLASS_VIEW)

@@ -349,3 +349,36 @@ def _voice_sql() -> str:
 
 SQL_VOICE_FEATURES = _voice_sql()
 QUERIES["voice_features"] = (q_voice_features, SQL_VOICE_FEATURES)
+
+
+# --- W1 / W2 / W7 / W8 / X5: neighbour and group-relative columns -----------------
+
+def q_series_windows(spark: SparkSession, sf: str) -> DataFrame:
+    v = SG.voiced_series(series_frames(spark, sf))
+    d = SG.lag_diff(v, "x")
+    m3 = SG.centred_mean(v, "x", 3).select(REC, "i", "x_mean3")
+    m11 = SG.centred_mean(v, "x", 11).select(REC, "i", "x_mean11")
+    per = v.withColumn("period", F.lit(1.0) / (F.col("x") + F.lit(1e-6)))
+    mm = SG.over_max(SG.minmax(per, "period"), "x").select(REC, "i", "period_norm", "x_share")
+    out = d.join(m3, [REC, "i"], "left").join(m11, [REC, "i"], "left").join(mm, [REC, "i"])
+    return out.select(REC, "i", *[F.round(c, 6).alias(c) for c in ("x", "x_diff", "x_mean3", "x_mean11",
+                                                                   "period_norm", "x_share")])
+
+
+SQL_SERIES_WINDOWS = "WITH " + FRAMES + """,
+w AS (SELECT recording_id, i, x, x - lag(x) OVER o AS x_diff,
+             CASE WHEN lag(x) OVER o IS NOT NULL AND lead(x) OVER o IS NOT NULL
+                  THEN (lag(x) OVER o + x + lead(x) OVER o) / 3.0 END AS x_mean3,
+             1.0 / (x + 1e-6) AS period, count(*) OVER (PARTITION BY recording_id) AS n
+      FROM vf WINDOW o AS (PARTITION BY recording_id ORDER BY i)),
+w11 AS (SELECT recording_id, i,
+               CASE WHEN i >= 5 AND i < n - 5 THEN (""" + " + ".join(
+    [f"lag(x, {k}) OVER o" for k in range(5, 0, -1)] + ["x"] + [f"lead(x, {k}) OVER o" for k in range(1, 6)]) + """) / 11.0 END AS x_mean11
+        FROM w WINDOW o AS (PARTITION BY recording_id ORDER BY i)),
+g AS (SELECT recording_id, min(period) AS pmn, max(period) AS pmx, max(x) AS xmx FROM w GROUP BY 1)
+SELECT w.recording_id, w.i, round(x, 6) AS x, round(x_diff, 6) AS x_diff, round(x_mean3, 6) AS x_mean3,
+       round(x_mean11, 6) AS x_mean11, round((period - pmn) / ((pmx - pmn) + 1e-6), 6) AS period_norm,
+       round(x / xmx, 6) AS x_share
+FROM w JOIN w11 USING (recording_id, i) JOIN g USING (recording_id)"""
+
+QUERIES["series_windows"] = (q_series_windows, SQL_SERIES_WINDOWS)
