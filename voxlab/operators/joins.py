@@ -57,15 +57,27 @@ def band_join(df: DataFrame, score: str, bands: DataFrame | None = None, roundin
     return j.withColumns(cols).drop("_vx_lo", "_vx_hi", "_vx_label", "_vx_color")
 
 
-def apply_scaler(df: DataFrame, params: DataFrame, feats: Sequence[str], suffix: str = "") -> DataFrame:
-    """Standardise ``feats`` with a fitted one-row parameter table.
-
-    ``params`` has ``mu_<f>`` and ``sd_<f>`` columns (see ``stats.fit_scaler``).
-    It enters as one scalar subquery -- computed once, shipped to every task
-    as a constant -- instead of a join.
+def scaler_params(params) -> dict:
+    """Fitted scaler constants as a dict (a one-row frame is fetched; its size
+    is 2 x the number of features, whatever the data size)."""
+    if isinstance(params, dict):
+        return params
+    rows = params.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("scaler parameters must be exactly one row")
+    return rows[0].asDict()
+
+
+def apply_scaler(df: DataFrame, params, feats: Sequence[str], suffix: str = "") -> DataFrame:
+    """Standardise ``feats`` with fitted parameters (``mu_<f>``, ``sd_<f>``).
+
+    Like a fitted Spark ML model, the constants live on the driver and enter
+    the plan as literals, so the transform is one codegen projection with no
+    join and no subquery.
     """
-    p = params.select(F.struct(*[F.col(f"`mu_{f}`") for f in feats] + [F.col(f"`sd_{f}`") for f in feats]).alias("p")).scalar()
-    return df.withColumns({f + suffix: (F.col(f"`{f}`") - p.getField(f"mu_{f}")) / p.getField(f"sd_{f}") for f in feats})
+    p = scaler_params(params)
+    return df.withColumns({f + suffix: (F.col(f"`{f}`") - F.lit(float(p[f"mu_{f}"]))) / F.lit(float(p[f"sd_{f}"]))
+                           for f in feats})
 
 
 def name_lookup(df: DataFrame, idx: str, names: Sequence[str], out: str = "feature") -> DataFrame:

@@ -75,18 +75,20 @@ def prefix_sums(df: DataFrame, by, order, bucket: Column, values: dict[str, Colu
     ``inclusive`` is False).  ``order`` must be a total order inside a group
     for the result to be deterministic.  With ``totals`` the group totals are
     added as ``<name>_total``.
+
+    The bucket totals are aggregated from the windowed rows themselves (already
+    partitioned by ``(by, bucket)``), so the input is shuffled once.
     """
     by = _cols(by)
     order = _cols(order)
     b = df.withColumn(_B, bucket)
     for name, v in values.items():
         b = b.withColumn(f"_vx_v_{name}", v)
-    inner = Window.partitionBy(*by, _B).orderBy(*order)
-    inner = inner.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    inner = Window.partitionBy(*by, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = b
     for name in values:
         local = local.withColumn(f"_vx_l_{name}", F.coalesce(F.sum(f"_vx_v_{name}").over(inner), F.lit(0)))
-    sizes = b.groupBy(*by, _B).agg(*[F.sum(f"_vx_v_{n}").alias(f"_vx_n_{n}") for n in values])
+    sizes = local.groupBy(*by, _B).agg(*[F.sum(f"_vx_v_{n}").alias(f"_vx_n_{n}") for n in values])
     outer = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes
     for name in values:
@@ -96,7 +98,10 @@ def prefix_sums(df: DataFrame, by, order, bucket: Column, values: dict[str, Colu
     keep = [*by, _B] + [f"_vx_o_{n}" for n in values] + ([f"{n}_total" for n in values] if totals else [])
     out = local.join(offs.select(*keep), on=[*by, _B], how="inner")
     for name in values:
-        out = out.withColumn(name, F.col(f"_vx_o_{name}") + F.col(f"_vx_l_{name}"))
+        run = F.col(f"_vx_o_{name}") + F.col(f"_vx_l_{name}")
+        if not inclusive:
+            run = run - F.coalesce(F.col(f"_vx_v_{name}"), F.lit(0))
+        out = out.withColumn(name, run)
     drop = [_B] + [f"_vx_{p}_{n}" for n in values for p in ("v", "l", "o")]
     return out.drop(*drop)
 
