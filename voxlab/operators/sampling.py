@@ -101,8 +101,10 @@ def smote(df: DataFrame, key: str, feats: Sequence[str], y: str = "status", mino
                                                    [f"`{f}` double" for f in feats]))
     kk = min(k, n_min - 1)
     mino = df.where(F.col(y) == minority).select(key, *[F.col(f"`{f}`").cast("double").alias(f) for f in feats])
-    mino = hash_rank(mino, key, [], seed, out="_rk", totals=False).drop("_vx_h")
-    nn = knn_self(mino, key, feats, k=kk, order_key="_rk")
+    # the minority rows feed several jobs (ranking, principal directions,
+    # neighbour bounds, parents): written once to the shared folder
+    from ..session import cut_lineage
+    mino = cut_lineage(hash_rank(mino, key, [], seed, out="_rk", totals=False).drop("_vx_h"))
     syn = spark.range(0, n_new, numPartitions=num_partitions or max(1, min(n_new // 100_000 + 1, 10_000)))
     j = F.col("id")
     syn = syn.select(j.alias("syn_id"),
@@ -110,6 +112,9 @@ def smote(df: DataFrame, key: str, feats: Sequence[str], y: str = "status", mino
                      (F.pmod(_u32(seed, "n", j), F.lit(kk)) + 1).alias("pos"),
                      (_u32(seed, "u", j).cast("double") / F.lit(4294967296.0)).alias("_u"))
     par = mino.select(F.col(key).alias(f"parent_{key}"), "_rk", *[F.col(f).alias(f"p__{f}") for f in feats])
+    # neighbours are needed only for the parents actually drawn
+    parents = syn.select("_rk").distinct().join(mino.select(key, "_rk"), "_rk").select(key)
+    nn = knn_self(mino, key, feats, k=kk, order_key="_rk", query_keys=parents)
     out = syn.join(par, "_rk")
     out = out.join(nn.select(F.col(key).alias(f"parent_{key}"), "pos", f"nn_{key}"), [f"parent_{key}", "pos"])
     nb = mino.select(F.col(key).alias(f"nn_{key}"), *[F.col(f).alias(f"n__{f}") for f in feats])

@@ -39,6 +39,7 @@ def prepared_events(spark: SparkSession, sf: str):
     """Split -> scale on train -> oversample the minority (purchases) -> folds."""
     df = split_stratified(labelled_events(spark, sf), "event_id", "status")
     tr, te, params = standardise(df.where(~F.col("is_test")), df.where(F.col("is_test")), EVENT_FEATURES)
+    tr = cut_lineage(tr)
     syn = smote(tr, "event_id", EVENT_FEATURES, "status", minority=1, majority=0)
     syn = syn.select((F.lit(-1) - F.col("syn_id")).alias("event_id"), "status", *EVENT_FEATURES)
     bal = tr.select("event_id", "status", *EVENT_FEATURES).unionByName(syn)
@@ -79,12 +80,9 @@ def q_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_tree_attribution(spark: SparkSession, sf: str) -> DataFrame:
-    """Attribution of the first hold-out row of every user's upload (the
-    page explains row 0 of each analysis), top 14 by |value|."""
+    """Tree attributions of every hold-out row, top 14 by |value| per row."""
     model, te = _fit_boosted(spark, sf)
-    firsts = te.groupBy("user_id").agg(F.min("event_id").alias("event_id"))
-    first = te.join(firsts, ["user_id", "event_id"])
-    att = tree_attribution(first, "event_id", EVENT_FEATURES, model)
+    att = tree_attribution(te, "event_id", EVENT_FEATURES, model)
     return X.rank_abs(att, "event_id", C.TOP_ATTRIBUTION).select(
         "event_id", "feature", F.round("value", 6).alias("value"), "rank")
 
