@@ -86,11 +86,13 @@ def metrics_document(scored: DataFrame, y: str, model_name: str, model_label: st
                      dataset_note: str, n_features: int, cv_folds: int = C.CV_FOLDS,
                      score_col: str = "p_positive") -> DataFrame:
     """The published metrics row (4-digit rounding, nested confusion matrix)."""
-    rep = binary_report(scored, y, "prediction", score_col)
+    from .project import round_metrics
+    rep = round_metrics(binary_report(scored, y, "prediction", score_col),
+                        ["accuracy", "precision", "recall", "f1", "auc"], 4)
     cm = F.array(F.array(F.col("tn"), F.col("fp")), F.array(F.col("fn"), F.col("tp")))
     return rep.select(F.lit(model_name).alias("model_name"), F.lit(model_label).alias("model_label"),
-                      *[F.round(F.col(c), 4).alias(c) for c in ("accuracy", "precision", "recall", "f1")],
-                      F.round(F.col("auc"), 4).alias("roc_auc"), cm.alias("confusion_matrix"),
+                      "accuracy", "precision", "recall", "f1",
+                      F.col("auc").alias("roc_auc"), cm.alias("confusion_matrix"),
                       F.lit(int(dataset_size)).cast("long").alias("dataset_size"),
                       F.lit(dataset_note).alias("dataset_note"), F.lit(int(n_features)).alias("n_features"),
                       F.lit(int(cv_folds)).alias("cv_folds"))

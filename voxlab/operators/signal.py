@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.scalar import clip
+from ..functions.scalar import clip, when_enough
 from .ordering import block_bucket, exact_percentiles, exact_rank, prefix_sums
 from .project import voiced
 
@@ -103,9 +103,11 @@ def centred_mean(df: DataFrame, x: str, width: int, rec: str = REC, i: str = "i"
     return s.where(full).select(rec, i, F.col(f"{x}_p0").alias(x), m.alias(out or f"{x}_mean{width}"))
 
 
-def segment(df: DataFrame, s: int, n_col: str = "n", i: str = "i") -> DataFrame:
+def segment(df: DataFrame, s, n_col: str = "n", i: str = "i") -> DataFrame:
     """Segment ``i div s`` and in-segment index ``i mod s``; segments start
-    at 0, s, 2s, ... while start < n - s (an exact final segment is lost)."""
+    at 0, s, 2s, ... while start < n - s (an exact final segment is lost).
+    ``s`` is an int or a column."""
+    s = F.lit(s) if isinstance(s, int) else s
     seg = F.floor(F.col(i) / s)
     return df.withColumns({"seg": seg, "k": F.col(i) % s}).where(seg * s < F.col(n_col) - s)
 
@@ -150,8 +152,8 @@ def spreads(frames: DataFrame, f0: str = "f0", rec: str = REC) -> DataFrame:
     n = F.coalesce(F.col("n"), F.lit(0))
     s1 = clip(-F.log(F.abs(F.col("p25") - F.col("p75")) + F.lit(1e-6)), -8.0, -2.0)
     s2 = F.col("sd") / (F.col("mu") + F.lit(1e-6))
-    return j.select(rec, F.when(n > 4, s1).otherwise(F.lit(C.DEFAULT_SPREAD1)).alias("spread1"),
-                    F.when(n > 4, s2).otherwise(F.lit(C.DEFAULT_SPREAD2)).alias("spread2"))
+    return j.select(rec, when_enough(n, 4, s1, C.DEFAULT_SPREAD1).alias("spread1"),
+                    when_enough(n, 4, s2, C.DEFAULT_SPREAD2).alias("spread2"))
 
 
 # ---------------------------------------------------------------------------
@@ -207,8 +209,7 @@ def rpde(frames: DataFrame, f0: str = "f0", rec: str = REC) -> DataFrame:
     n = v.groupBy(rec).agg(F.count(F.lit(1)).alias("n"))
     ent = density_entropy(histogram_density(v, "x", rec), rec)
     j = recordings(frames, rec).join(n, rec, "left").join(ent, rec, "left")
-    return j.select(rec, F.when(F.coalesce(F.col("n"), F.lit(0)) > 10, F.col("entropy"))
-                    .otherwise(F.lit(C.DEFAULT_RPDE)).alias("RPDE"))
+    return j.select(rec, when_enough(F.coalesce(F.col("n"), F.lit(0)), 10, F.col("entropy"), C.DEFAULT_RPDE).alias("RPDE"))
 
 
 def ppe(frames: DataFrame, f0: str = "f0", rec: str = REC) -> DataFrame:
@@ -219,8 +220,7 @@ def ppe(frames: DataFrame, f0: str = "f0", rec: str = REC) -> DataFrame:
                                       ((F.col("pmax") - F.col("pmin")) + F.lit(1e-6))).alias("pn"))
     ent = density_entropy(histogram_density(pn, "pn", rec), rec)
     j = recordings(frames, rec).join(st.select(rec, "n"), rec, "left").join(ent, rec, "left")
-    return j.select(rec, F.when(F.coalesce(F.col("n"), F.lit(0)) > 10, F.col("entropy"))
-                    .otherwise(F.lit(C.DEFAULT_PPE)).alias("PPE"))
+    return j.select(rec, when_enough(F.coalesce(F.col("n"), F.lit(0)), 10, F.col("entropy"), C.DEFAULT_PPE).alias("PPE"))
 
 
 # ---------------------------------------------------------------------------
@@ -272,8 +272,7 @@ def dfa(signal: DataFrame, rec: str = REC, all_recordings: DataFrame | None = No
     y = prefix_sums(c, [rec], ["i"], block_bucket(F.col("i")), {"y": F.col("_vx_d")})
     seg = y.select(rec, "i", "y").join(st.select(rec, "L", "scales"), rec) \
         .select(rec, "i", "y", "L", F.explode("scales").alias("s"))
-    seg = seg.withColumns({"seg": F.floor(F.col("i") / F.col("s")), "k": (F.col("i") % F.col("s")).cast("double")})
-    seg = seg.where(F.col("seg") * F.col("s") < F.col("L") - F.col("s"))
+    seg = segment(seg, F.col("s"), "L").withColumn("k", F.col("k").cast("double"))
     per = seg.groupBy(rec, "s", "seg").agg(
         F.regr_sxx("y", "k").alias("sxx"), F.regr_sxy("y", "k").alias("sxy"), F.regr_syy("y", "k").alias("syy"),
         F.count(F.lit(1)).alias("m"))

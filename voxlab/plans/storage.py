@@ -28,14 +28,15 @@ def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     IO.write_csv(longitudinal_orders(spark, sf), path)
     typed = IO.read_features(spark, path, LONG_SCHEMA)
     loose = IO.read_longitudinal(spark, path, keep=["o_orderkey", "target"])
-    return typed.join(loose.withColumnRenamed("target", "target_loose"), "o_orderkey")
+    upload = IO.read_upload(spark, path).select("o_orderkey", F.col("is_f").alias("is_f_inferred"))
+    return typed.join(loose.withColumnRenamed("target", "target_loose"), "o_orderkey").join(upload, "o_orderkey")
 
 
 SQL_CSV_ROUNDTRIP = """
 SELECT o_orderkey, o_custkey AS subject, o_totalprice AS target, CAST(year(o_orderdate) AS DOUBLE) AS year,
        CAST(month(o_orderdate) AS DOUBLE) AS month, CAST(dayofweek(o_orderdate) + 1 AS DOUBLE) AS dow,
        CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS priority, CAST(o_orderstatus = 'F' AS DOUBLE) AS is_f,
-       o_totalprice AS target_loose
+       o_totalprice AS target_loose, CAST(o_orderstatus = 'F' AS DOUBLE) AS is_f_inferred
 FROM orders"""
 
 
