@@ -48,3 +48,15 @@ def test_value_bucket_monotone(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
     b = [r.b for r in df.select("i", value_bucket(F.col("x")).alias("b")).orderBy("i").collect()]
     assert b == sorted(b)
+
+
+def test_percentiles_heavy_duplicates(spark):
+    rng = np.random.default_rng(11)
+    vals = rng.integers(0, 5, 3000).astype(float)
+    df = spark.createDataFrame([(int(i % 2), float(v)) for i, v in enumerate(vals)], "g int, x double")
+    ps = [0.01, 0.25, 0.5, 0.77, 0.99]
+    got = {(r.g, r.p): r.value for r in exact_percentiles(df, ["g"], "x", ps).collect()}
+    for g in range(2):
+        arr = vals[g::2]
+        for p in ps:
+            assert abs(got[(g, p)] - np.percentile(arr, p * 100)) < 1e-12

@@ -118,23 +118,44 @@ def exact_percentiles(df: DataFrame, by, value: str, probs: Sequence[float],
     """Exact percentiles with linear interpolation (numpy / DuckDB ``quantile_cont``).
 
     Returns one row per group and probability: ``(*by, p, value)``.  Nulls
-    are ignored.  The needed order statistics are fetched with an equi-join
-    on ``(group, rank)``, so a large group is read by many tasks.
+    are ignored.  Plan:
+
+    1. ``(group, value) -> count`` with map-side partial aggregation, so
+       heavily repeated values collapse before any shuffle;
+    2. running counts over the distinct values by log-spaced value buckets
+       (``prefix_sums``): a distinct value covers positions
+       ``[cum - count, cum)``;
+    3. each needed position finds its bucket in the bounded bucket-offset
+       table, then its value by an equi-join on ``(group, bucket)``.
+
+    No task ever holds a whole group.
     """
     by = _cols(by)
-    base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_vx_x"))
-    ranked = exact_rank(base, by, ["_vx_x"], value_bucket(F.col("_vx_x"), per_octave), out="_vx_r")
+    x = F.col(value).cast("double")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, x.alias("_vx_x")).agg(F.count(F.lit(1)).alias("_vx_c"))
+    counts = counts.withColumn(_B, value_bucket(F.col("_vx_x"), per_octave))
+    cum = prefix_sums(counts, by, ["_vx_x"], F.col(_B), {"_vx_cum": F.col("_vx_c")}, inclusive=True, totals=True)
+    cum = cum.withColumn(_B, value_bucket(F.col("_vx_x"), per_octave))
+    # bucket table: [start, end) positions of each bucket (bounded per group)
+    bt = cum.groupBy(*by, _B).agg(F.min(F.col("_vx_cum") - F.col("_vx_c")).alias("_vx_bs"),
+                                  F.max("_vx_cum").alias("_vx_be"), F.first("_vx_cum_total").alias("_vx_n"))
     n = F.col("_vx_n")
-    tgt = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_vx_n")).select(*by, F.explode(F.array(*[
+    tgt = bt.select(*by, "_vx_n").distinct().select(*by, F.explode(F.array(*[
         F.struct(F.lit(float(p)).alias("p"),
                  F.floor(F.lit(float(p)) * (n - 1)).cast("long").alias("lo"),
                  (F.lit(float(p)) * (n - 1) - F.floor(F.lit(float(p)) * (n - 1))).alias("frac"))
         for p in probs])).alias("t")).select(*by, "t.p", "t.lo", "t.frac")
     need = tgt.select(*by, "p", "frac", F.explode(F.array(
-        F.struct((F.col("lo") + 1).alias("_vx_r"), F.lit(0).alias("which")),
-        F.struct((F.col("lo") + 2).alias("_vx_r"), F.lit(1).alias("which")))).alias("k"))
-    need = need.select(*by, "p", "frac", "k._vx_r", "k.which")
-    hit = need.join(ranked, on=[*by, "_vx_r"], how="left")
+        F.struct(F.col("lo").alias("_vx_pos"), F.lit(0).alias("which")),
+        F.struct(F.least(F.col("lo") + 1, F.col("lo")).alias("_vx_pos"), F.lit(1).alias("which")))).alias("k")) \
+        .select(*by, "p", "frac", "k._vx_pos", "k.which")
+    # the upper neighbour only matters when frac > 0; it is position lo + 1
+    need = need.withColumn("_vx_pos", F.when(F.col("which") == 1, F.col("_vx_pos") + F.when(F.col("frac") > 0, 1).otherwise(0))
+                           .otherwise(F.col("_vx_pos")))
+    located = need.join(bt, by).where((F.col("_vx_pos") >= F.col("_vx_bs")) & (F.col("_vx_pos") < F.col("_vx_be"))) \
+        .select(*by, "p", "frac", "which", "_vx_pos", _B)
+    hit = located.join(cum.select(*by, _B, "_vx_x", "_vx_c", "_vx_cum"), [*by, _B]) \
+        .where((F.col("_vx_pos") >= F.col("_vx_cum") - F.col("_vx_c")) & (F.col("_vx_pos") < F.col("_vx_cum")))
     agg = hit.groupBy(*by, "p", "frac").agg(
         F.max(F.when(F.col("which") == 0, F.col("_vx_x"))).alias("_lo_v"),
         F.max(F.when(F.col("which") == 1, F.col("_vx_x"))).alias("_hi_v"))
