@@ -92,7 +92,7 @@ GRID_FOREST = {"n_estimators": [100, 200], "max_depth": [None, 5, 10], "min_samp
 GRID_SVM = {"C": [0.1, 1, 10], "kernel": ["rbf", "linear"], "gamma": ["scale", "auto"]}
 GRID_BOOSTED = {"n_estimators": [100, 200], "max_depth": [3, 5], "learning_rate": [0.05, 0.1], "subsample": [0.8, 1.0]}
 GRID_SEVERITY = {"n_estimators": [200, 400], "max_depth": [4, 6], "learning_rate": [0.05, 0.1], "subsample": [0.8, 1.0]}
-FAMILY_ORDER = ["Logistic Regression", "Random Forest", "SVM", "XGBoost"]
+FAMILY_ORDER = ["Logistic Regression", "Random Forest", "SVM", "Boosted Trees"]
 CV_FOLDS = 5
 SEED = 42
 TEST_FRACTION = 0.2

@@ -29,7 +29,7 @@ DEMO_GRIDS = {
     "Logistic Regression": {"C": [0.1, 1.0]},
     "Random Forest": {"n_estimators": [20], "max_depth": [5], "min_samples_split": [2]},
     "SVM": {"C": [1.0], "kernel": ["linear", "rbf"], "gamma": ["scale"]},
-    "XGBoost": {"n_estimators": [20], "max_depth": [3], "learning_rate": [0.1], "subsample": [1.0]},
+    "Boosted Trees": {"n_estimators": [20], "max_depth": [3], "learning_rate": [0.1], "subsample": [1.0]},
 }
 DEMO_SEVERITY_GRID = {"n_estimators": [20], "max_depth": [4], "learning_rate": [0.1], "subsample": [1.0]}
 SEV_FEATURES = ["year", "month", "dow", "priority", "is_f"]
