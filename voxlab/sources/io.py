@@ -58,14 +58,22 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def save_pipeline(model: PipelineModel, path: str) -> None:
-    """IO7: fitted pipeline (scaler stage, assembler with the feature list, model)."""
-    model.write().overwrite().save(path)
-
-
-def load_pipeline(path: str, optional: bool = False):
-    """IO8: load a fitted pipeline; with ``optional`` a failure gives None."""
+def save_pipeline(model, path: str) -> None:
+    """IO7: fitted pipeline (scaler stage, assembler with the feature list,
+    model), or the composite SVM model (its own writer)."""
+    if hasattr(model, "write"):
+        model.write().overwrite().save(path)
+    else:
+        model.save(path)
+
+
+def load_pipeline(path: str, optional: bool = False, svm: bool = False):
+    """IO8: load a fitted pipeline (or, with ``svm``, the composite SVM);
+    with ``optional`` a failure gives None (the second bundle is optional)."""
     try:
+        if svm:
+            from ..operators.learn import PlattSVMModel
+            return PlattSVMModel.load(path)
         return PipelineModel.load(path)
     except Exception:
         if optional:
