@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.scalar import clip_severity, confidence
 from .joins import band_join
-from .metrics import binary_report, confusion_counts
+from .metrics import binary_report
 from .project import fill_absent, select_if_complete, split_probability
 
 
@@ -55,17 +55,16 @@ def score_record(spark: SparkSession, record, model, feats: Sequence[str], model
 def score_severity(scored: DataFrame, sev_model, sev_feats: Sequence[str], mae: float = C.SEVERITY_DEFAULT_MAE,
                    pred: str = "prediction", bands: DataFrame | None = None) -> DataFrame:
     """For rows predicted positive only -- regress, clip to [0, 59],
-    band with the serving rule, attach the error margin."""
-    pos = scored.where(F.col(pred) == 1)
-    pos = fill_absent(pos, sev_feats, 0.0)
+    band with the serving rule, attach the error margin.
+
+    ``sev_model`` is a fitted Spark regression model; it reads its own
+    feature vector (absent severity features default to 0.0).
+    """
+    pos = fill_absent(scored.where(F.col(pred) == 1), sev_feats, 0.0)
     v = VectorAssembler(inputCols=list(sev_feats), outputCol="_vx_sev_features", handleInvalid="keep").transform(pos)
-    out = sev_model.transform(v.withColumnRenamed("prediction", "_vx_cls")) \
-        if "featuresCol" not in [p.name for p in sev_model.params] else \
-        sev_model.copy({sev_model.getParam("featuresCol"): "_vx_sev_features",
-                        sev_model.getParam("predictionCol"): "_vx_sev_raw"}).transform(v)
-    if "_vx_sev_raw" not in out.columns:
-        out = out.withColumnRenamed("prediction", "_vx_sev_raw").withColumnRenamed("_vx_cls", "prediction")
-    out = out.withColumn("severity", clip_severity(F.col("_vx_sev_raw")))
+    m = sev_model.copy({sev_model.getParam("featuresCol"): "_vx_sev_features",
+                        sev_model.getParam("predictionCol"): "_vx_sev_raw"})
+    out = m.transform(v).withColumn("severity", clip_severity(F.col("_vx_sev_raw")))
     out = band_join(out, "severity", bands, rounding="half_even", out="severity_band", color="severity_color")
     return out.withColumn("severity_margin", F.lit(float(mae))).drop("_vx_sev_features", "_vx_sev_raw")
 
@@ -123,5 +122,4 @@ def analyse(df: DataFrame, model, feats: Sequence[str], scaler_params: DataFrame
     return out
 
 
-__all__ = ["score", "score_record", "score_severity", "severity_linear", "metrics_document", "analyse",
-           "confusion_counts"]
+__all__ = ["score", "score_record", "score_severity", "severity_linear", "metrics_document", "analyse"]

@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.scalar import (band_case, clip, fmt_percent, fmt_points, risk_tier, safe_number,
-                                to_percent, complement, confidence, target_size)
+from ..functions.scalar import (band_case, clip, risk_tier, safe_number, to_percent, complement, confidence,
+                                target_size)
 from ..operators import metrics as M
 from ..operators import project as P
 from ..operators import stats as S
 from ..operators.joins import band_join
-from ..operators.ordering import value_bucket
 from ..operators.sampling import assign_folds, background_sample, split_plain
 from ..sources.tables import labelled_events, longitudinal_orders, read_table
 

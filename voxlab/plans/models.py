@@ -10,7 +10,7 @@ from .. import constants as C
 from ..operators import explain as X
 from ..operators import metrics as M
 from ..operators import project as P
-from ..operators.sampling import assign_folds, background_sample, split_plain, smote
+from ..operators.sampling import background_sample, split_plain
 from ..operators.scoring import metrics_document, severity_linear
 from ..sources.tables import EVENT_FEATURES, labelled_events, longitudinal_orders
 from .screening import (LABELLED_EVENTS_SQL, LINEAR_BIAS, LINEAR_WEIGHTS, SPLIT_SQL, _scale_sql,

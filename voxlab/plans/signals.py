@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators import signal as SG
 from ..operators.correlation import correlation_dimension, delay_vectors
-from ..sources.tables import read_table, series_frames, series_pulses
+from ..sources.tables import series_frames, series_pulses
 
 REC = SG.REC
 R6 = lambda c: F.round(F.col(c), 6).alias(c)

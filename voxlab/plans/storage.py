@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import constants as C
 from ..operators import project as P
 from ..operators import stats as S
 from ..operators.ordering import exact_rank

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import constants as C
 from ..operators.project import result_text
 from ..streaming.stream import events_stream, run_to_sink, score_stream, session_tally_stream, tally_stream
 
