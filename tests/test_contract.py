@@ -35,7 +35,9 @@ def _norm(v):
 
 @pytest.mark.parametrize("name", ["holdout_screening", "band_serving", "percentiles", "violin_summary", "rpde",
                                   "jitter", "correlation_dimension", "smote", "class_report", "stream_window_tally",
-                                  "nth_order", "linear_attribution"])
+                                  "nth_order", "linear_attribution", "stream_session_tally", "csv_roundtrip",
+                                  "log_lifecycle", "metrics_roundtrip", "series_windows", "class_view", "knn_minority",
+                                  "voice_features", "dfa", "shimmer", "sampling_shapley", "average_rank"])
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
