@@ -94,3 +94,12 @@ def test_regression_metrics(spark):
     assert abs(r.mae - 0.5) < 1e-12
     assert abs(r.rmse - np.sqrt(0.375)) < 1e-12
     assert abs(r.r2 - (1 - 1.5 / np.sum((y - y.mean()) ** 2))) < 1e-12
+
+
+def test_union_count_is_sum(spark):
+    from voxlab.plans.explore import union_sets
+    u = union_sets(spark, SF)
+    ev = spark.read.parquet(f"{SF}/events.parquet").count()
+    od = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert u.count() == ev + od
+    assert u.where("source = 'longitudinal' AND status <> 1").count() == 0
