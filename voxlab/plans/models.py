@@ -166,7 +166,7 @@ SELECT event_id, round(severity, 6) AS severity,
        CASE WHEN round_even(severity, 0) BETWEEN 0 AND 10 THEN '#27AE60'
             WHEN round_even(severity, 0) BETWEEN 11 AND 30 THEN '#F39C12'
             WHEN round_even(severity, 0) BETWEEN 31 AND 58 THEN '#E67E22' ELSE '#E74C3C' END AS severity_color,
-       5.2 AS severity_margin
+       CAST(5.2 AS DOUBLE) AS severity_margin
 FROM sv"""
 
 
