@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from ..functions.scalar import round_half_even
 
 BANDS_SCHEMA = T.StructType([
     T.StructField("lo", T.IntegerType(), False), T.StructField("hi", T.IntegerType(), False),
@@ -44,7 +45,7 @@ def band_join(df: DataFrame, score: str, bands: DataFrame | None = None, roundin
         raise ValueError(f"band table has more than {MAX_BAND_ROWS} rows; not broadcasting it")
     s = F.col(score)
     if rounding == "half_even":
-        s = F.bround(s, 0)
+        s = round_half_even(s, 0)
     elif rounding == "half_up":
         s = F.round(s, 0)
     b = bands.select(F.col("lo").alias("_vx_lo"), F.col("hi").alias("_vx_hi"),

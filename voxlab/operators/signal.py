@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.scalar import clip, when_enough
+from ..functions.scalar import clip, guarded_reciprocal, safe_log, when_enough
 from .ordering import block_bucket, exact_percentiles, exact_rank, prefix_sums
 from .project import voiced
 
@@ -150,7 +150,7 @@ def spreads(frames: DataFrame, f0: str = "f0", rec: str = REC) -> DataFrame:
         F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("p75"))
     j = recordings(frames, rec).join(basic, rec, "left").join(q, rec, "left")
     n = F.coalesce(F.col("n"), F.lit(0))
-    s1 = clip(-F.log(F.abs(F.col("p25") - F.col("p75")) + F.lit(1e-6)), -8.0, -2.0)
+    s1 = clip(-safe_log(F.abs(F.col("p25") - F.col("p75")), 1e-6), -8.0, -2.0)
     s2 = F.col("sd") / (F.col("mu") + F.lit(1e-6))
     return j.select(rec, when_enough(n, 4, s1, C.DEFAULT_SPREAD1).alias("spread1"),
                     when_enough(n, 4, s2, C.DEFAULT_SPREAD2).alias("spread2"))
@@ -198,7 +198,7 @@ def histogram_density(df: DataFrame, x: str, rec: str = REC, max_bins: int = C.H
 def density_entropy(hist: DataFrame, rec: str = REC) -> DataFrame:
     """clip(-sum(h ln(h + 1e-12)) / (ln(#non-empty bins) + 1e-12), 0, 1)."""
     e = hist.where(F.col("density") > 0).groupBy(rec).agg(
-        (-F.sum(F.col("density") * F.log(F.col("density") + F.lit(1e-12)))).alias("h"),
+        (-F.sum(F.col("density") * safe_log(F.col("density"), 1e-12))).alias("h"),
         F.count(F.lit(1)).alias("k"))
     return e.select(rec, clip(F.col("h") / (F.log(F.col("k").cast("double")) + F.lit(1e-12)), 0.0, 1.0).alias("entropy"))
 
@@ -214,7 +214,7 @@ def rpde(frames: DataFrame, f0: str = "f0", rec: str = REC) -> DataFrame:
 
 def ppe(frames: DataFrame, f0: str = "f0", rec: str = REC) -> DataFrame:
     """Entropy of min-max normalised periods 1/(f0 + 1e-6); 0.2 when n <= 10."""
-    v = voiced(frames, f0).select(rec, (F.lit(1.0) / (F.col(f0).cast("double") + F.lit(1e-6))).alias("period"))
+    v = voiced(frames, f0).select(rec, guarded_reciprocal(F.col(f0).cast("double"), 1e-6).alias("period"))
     st = v.groupBy(rec).agg(F.count(F.lit(1)).alias("n"), F.min("period").alias("pmin"), F.max("period").alias("pmax"))
     pn = v.join(st, rec).select(rec, ((F.col("period") - F.col("pmin")) /
                                       ((F.col("pmax") - F.col("pmin")) + F.lit(1e-6))).alias("pn"))
@@ -400,7 +400,7 @@ def harmonicity(frames: DataFrame, r: str = "r", f0: str = "f0", rec: str = REC)
     j = recordings(frames, rec).join(h, rec, "left")
     hnr = F.coalesce(F.nanvl(F.col("h"), F.lit(0.0)), F.lit(0.0))
     return j.select(rec, hnr.alias("HNR"),
-                    F.when(hnr > 0, F.lit(1.0) / (hnr + F.lit(1e-6))).otherwise(F.lit(C.DEFAULT_NHR)).alias("NHR"))
+                    F.when(hnr > 0, guarded_reciprocal(hnr, 1e-6)).otherwise(F.lit(C.DEFAULT_NHR)).alias("NHR"))
 
 
 # ---------------------------------------------------------------------------

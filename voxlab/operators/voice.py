@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.scalar import to_percent
 from ..session import cut_lineage
 from . import signal as SG
 from .correlation import correlation_dimension
@@ -56,7 +57,7 @@ def voice_measures(frames: DataFrame, pulses: DataFrame, samples: DataFrame | No
     recs = SG.recordings(frames)
     parts = [
         SG.f0_summary(frames).drop("n_voiced"),
-        SG.jitter(pulses).withColumn("jitter_percent", F.col("jitter_local") * 100.0).drop("jitter_local"),
+        SG.jitter(pulses).withColumn("jitter_percent", to_percent("jitter_local")).drop("jitter_local"),
         SG.shimmer(pulses),
         SG.harmonicity(frames) if "r" in frames.columns else
         recs.select(REC, F.lit(0.0).alias("HNR"), F.lit(C.DEFAULT_NHR).alias("NHR")),
