@@ -60,3 +60,17 @@ def test_percentiles_heavy_duplicates(spark):
         arr = vals[g::2]
         for p in ps:
             assert abs(got[(g, p)] - np.percentile(arr, p * 100)) < 1e-12
+
+
+def test_refined_bucket_rank_exact(spark):
+    from voxlab.operators.ordering import refined_bucket
+    rng = np.random.default_rng(3)
+    # a burst: most rows of group 0 fall in one coarse bucket
+    keys = np.concatenate([rng.integers(0, 1000, 300), rng.integers(0, 100000, 60)])
+    rows = [(int(i % 2 == 0 or i < 300), int(k), i) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "g int, k long, id long")
+    b = refined_bucket(df, ["g"], F.col("k"), coarse=10000, fine=10, limit=20)
+    got = exact_rank(b, ["g"], ["k", "id"], F.col("_vx_rb"), out="r").select("id", "r")
+    ref = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("k", "id"))).select("id", "r")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ref.collect()))
+    assert b.where("_vx_rb.f <> 0").count() > 0

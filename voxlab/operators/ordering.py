@@ -66,6 +66,24 @@ def value_bucket(x: Column, per_octave: int = 256) -> Column:
             .otherwise(-mag)).cast("long")
 
 
+def refined_bucket(df: DataFrame, by, key: Column, coarse: int, fine: int, limit: int = 1_000_000,
+                   out: str = "_vx_rb") -> DataFrame:
+    """Adds a bucket column ``(key div coarse, key div fine or 0)``.
+
+    Coarse buckets holding more than ``limit`` rows of a group are split into
+    ``fine`` ones; the pair never decreases along ``key``, so it can drive
+    ``prefix_sums`` / ``exact_rank``.  The hot-bucket table has at most
+    rows / ``limit`` rows and is joined on ``(group, coarse bucket)``.
+    """
+    by = _cols(by)
+    c = df.withColumn("_vx_cb", F.floor(key / F.lit(coarse)).cast("long")).withColumn("_vx_key", key)
+    hot = c.groupBy(*by, "_vx_cb").agg(F.count(F.lit(1)).alias("_vx_cn")).where(F.col("_vx_cn") > limit) \
+        .select(*by, "_vx_cb", F.lit(1).alias("_vx_hot"))
+    c = c.join(hot, [*by, "_vx_cb"], "left")
+    sub = F.when(F.col("_vx_hot") == 1, F.floor(F.col("_vx_key") / F.lit(fine))).otherwise(F.lit(0)).cast("long")
+    return c.withColumn(out, F.struct(F.col("_vx_cb").alias("c"), sub.alias("f"))).drop("_vx_cb", "_vx_hot", "_vx_key")
+
+
 def prefix_sums(df: DataFrame, by, order, bucket: Column, values: dict[str, Column],
                 inclusive: bool = True, totals: bool = False) -> DataFrame:
     """Running sums of ``values`` along ``order`` within ``by`` groups.

@@ -16,6 +16,7 @@ from ..operators import metrics as M
 from ..operators import project as P
 from ..operators import stats as S
 from ..operators.joins import band_join
+from ..operators.ordering import refined_bucket
 from ..operators.sampling import assign_folds, background_sample, split_plain
 from ..sources.tables import labelled_events, longitudinal_orders, read_table
 
@@ -315,9 +316,10 @@ def scored_log(spark: SparkSession, sf: str) -> DataFrame:
     p = e.withColumn("p_positive", F.col("value") / F.lit(613.0))
     p = p.withColumn("prediction", (F.col("p_positive") > 0.5).cast("int"))
     p = P.result_text(p, "prediction")
-    p = P.row_labels(p, "Sample", ["ts", "event_id"], by=["user_id"], out="label",
-                     bucket=F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).cast("long"))
-    return p
+    # hour buckets, hot hours of a user split into milliseconds
+    p = refined_bucket(p, ["user_id"], F.unix_micros(F.col("ts").cast("timestamp")), 3_600_000_000, 1_000)
+    p = P.row_labels(p, "Sample", ["ts", "event_id"], by=["user_id"], out="label", bucket=F.col("_vx_rb"))
+    return p.drop("_vx_rb")
 
 
 def q_prediction_log(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordering import exact_rank
+from ..operators.ordering import exact_rank, refined_bucket
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -64,8 +64,11 @@ def series_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole-user window); f0 = ``value``.
     """
     ev = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    minute = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(60_000_000)).cast("long")
-    r = exact_rank(ev, ["user_id"], ["ts", "event_id"], minute, out="frame_idx")
+    # minute buckets; a minute holding more than a million rows of one user
+    # is split into milliseconds
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    ev = refined_bucket(ev, ["user_id"], micros, 60_000_000, 1_000)
+    r = exact_rank(ev, ["user_id"], ["ts", "event_id"], F.col("_vx_rb"), out="frame_idx").drop("_vx_rb")
     return r.select(F.col("user_id").alias("recording_id"), F.col("frame_idx").cast("long"),
                     F.col("value").cast("double").alias("f0"))
 
