@@ -132,7 +132,7 @@ def exact_rank(df: DataFrame, by, order, bucket: Column, out: str = "rank",
 
 
 def exact_percentiles(df: DataFrame, by, value: str, probs: Sequence[float],
-                      per_octave: int = 256) -> DataFrame:
+                      per_octave: int = 4096) -> DataFrame:
     """Exact percentiles with linear interpolation (numpy / DuckDB ``quantile_cont``).
 
     Returns one row per group and probability: ``(*by, p, value)``.  Nulls

@@ -25,7 +25,8 @@ def hash_rank(df: DataFrame, keys, by: Sequence[str] = (), seed: int = C.SEED, o
     """1-based position in md5 order inside ``by`` (ties broken by the keys)."""
     k = _keys(keys)
     h = df.withColumn("_vx_h", md5_key(seed, k))
-    return exact_rank(h, list(by), ["_vx_h", *k], hex_bucket(F.col("_vx_h")), out=out, totals=totals)
+    # 65,536 md5 buckets: a class of 10^11 rows leaves ~1.5M rows per window task
+    return exact_rank(h, list(by), ["_vx_h", *k], hex_bucket(F.col("_vx_h"), 4), out=out, totals=totals)
 
 
 def split_stratified(df: DataFrame, keys, y: str = "status", test: float = C.TEST_FRACTION,
