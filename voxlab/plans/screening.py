@@ -15,6 +15,7 @@ from ..operators.joins import apply_scaler
 from ..operators.metrics import binary_report
 from ..operators.sampling import split_stratified
 from ..operators.stats import fit_scaler
+from ..session import cut_lineage
 from ..sources.tables import EVENT_FEATURES, labelled_events
 
 # Fixed coefficients of the demonstration scorer (on standardised features).
@@ -31,7 +32,9 @@ def linear_score(df: DataFrame, weights=LINEAR_WEIGHTS, bias=LINEAR_BIAS) -> Dat
 
 
 def split_and_scale(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    df = split_stratified(labelled_events(spark, sf_dir), "event_id", "status")
+    # the split is read by the scaler fit and by the scoring: written once to
+    # the shared folder (the fit / transform boundary)
+    df = cut_lineage(split_stratified(labelled_events(spark, sf_dir), "event_id", "status"))
     train = df.where(~F.col("is_test"))
     test = df.where(F.col("is_test"))
     params = fit_scaler(train, EVENT_FEATURES)
