@@ -37,7 +37,7 @@ SEV_FEATURES = ["year", "month", "dow", "priority", "is_f"]
 
 def prepared_events(spark: SparkSession, sf: str):
     """Split -> scale on train -> oversample the minority (purchases) -> folds."""
-    df = split_stratified(labelled_events(spark, sf), "event_id", "status")
+    df = cut_lineage(split_stratified(labelled_events(spark, sf), "event_id", "status"))
     tr, te, params = standardise(df.where(~F.col("is_test")), df.where(F.col("is_test")), EVENT_FEATURES)
     tr = cut_lineage(tr)
     syn = smote(tr, "event_id", EVENT_FEATURES, "status", minority=1, majority=0)
@@ -88,7 +88,7 @@ def q_tree_attribution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fit_pipeline(spark, sf):
-    df = split_stratified(labelled_events(spark, sf), "event_id", "status")
+    df = cut_lineage(split_stratified(labelled_events(spark, sf), "event_id", "status"))
     train = df.where(~F.col("is_test"))
     from ..operators.stats import fit_scaler
     params = fit_scaler(train, EVENT_FEATURES).first().asDict()
@@ -132,7 +132,7 @@ def q_upload_analysis(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.regression import LinearRegression
     from ..operators.joins import apply_scaler
     from ..operators.stats import fit_scaler
-    df = split_stratified(labelled_events(spark, sf), "event_id", "status")
+    df = cut_lineage(split_stratified(labelled_events(spark, sf), "event_id", "status"))
     train = df.where(~F.col("is_test"))
     params = fit_scaler(train, EVENT_FEATURES)
     tz = VectorAssembler(inputCols=EVENT_FEATURES, outputCol="features").transform(
@@ -154,7 +154,7 @@ def q_severity_bands(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.joins import apply_scaler
     from ..operators.stats import fit_scaler
     from ..operators.scoring import score_severity
-    df = split_stratified(labelled_events(spark, sf), "event_id", "status")
+    df = cut_lineage(split_stratified(labelled_events(spark, sf), "event_id", "status"))
     train = df.where(~F.col("is_test"))
     params = fit_scaler(train, EVENT_FEATURES)
     tz = VectorAssembler(inputCols=EVENT_FEATURES, outputCol="features").transform(
