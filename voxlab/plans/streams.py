@@ -70,3 +70,29 @@ QUERIES = {
     "stream_window_tally": (q_stream_window_tally, SQL_STREAM_WINDOW_TALLY),
     "stream_session_tally": (q_stream_session_tally, SQL_STREAM_SESSION_TALLY),
 }
+
+
+def q_stream_model_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """ST1 with a fitted pipeline (scaler stage, assembler, logistic
+    regression) applied to the file stream; arriving rows are enriched with
+    the per-user aggregates by a stream-static join.  Rows-only check."""
+    from ..operators.project import split_probability
+    from ..sources.tables import read_table
+    from .learning import _fit_pipeline
+    model, _ = _fit_pipeline(spark, sf)
+    users = read_table(spark, sf, "events").groupBy("user_id").agg(
+        F.count(F.lit(1)).cast("double").alias("user_n"), F.avg("value").alias("user_mean"))
+
+    def scorer(s: DataFrame) -> DataFrame:
+        feats = s.join(users, "user_id").select(
+            "event_id", "user_id", (F.col("event_type") == "purchase").cast("int").alias("status"),
+            F.col("value").cast("double").alias("value"), F.hour("ts").cast("double").alias("hour"),
+            F.get_json_object("props", "$.k").try_cast("double").alias("k"), "user_n", "user_mean")
+        out = split_probability(model.transform(feats))
+        return result_text(out.withColumn("prediction", F.col("prediction").cast("int")), "prediction") \
+            .select("event_id", "user_id", "status", "prediction", F.round("p_positive", 6).alias("p_positive"), "result")
+
+    return spark.read.parquet(score_stream(events_stream(spark, sf), scorer, "model-scores"))
+
+
+QUERIES["stream_model_scores"] = (q_stream_model_scores, None)
