@@ -243,10 +243,11 @@ def geometric_scales(length: Column, lo: int = C.DFA_MIN_SCALE, num: int = C.DFA
 
 
 def dfa_signal(frames: DataFrame, samples: DataFrame | None = None, f0: str = "f0",
-               rec: str = REC) -> DataFrame:
+               rec: str = REC, series: DataFrame | None = None) -> DataFrame:
     """Series used by DFA: voiced f0 when a recording has more than 20 voiced
-    frames, else its first 2,000 raw samples.  Output ``(rec, i, x)``."""
-    v = voiced_series(frames, f0, rec=rec).select(rec, "i", "x")
+    frames, else its first 2,000 raw samples.  Output ``(rec, i, x)``.
+    ``series``: an already ranked voiced series ``(rec, i, x)``."""
+    v = (series if series is not None else voiced_series(frames, f0, rec=rec)).select(rec, "i", "x")
     nv = v.groupBy(rec).agg(F.count(F.lit(1)).alias("_vx_nv"))
     long_v = v.join(nv.where(F.col("_vx_nv") > 20), rec).select(rec, "i", "x")
     if samples is None:

@@ -55,6 +55,8 @@ def voice_measures(frames: DataFrame, pulses: DataFrame, samples: DataFrame | No
         frames = cut_lineage(frames)
         pulses = cut_lineage(pulses)
     recs = SG.recordings(frames)
+    # the ranked voiced series feeds DFA and D2
+    vs = cut_lineage(SG.voiced_series(frames)) if materialise else SG.voiced_series(frames)
     parts = [
         SG.f0_summary(frames).drop("n_voiced"),
         SG.jitter(pulses).withColumn("jitter_percent", to_percent("jitter_local")).drop("jitter_local"),
@@ -62,8 +64,8 @@ def voice_measures(frames: DataFrame, pulses: DataFrame, samples: DataFrame | No
         SG.harmonicity(frames) if "r" in frames.columns else
         recs.select(REC, F.lit(0.0).alias("HNR"), F.lit(C.DEFAULT_NHR).alias("NHR")),
         SG.rpde(frames), SG.ppe(frames), SG.spreads(frames),
-        SG.dfa(SG.dfa_signal(frames, samples), all_recordings=recs),
-        correlation_dimension(frames),
+        SG.dfa(SG.dfa_signal(frames, samples, series=vs), all_recordings=recs),
+        correlation_dimension(frames, series=vs),
     ]
     out = recs
     for p in parts:
