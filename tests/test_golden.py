@@ -123,3 +123,13 @@ def test_events_series_golden(spark):
     assert [dfa[i] for i in range(3)] == [0.5718, 0.7550, 0.6548]
     ent = {r.recording_id: round(r.RPDE, 4) for r in SG.rpde(fr).collect()}
     assert [ent[i] for i in range(3)] == [0.1754, 0.1478, 0.1072]
+
+
+def test_severity_document_bands(spark):
+    from voxlab.operators.scoring import severity_document
+    m = spark.createDataFrame([(10, 5.2049, 6.5111, 0.33674)], "n long, mae double, rmse double, r2 double")
+    d = severity_document(m, "GBTRegressionModel", "motor_UPDRS", 5875, 16).first()
+    assert (d.mae, d.rmse, d.r2, d.dataset_size, d.n_features) == (5.2, 6.51, 0.3367, 5875, 16)
+    assert [(b.label, b.min, b.max, b.color) for b in d.severity_bands] == [
+        ("None / Minimal", 0, 10, "#27AE60"), ("Mild", 11, 30, "#F39C12"),
+        ("Moderate", 31, 58, "#E67E22"), ("Severe", 59, 200, "#E74C3C")]

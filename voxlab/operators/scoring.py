@@ -97,6 +97,21 @@ def metrics_document(scored: DataFrame, y: str, model_name: str, model_label: st
                       F.lit(int(cv_folds)).alias("cv_folds"))
 
 
+def severity_document(metrics: DataFrame, model_name: str, target: str, dataset_size: int,
+                      n_features: int) -> DataFrame:
+    """Severity metrics document: MAE / RMSE (2 digits), R^2 (4 digits), sizes
+    and the band table as ``array<struct<label, min, max, color>>``."""
+    from .joins import bands_table
+    spark = metrics.sparkSession
+    bands = bands_table(spark).orderBy("lo").agg(F.collect_list(F.struct(
+        F.col("label"), F.col("lo").alias("min"), F.col("hi").alias("max"), F.col("color"))).alias("severity_bands"))
+    return metrics.select(F.lit(model_name).alias("model"), F.lit(target).alias("target"),
+                          F.round("mae", 2).alias("mae"), F.round("rmse", 2).alias("rmse"), F.round("r2", 4).alias("r2"),
+                          F.lit(int(dataset_size)).cast("long").alias("dataset_size"),
+                          F.lit(int(n_features)).cast("long").alias("n_features"),
+                          bands.select("severity_bands").scalar().alias("severity_bands"))
+
+
 def analyse(df: DataFrame, model, feats: Sequence[str], scaler_params: DataFrame | None = None,
             sev_model=None, sev_feats: Sequence[str] = (), label_prefix: str = "Sample",
             order: Sequence[str] = ("row_id",), audio: bool = False) -> dict:

@@ -74,14 +74,24 @@ def q_model_selection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_severity_training(spark: SparkSession, sf: str) -> DataFrame:
+    """E4 end to end: plain split -> scale -> k-fold search on MAE -> hold-out
+    errors -> severity metrics document (with the band table) published as
+    JSON and the model saved, both in the shared folder and read back."""
+    from ..operators.scoring import severity_document
     o = split_plain(longitudinal_orders(spark, sf), "o_orderkey")
     tr, te, _ = standardise(o.where(~F.col("is_test")), o.where(F.col("is_test")), SEV_FEATURES)
     tr = cut_lineage(assign_folds(tr, "o_orderkey"))
     model, best, scores = fit_severity(tr, SEV_FEATURES, "target", DEMO_SEVERITY_GRID)
     pred = model.transform(VectorAssembler(inputCols=SEV_FEATURES, outputCol="features").transform(te))
     m = regression_metrics(pred, "target", "prediction")
-    return m.select("n", F.round("mae", 2).alias("mae"), F.round("rmse", 2).alias("rmse"), F.round("r2", 4).alias("r2"),
-                    F.lit(int(best["n_estimators"])).alias("n_estimators"), F.lit(int(best["max_depth"])).alias("max_depth"))
+    doc = severity_document(m, type(model).__name__, "target", o.count(), len(SEV_FEATURES))
+    path = scratch_path(spark, "severity-metrics")
+    IO.write_metrics(doc, path)
+    IO.save_pipeline(model, scratch_path(spark, "severity-model"))
+    back = IO.read_metrics(spark, path)
+    return back.select("n_features", "mae", "rmse", "r2", F.size("severity_bands").alias("n_bands"),
+                       F.lit(int(best["n_estimators"])).alias("n_estimators"),
+                       F.lit(int(best["max_depth"])).alias("max_depth"))
 
 
 def _fit_boosted(spark, sf):
