@@ -65,6 +65,9 @@ INPUT_TYPE_CSV = "CSV"
 DIRECTION_POSITIVE = "toward Parkinson's"
 DIRECTION_NEGATIVE = "toward Healthy"
 
+# Field names of the single-record scoring result, in order.
+RECORD_FIELDS = ["has_parkinsons", "probability_healthy", "probability_parkinsons", "confidence", "model_used"]
+
 # Risk tiers on the percent scale.
 RISK_AMBER = 40.0
 RISK_RED = 60.0

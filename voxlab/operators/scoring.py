@@ -47,9 +47,9 @@ def score_record(spark: SparkSession, record, model, feats: Sequence[str], model
         row = dict(zip(feats, [float(v) for v in vals]))
     df = spark.createDataFrame([tuple(row[f] for f in feats)], ", ".join(f"`{f}` double" for f in feats))
     s = score(df, model, feats)
-    return s.select((F.col("prediction") == 1).alias("has_positive"), F.col("p_healthy").alias("probability_healthy"),
-                    F.col("p_positive").alias("probability_positive"), "confidence",
-                    F.lit(model_name).alias("model_used"))
+    f = C.RECORD_FIELDS
+    return s.select((F.col("prediction") == 1).alias(f[0]), F.col("p_healthy").alias(f[1]),
+                    F.col("p_positive").alias(f[2]), F.col("confidence").alias(f[3]), F.lit(model_name).alias(f[4]))
 
 
 def score_severity(scored: DataFrame, sev_model, sev_feats: Sequence[str], mae: float = C.SEVERITY_DEFAULT_MAE,
