@@ -54,7 +54,14 @@ def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], na
 
 def tally_stream(stream: DataFrame, ts: str = "ts", width: str = "1 hour", delay: str = "10 minutes",
                  result: str = "result", positive: str = C.RESULT_POSITIVE) -> DataFrame:
-    """ST2: per tumbling window and result: rows and at-risk rows."""
+    """ST2: per tumbling window and result: rows and at-risk rows.
+
+    Append mode emits a window once the watermark (max event time minus
+    ``delay``) passes its end.  Spark drops input rows older than the
+    watermark of two batches back (state eviction uses the previous batch's),
+    so a late row is still counted if it arrives in the batch right after the
+    watermark moved; later ones are dropped.
+    """
     return (stream.withWatermark(ts, delay)
             .groupBy(F.window(ts, width).alias("w"), result)
             .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(result) == positive).alias("at_risk")))
