@@ -112,14 +112,47 @@ def severity_document(metrics: DataFrame, model_name: str, target: str, dataset_
                           bands.select("severity_bands").scalar().alias("severity_bands"))
 
 
-def analyse(df: DataFrame, model, feats: Sequence[str], scaler_params: DataFrame | None = None,
+def explain_first(z: DataFrame, model, feats: Sequence[str], key: str,
+                  background: DataFrame | None = None) -> DataFrame | None:
+    """Attribution of the first row (by ``key``) of a standardised upload.
+
+    Tree models -> TreeSHAP; linear models -> w (x - background mean)
+    (background mean 0 when none is given: standardised features); any other
+    model -> sampling Shapley over a background of at most 50 rows.  Long
+    form ``(key, feature_idx, feature, value)``; None when nothing applies.
+    """
+    from .explain import linear_attribution, sampling_shapley
+    from .treeshap import tree_attribution
+    first = z.orderBy(key).limit(1)
+    feats = list(feats)
+    if hasattr(model, "featureImportances") and hasattr(model, "trees"):
+        return tree_attribution(first, key, feats, model)
+    if hasattr(model, "coefficients"):
+        coef = dict(zip(feats, model.coefficients.toArray().tolist()))
+        means = background.agg(*[F.avg(F.col(f"`{f}`")).alias(f) for f in feats]).first().asDict() \
+            if background is not None else {f: 0.0 for f in feats}
+        return linear_attribution(first, key, coef, means).drop("direction")
+    if background is None:
+        return None
+
+    def predict(h: DataFrame) -> DataFrame:
+        return score(h, model, feats).withColumn("fx", F.col("p_positive"))
+    return sampling_shapley(first, key, background, feats, predict)
+
+
+def analyse(df: DataFrame, model, feats: Sequence[str], scaler_params=None,
             sev_model=None, sev_feats: Sequence[str] = (), label_prefix: str = "Sample",
-            order: Sequence[str] = ("row_id",), audio: bool = False) -> dict:
-    """Select -> standardise -> score -> log rows -> severity.
-
-    Returns a dict of DataFrames: ``scored``, ``log`` (typed log rows) and
-    ``severity`` (positives only, when a severity model is given).
+            order: Sequence[str] = ("row_id",), audio: bool = False,
+            background: DataFrame | None = None) -> dict:
+    """Select -> standardise -> score -> log rows -> severity -> first-row
+    attribution -> global importance.
+
+    Returns a dict of DataFrames: ``scored``, ``log`` (typed log rows),
+    ``severity`` (positives only, when a severity model is given),
+    ``attribution`` (first row by ``order[0]``; may be None) and
+    ``importance`` (top 12; None for models without one).
     """
+    from .explain import feature_importance, top_importance
     from .joins import apply_scaler
     from .project import result_text, row_labels
     x = select_if_complete(df, list(feats) + [c for c in order if c in df.columns]) if all(
@@ -134,7 +167,11 @@ def analyse(df: DataFrame, model, feats: Sequence[str], scaler_params: DataFrame
     out = {"scored": s, "log": log}
     if sev_model is not None:
         out["severity"] = score_severity(s, sev_model, sev_feats)
+    out["attribution"] = explain_first(z, model, feats, order[0], background)
+    imp = feature_importance(df.sparkSession, model, list(feats))
+    out["importance"] = top_importance(imp) if imp is not None else None
     return out
 
 
-__all__ = ["score", "score_record", "score_severity", "severity_linear", "metrics_document", "analyse"]
+__all__ = ["score", "score_record", "score_severity", "severity_linear", "metrics_document", "severity_document",
+           "explain_first", "analyse"]

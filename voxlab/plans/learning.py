@@ -195,6 +195,24 @@ def q_severity_bands(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("event_id", F.round("severity", 4).alias("severity"), "severity_band", "severity_margin")
 
 
+def q_upload_explanation(spark: SparkSession, sf: str) -> DataFrame:
+    """M20 explanation part: the hold-out rows as one upload scored by a
+    boosted-tree model; attribution of its first row and global importance,
+    in one long table ``(kind, feature, value)``."""
+    from ..operators.joins import apply_scaler
+    from ..operators.stats import fit_scaler
+    df = cut_lineage(split_stratified(labelled_events(spark, sf), "event_id", "status"))
+    train = df.where(~F.col("is_test"))
+    params = fit_scaler(train, EVENT_FEATURES)
+    tz = VectorAssembler(inputCols=EVENT_FEATURES, outputCol="features").transform(
+        apply_scaler(train, params, EVENT_FEATURES)).withColumn("label", F.col("status").cast("double"))
+    gbt = GBTClassifier(maxIter=20, maxDepth=3, seed=C.SEED).fit(tz)
+    res = analyse(df.where(F.col("is_test")), gbt, EVENT_FEATURES, params, order=["event_id"])
+    att = res["attribution"].select(F.lit("attribution").alias("kind"), "feature", F.round("value", 6).alias("value"))
+    imp = res["importance"].select(F.lit("importance").alias("kind"), "feature", F.round("importance", 6).alias("value"))
+    return att.unionByName(imp)
+
+
 QUERIES = {
     "model_selection": (q_model_selection, None),
     "severity_training": (q_severity_training, None),
@@ -204,4 +222,5 @@ QUERIES = {
     "record_scoring": (q_record_scoring, None),
     "upload_analysis": (q_upload_analysis, None),
     "severity_bands": (q_severity_bands, None),
+    "upload_explanation": (q_upload_explanation, None),
 }
