@@ -213,6 +213,30 @@ def q_upload_explanation(spark: SparkSession, sf: str) -> DataFrame:
     return att.unionByName(imp)
 
 
+def q_recording_screening(spark: SparkSession, sf: str) -> DataFrame:
+    """E3 end to end: series -> 22 voice measures per recording -> the 16
+    common features -> standardise -> classifier -> log rows labelled
+    'Recording n' with input type Audio.  Label of a recording (stand-in):
+    more than 20 % of its events are purchases."""
+    from ..operators.project import common_columns
+    from ..operators.stats import fit_scaler
+    from ..operators.voice import voice_features
+    from ..sources.tables import read_table, series_pulses
+    from .signals import frames_r
+    vf = voice_features(frames_r(spark, sf), series_pulses(spark, sf))
+    ev = read_table(spark, sf, "events").groupBy(F.col("user_id").alias("recording_id")).agg(
+        (F.avg((F.col("event_type") == "purchase").cast("double")) > 0.2).cast("int").alias("status"))
+    data = cut_lineage(vf.join(ev, "recording_id"))
+    feats = common_columns(data, C.COMMON_FEATURES)
+    params = fit_scaler(data, feats)
+    from ..operators.joins import apply_scaler
+    z = VectorAssembler(inputCols=feats, outputCol="features").transform(apply_scaler(data, params, feats)) \
+        .withColumn("label", F.col("status").cast("double"))
+    lr = LogisticRegression(regParam=0.1, maxIter=100).fit(z)
+    res = analyse(data, lr, feats, params, label_prefix="Recording", order=["recording_id"], audio=True)
+    return res["log"].select("label", "input_type", "result", F.round("p_positive", 6).alias("p_positive"))
+
+
 QUERIES = {
     "model_selection": (q_model_selection, None),
     "severity_training": (q_severity_training, None),
@@ -223,4 +247,5 @@ QUERIES = {
     "upload_analysis": (q_upload_analysis, None),
     "severity_bands": (q_severity_bands, None),
     "upload_explanation": (q_upload_explanation, None),
+    "recording_screening": (q_recording_screening, None),
 }
