@@ -32,7 +32,7 @@ def q_smote(spark: SparkSession, sf: str) -> DataFrame:
 def q_knn_minority(spark: SparkSession, sf: str) -> DataFrame:
     d = imbalanced_docs(spark, sf).where(F.col("status") == 0)
     d = hash_rank(d, "doc_id", [], 42, out="_rk", totals=False).drop("_vx_h")
-    return knn_self(d, "doc_id", FEATS, k=5, order_key="_rk").select("doc_id", "nn_doc_id", "pos", "dist2")
+    return knn_self(d, "doc_id", FEATS, k=5, order_key="_rk").select("doc_id", "nn_doc_id", F.col("pos").cast("long"), "dist2")
 
 
 BASE_SQL = """

@@ -190,7 +190,7 @@ def q_linear_attribution(spark, sf):
     means = bg.agg(*[F.avg(f).alias(f) for f in EVENT_FEATURES]).first().asDict()
     att = X.linear_attribution(z, "event_id", LINEAR_WEIGHTS, means)
     top = X.rank_abs(att, "event_id", C.TOP_ATTRIBUTION)
-    return top.select("event_id", "feature", R6("value"), "direction", "rank")
+    return top.select("event_id", "feature", R6("value"), "direction", F.col("rank").cast("long"))
 
 
 def _attr_sql(value_expr: str) -> str:
