@@ -269,10 +269,10 @@ def dfa(signal: DataFrame, rec: str = REC, all_recordings: DataFrame | None = No
     """
     st = signal.groupBy(rec).agg(F.count(F.lit(1)).alias("L"), F.avg("x").alias("mu"))
     st = st.where(F.col("L") > 20).withColumn("scales", geometric_scales(F.col("L")))
-    c = signal.join(st.select(rec, "mu"), rec).withColumn("_vx_d", F.col("x") - F.col("mu"))
+    # one join brings mean, length and scales; they ride along the running sum
+    c = signal.join(st, rec).withColumn("_vx_d", F.col("x") - F.col("mu"))
     y = prefix_sums(c, [rec], ["i"], block_bucket(F.col("i")), {"y": F.col("_vx_d")})
-    seg = y.select(rec, "i", "y").join(st.select(rec, "L", "scales"), rec) \
-        .select(rec, "i", "y", "L", F.explode("scales").alias("s"))
+    seg = y.select(rec, "i", "y", "L", F.explode("scales").alias("s"))
     seg = segment(seg, F.col("s"), "L").withColumn("k", F.col("k").cast("double"))
     per = seg.groupBy(rec, "s", "seg").agg(
         F.regr_sxx("y", "k").alias("sxx"), F.regr_sxy("y", "k").alias("sxy"), F.regr_syy("y", "k").alias("syy"),
