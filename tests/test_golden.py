@@ -133,3 +133,9 @@ def test_severity_document_bands(spark):
     assert [(b.label, b.min, b.max, b.color) for b in d.severity_bands] == [
         ("None / Minimal", 0, 10, "#27AE60"), ("Mild", 11, 30, "#F39C12"),
         ("Moderate", 31, 58, "#E67E22"), ("Severe", 59, 200, "#E74C3C")]
+
+
+def test_safe_number_on_columns(spark):
+    df = spark.createDataFrame([("abc", 1.5), (None, float("nan")), ("3", 0.0)], "s string, d double")
+    got = df.select(safe_number(F.col("s")).alias("a"), safe_number(F.col("d")).alias("b")).collect()
+    assert [(r.a, r.b) for r in got] == [(0.0, 1.5), (0.0, 0.0), (3.0, 0.0)]

@@ -48,7 +48,7 @@ def round_half_even(x, digits: int = 0) -> Column:
 
 def safe_number(x) -> Column:
     """null, NaN, non-numeric text and 0 -> 0.0; otherwise the double value."""
-    v = F.expr(f"try_cast({x} as double)") if isinstance(x, str) else col_(x).cast("double")
+    v = (F.col(f"`{x}`") if isinstance(x, str) else x).try_cast("double")
     return F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)) + F.lit(0.0)
 
 
