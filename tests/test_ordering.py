@@ -74,3 +74,13 @@ def test_refined_bucket_rank_exact(spark):
     ref = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("k", "id"))).select("id", "r")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ref.collect()))
     assert b.where("_vx_rb.f <> 0").count() > 0
+
+
+def test_approx_percentiles_close_to_exact(spark):
+    from voxlab.operators.stats import percentiles
+    rng = np.random.default_rng(5)
+    vals = rng.normal(size=5000)
+    df = spark.createDataFrame([(int(i % 2), float(v)) for i, v in enumerate(vals)], "g int, x double")
+    ex = {(r.g, r.p): r.value for r in percentiles(df, "x", [0.25, 0.5, 0.75], ["g"]).collect()}
+    ap = {(r.g, r.p): r.value for r in percentiles(df, "x", [0.25, 0.5, 0.75], ["g"], approx=True).collect()}
+    assert set(ex) == set(ap) and all(abs(ex[k] - ap[k]) < 0.05 for k in ex)

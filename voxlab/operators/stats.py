@@ -42,9 +42,22 @@ def value_range(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.min(col).alias("min_value"), F.max(col).alias("max_value"))
 
 
-def percentiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact, linearly interpolated percentiles (bucketed ranks, no whole-group buffer)."""
-    return exact_percentiles(df, list(by), col, probs)
+def percentiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
+                approx: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """Percentiles per group as ``(*by, p, value)``.
+
+    Exact and linearly interpolated by default (bucketed ranks, no
+    whole-group buffer).  ``approx=True`` opts into Spark's
+    ``percentile_approx`` sketch (bounded memory per group, rank error about
+    1 / ``accuracy``, returns observed values).
+    """
+    if not approx:
+        return exact_percentiles(df, list(by), col, probs)
+    ps = [float(p) for p in probs]
+    q = df.groupBy(*by).agg(F.percentile_approx(F.col(col).cast("double"), ps, accuracy).alias("_vx_q"))
+    return q.select(*by, F.posexplode("_vx_q").alias("_vx_i", "value")) \
+        .withColumn("p", F.element_at(F.array(*[F.lit(p) for p in ps]), F.col("_vx_i") + 1)) \
+        .select(*by, "p", "value")
 
 
 def fit_scaler(df: DataFrame, feats: Sequence[str]) -> DataFrame:
