@@ -103,3 +103,12 @@ def test_union_count_is_sum(spark):
     od = spark.read.parquet(f"{SF}/orders.parquet").count()
     assert u.count() == ev + od
     assert u.where("source = 'longitudinal' AND status <> 1").count() == 0
+
+
+def test_corr_matrix_methods_agree(spark):
+    from voxlab.operators.stats import corr_matrix
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    a = {(r.row_feature, r.col_feature): r.r for r in corr_matrix(li, cols, 6).collect()}
+    b = {(r.row_feature, r.col_feature): r.r for r in corr_matrix(li, cols, 6, method="ml").collect()}
+    assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-6 for k in a)

@@ -70,9 +70,14 @@ def fit_scaler(df: DataFrame, feats: Sequence[str]) -> DataFrame:
     return df.agg(*aggs)
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFrame:
+def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 2, method: str = "agg") -> DataFrame:
     """Pearson correlation of every pair, pairwise-complete, in long form.
 
+    ``method="ml"`` is for wide dense input: ``ml.stat.Correlation`` on an
+    assembled vector (a distributed Gramian; the d x d result is bounded by the
+    feature count).  It uses complete rows only (rows with a null or NaN are
+    skipped), not pairwise-complete ones.
+
     One aggregate computes all pairs (``corr`` skips rows where either side
     is null; NaN is turned into null first since it would poison ``corr``).
     Output ``(row_feature, col_feature, r)``; the diagonal is 1.0.
@@ -80,6 +85,14 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFram
     cols = list(cols)
     clean = df.select(*[F.when(F.isnan(_q(c).cast("double")), None).otherwise(_q(c).cast("double")).alias(f"c{i}")
                         for i, c in enumerate(cols)])
+    if method == "ml":
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.stat import Correlation
+        v = VectorAssembler(inputCols=[f"c{i}" for i in range(len(cols))], outputCol="_vx_v",
+                            handleInvalid="skip").transform(clean)
+        m = Correlation.corr(v, "_vx_v").first()[0].toArray()
+        rows = [(a, b, round(float(m[i, j]), digits)) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+        return df.sparkSession.createDataFrame(rows, "row_feature string, col_feature string, r double")
     aggs = [F.corr(f"c{i}", f"c{j}").alias(f"r_{i}_{j}") for i in range(len(cols)) for j in range(i + 1, len(cols))]
     wide = clean.agg(*aggs) if aggs else clean.agg(F.count(F.lit(1)).alias("_n"))
     entries = []
