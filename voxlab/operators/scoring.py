@@ -167,7 +167,10 @@ def analyse(df: DataFrame, model, feats: Sequence[str], scaler_params=None,
     out = {"scored": s, "log": log}
     if sev_model is not None:
         out["severity"] = score_severity(s, sev_model, sev_feats)
-    out["attribution"] = explain_first(z, model, feats, order[0], background)
+    try:  # as in the page: no attribution when the explainer cannot run for this model
+        out["attribution"] = explain_first(z, model, feats, order[0], background)
+    except (ValueError, TypeError, KeyError):
+        out["attribution"] = None
     imp = feature_importance(df.sparkSession, model, list(feats))
     out["importance"] = top_importance(imp) if imp is not None else None
     return out
