@@ -221,9 +221,10 @@ def q_recording_screening(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.project import common_columns
     from ..operators.stats import fit_scaler
     from ..operators.voice import voice_features
-    from ..sources.tables import read_table, series_pulses
+    from ..sources.tables import pulses_from_frames, read_table
     from .signals import frames_r
-    vf = voice_features(frames_r(spark, sf), series_pulses(spark, sf))
+    fr = cut_lineage(frames_r(spark, sf))          # ranked once; pulses derive from it
+    vf = voice_features(fr, pulses_from_frames(fr))
     ev = read_table(spark, sf, "events").groupBy(F.col("user_id").alias("recording_id")).agg(
         (F.avg((F.col("event_type") == "purchase").cast("double")) > 0.2).cast("int").alias("status"))
     data = cut_lineage(vf.join(ev, "recording_id"))

@@ -73,10 +73,14 @@ def series_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("value").cast("double").alias("f0"))
 
 
-def series_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pulse stand-in: ``t`` = running sum of ``0.004 + value/1e5``, ``amp`` = value."""
+def pulses_from_frames(fr: DataFrame) -> DataFrame:
+    """Pulse stand-in from frames: ``t`` = running sum of ``0.004 + f0/1e5``, ``amp`` = f0."""
     from ..operators.ordering import prefix_sums, block_bucket
-    fr = series_frames(spark, sf_dir)
     p = prefix_sums(fr, ["recording_id"], ["frame_idx"], block_bucket(F.col("frame_idx")),
                     {"t": F.lit(0.004) + F.col("f0") / F.lit(1e5)})
     return p.select("recording_id", F.col("frame_idx").alias("pulse_idx"), "t", F.col("f0").alias("amp"))
+
+
+def series_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pulse stand-in over ``events`` (see ``pulses_from_frames``)."""
+    return pulses_from_frames(series_frames(spark, sf_dir))
