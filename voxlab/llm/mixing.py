@@ -138,3 +138,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat: flo
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("_drawn")).otherwise(0).cast("long")
     return out.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"),
                       copies.alias("copies"), "row_key", F.col("source").alias(source_col))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat: float = 3.0, id_col: str = "doc_id",
+               text_col: str = "text", source_col: str = "source", copy_col: str = "copy") -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as it has copies, numbered from 1 in ``copy_col``.
+
+    Rows are met by id and text hash.  Rows equal in both may have different numbers of
+    copies, as one is drawn and the other not; they meet in the order of those.
+    """
+    cols = docs.columns
+    names = [f"c{i}" for i in range(len(cols))]
+    d = docs.toDF(*names)
+    own = [names[cols.index(c)] for c in (id_col, text_col, source_col)]
+    taken = mix(docs.select(*[F.col(c) for c in (id_col, text_col, source_col)]), weights, max_repeat, id_col, text_col, source_col)
+    key = ["row_key", F.col(source_col).alias("_s")]
+    # equal rows as one: how many there are, the copies all have and how many have one more
+    each = taken.where("copies > 0").groupBy(*key).agg(F.sum("copies").alias("_sum"))
+    d = d.withColumns({"_key": F.xxhash64(own[0], own[1]), "_from": F.col(own[2]).cast("string")})
+    return _repeated(d, each, cols, names, copy_col)
+
+
+def _repeated(d: DataFrame, each: DataFrame, cols: list[str], names: list[str], copy_col: str) -> DataFrame:
+    met = d.join(each, (d["_key"] == each["row_key"]) & d["_from"].eqNullSafe(each["_s"]))
+    # of rows equal in id, text and source one stands for all: it is repeated as often as all of them together
+    one = met.dropDuplicates(["_key", "_from"])
+    out = one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_sum").cast("int"))))
+    return out.select(*names, "_copy").toDF(*cols, copy_col)

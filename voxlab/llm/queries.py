@@ -54,3 +54,58 @@ def topk(spark, sf_dir):
 
     from .topk import top_k
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op10_simhash")
+def simhash(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every document."""
+    from .simhash import hex_fingerprint, near_duplicates
+    rows = near_duplicates(table(spark, sf_dir, "documents"), words=4, distance=4)
+    return rows.select("doc_id", hex_fingerprint(rows["fp"]).alias("fingerprint"), "component_id")
+
+
+@query("op4_quality")
+def quality(spark, sf_dir):
+    """Quality score of every document."""
+    from .quality import classify
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_langid")
+def langid(spark, sf_dir):
+    """Predicted language of every document."""
+    from .langid import identify
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op6_lm_score")
+def lm_score(spark, sf_dir):
+    """Cross-entropy difference of every document: documents labelled good against all."""
+    from .common import may_learn
+    from .lm_score import cross_entropy_difference
+    labels = table(spark, sf_dir, "labels")
+    good = labels.where((labels["quality"] == 1) & may_learn(labels["doc_id"])).select("doc_id")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+@query("op2_decontaminate")
+def decontaminate(spark, sf_dir):
+    """Documents that hold benchmark passages, with the passages."""
+    from pyspark.sql import functions as F
+
+    from .decontaminate import overlaps
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("contaminated", F.lit(True))
+
+
+@query("op8_html")
+def html_text(spark, sf_dir):
+    """Main text of every page."""
+    from .html_extract import extract
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op3_pii")
+def pii(spark, sf_dir):
+    """Personal data in every document."""
+    from .pii import find
+    return find(table(spark, sf_dir, "documents"))

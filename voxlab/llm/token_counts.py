@@ -44,7 +44,7 @@ NEVER = 1 << 60
 #: Up to here case, composition and class of a character are the same in every Unicode version.
 SETTLED = "\u024f"
 
-_COMPILED: dict[int, RunCounter] = {}
+_COMPILED: dict = {}
 
 
 class WordMachine:
@@ -279,12 +279,10 @@ class RunCounter:
 
 
 def compiled(spec) -> RunCounter:
-    """The worker's own compiled tokenizer, made once."""
-    key = id(spec)
-    if key not in _COMPILED:
-        _COMPILED.clear()
-        _COMPILED[key] = RunCounter(spec.value)
-    return _COMPILED[key]
+    """The worker's own compiled tokenizer, made once per broadcast."""
+    if _COMPILED.get("of") is not spec:
+        _COMPILED.update(of=spec, counter=RunCounter(spec.value))
+    return _COMPILED["counter"]
 
 
 _CUT = "row_id long, doc_id {t}, n_bytes long, chunk_no int, n_tokens long, piece string"
