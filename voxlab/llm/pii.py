@@ -95,17 +95,24 @@ def _form(kind: str, m: Column) -> Column:
     return F.when(ok, 1).otherwise(-1)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: an expression named twice in a lambda is computed twice."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _running(lens: Column) -> Column:
     """Prefix sums of an array of long: sums of blocks first, then within each block."""
-    n = F.size(lens)
-    add = lambda a, x: a + x
-    zero = F.lit(0).cast("long")
-    of = lambda b: F.aggregate(F.slice(lens, b * BLOCK + 1, F.lit(BLOCK)), zero, add)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), of)
-    offsets = F.aggregate(blocks, F.array(zero), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
-    at = lambda i: F.floor(i / BLOCK).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1),
-                       lambda i: F.get(offsets, at(i)) + F.aggregate(F.slice(lens, at(i) * BLOCK + 1, i - at(i) * BLOCK + 1), zero, add))
+    add, zero = lambda a, x: a + x, F.lit(0).cast("long")
+
+    def sums(x: Column) -> Column:
+        n = F.size(x)
+        of = lambda b: F.aggregate(F.slice(x, b * BLOCK + 1, F.lit(BLOCK)), zero, add)
+        at = lambda i: F.floor(i / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), at(n - 1)), of)
+        offsets = F.aggregate(blocks, F.array(zero), lambda a, y: F.array_append(a, F.element_at(a, -1) + y))
+        return _let(offsets, lambda o: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(o, at(i)) + F.aggregate(
+            F.slice(x, at(i) * BLOCK + 1, i - at(i) * BLOCK + 1), zero, add)))
+    return _let(lens, sums)
 
 
 def _spans(text: Column, kind: str, pattern: str, base: bool, guard: Column) -> Column:
@@ -114,26 +121,26 @@ def _spans(text: Column, kind: str, pattern: str, base: bool, guard: Column) ->
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     k = KINDS.index(kind)
 
-    def made(both: Column) -> Column:
-        m, p = both["m"], both["p"]
-        # the i-th match begins after i + 1 pieces and i matches
-        ends = _running(F.zip_with(F.slice(p, F.lit(1), F.size(m)), m, lambda a, b: (F.length(a) + F.length(b)).cast("long")))
-
-        def one(i: Column) -> Column:
-            x, before, after, stop = F.get(m, i), F.substring(F.get(p, i), -BEFORE, BEFORE), F.substring(F.get(p, i + 1), 1, 1), F.get(ends, i)
-            ok = _holds(kind, x) if base else F.lit(False)
-            clean = (before.rlike(r"(?:^|[\s\"'(<\[:=,;])$")) & after.rlike(r"^(?:$|[\s\"')>\].,;:!?])")
-            votes = F.array(F.when(ok, 1).otherwise(-1), _form(kind, x), F.when(x.rlike(GAZETTEER[kind]), 1).otherwise(-1),
-                            F.when(before.rlike(CONTEXT[kind]), 1).otherwise(0), F.when(clean, 1).otherwise(-1))
-            shape = F.least(F.lit(3), F.floor(F.length(x) / 12)) * 3 + F.least(F.lit(2), F.floor(3 * F.length(_digits(x)) / F.length(x)))
-            return F.struct(F.lit(k).alias("kind"), (stop - F.length(x)).cast("long").alias("start"), stop.alias("stop"),
-                            ok.alias("base"), votes.alias("votes"), shape.cast("int").alias("shape"))
-        return F.transform(F.sequence(F.lit(0), F.size(m) - 1), one)
+    def span(x: Column, stop: Column, before: Column, after: Column) -> Column:
+        ok = _holds(kind, x) if base else F.lit(False)
+        clean = before.rlike(r"(?:^|[\s\"'(<\[:=,;])$") & after.rlike(r"^(?:$|[\s\"')>\].,;:!?])")
+        rule = F.when(ok, 1).otherwise(-1) if base else F.lit(0)  # the base rule has no say on what others propose
+        votes = F.array(rule, _form(kind, x), F.when(x.rlike(GAZETTEER[kind]), 1).otherwise(-1),
+                        F.when(before.rlike(CONTEXT[kind]), 1).otherwise(0), F.when(clean, 1).otherwise(-1))
+        shape = F.least(F.lit(3), F.floor(F.length(x) / 12)) * 3 + F.least(F.lit(2), F.floor(3 * F.length(_digits(x)) / F.length(x)))
+        return F.struct(F.lit(k).alias("kind"), (stop - F.length(x)).cast("long").alias("start"), stop.alias("stop"),
+                        ok.alias("base"), votes.alias("votes"), shape.cast("int").alias("shape"))
+
+    def made(b: Column) -> Column:
+        m, p = b["m"], b["p"]
+        # the i-th match ends after i + 1 pieces and as many matches
+        lens = F.zip_with(F.slice(p, F.lit(1), F.size(m)), m, lambda x, y: (F.length(x) + F.length(y)).cast("long"))
+        return _let(_running(lens), lambda ends: F.transform(F.sequence(F.lit(0), F.size(m) - 1), lambda i: span(
+            F.get(m, i), F.get(ends, i), F.substring(F.get(p, i), -BEFORE, BEFORE), F.substring(F.get(p, i + 1), 1, 1))))
 
     empty = F.array().cast(_SPAN)
-    # the arrays are bound once by the lambda, so no pattern runs twice
-    held = F.transform(F.array(F.struct(found.alias("m"), pieces.alias("p"))), lambda b: F.when(F.size(b["m"]) > 0, made(b)).otherwise(empty))
-    return F.when(guard, F.element_at(held, 1).cast(_SPAN)).otherwise(empty)
+    held = _let(F.struct(found.alias("m"), pieces.alias("p")), lambda b: F.when(F.size(b["m"]) > 0, made(b)).otherwise(empty))
+    return F.when(guard, held.cast(_SPAN)).otherwise(empty)
 
 
 def span_array(text: Column) -> Column:
@@ -142,7 +149,19 @@ def span_array(text: Column) -> Column:
     digit = t.rlike("[0-9]")
     at = {"email": t.contains("@"), "ip": digit, "card": digit, "phone": t.contains("+")}
     wide = {"email": t.rlike(r"[\[(] ?(?:at|AT) ?[\])]"), "card": t.rlike("[0-9]{4}"), "phone": t.rlike("[0-9]{3}[ .-][0-9]{4}"), "secret": t.rlike("[0-9][^ \\n]{0,200}[A-Za-z]|[A-Za-z][^ \\n]{0,200}[0-9]") & digit}
-    return F.concat(*[_spans(t, k, p, True, at[k]) for k, p in BASE.items()], *[_spans(t, k, p, False, wide[k] & digit) for k, p in WIDE.items()])
+    ruled = F.concat(*[_spans(t, k, p, True, at[k]) for k, p in BASE.items()])
+    proposed = F.concat(*[_spans(t, k, p, False, wide[k] & digit) for k, p in WIDE.items()])
+    return F.concat(ruled, proposed)
+
+
+def _meets(base: Column, s: Column) -> Column:
+    """Whether a span overlaps a base span of its kind."""
+    return F.exists(base, lambda b: (b["kind"] == s["kind"]) & (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+
+
+def judged(spans: Column) -> Column:
+    """Without the proposals that overlap a base span of their kind."""
+    return _let(F.filter(spans, lambda s: s["base"]), lambda base: F.filter(spans, lambda s: s["base"] | (F.get(s["votes"], 0) == -1) | ~_meets(base, s)))
 
 
 def estimate(counted: list[tuple[int, tuple[int, ...], int]], rounds: int = 100) -> dict:
@@ -215,14 +234,13 @@ def accepted(spans: Column, model: dict) -> Column:
             out = out + F.when(v == -1, w[1 + nk + 2 * j]).when(v == 1, w[2 + nk + 2 * j]).otherwise(0.0)
         return out + F.floor(s["shape"] / 3) / 3 * w[-2] + s["shape"] % 3 / 2 * w[-1]
 
-    def kept(all_spans: Column) -> Column:
-        base = F.filter(all_spans, lambda s: s["base"])
-        free = lambda s: ~F.exists(base, lambda b: (b["kind"] == s["kind"]) & (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-        more = F.filter(all_spans, lambda s: ~s["base"] & (score(s) >= 0) & free(s))
-        flat = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["base"].alias("base")))
-        once = lambda a: F.array_distinct(F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.lit(False).alias("base"))))
-        return F.array_sort(F.concat(flat(base), once(more)))
-    return kept(spans)
+    def plain(s: Column, base: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), base.alias("base"))
+
+    def kept(base: Column) -> Column:
+        more = F.filter(spans, lambda s: ~s["base"] & (score(s) >= 0) & ~_meets(base, s))
+        return F.array_sort(F.concat(F.transform(base, lambda s: plain(s, s["base"])), F.array_distinct(F.transform(more, lambda s: plain(s, F.lit(False))))))
+    return _let(F.filter(spans, lambda s: s["base"]), kept)
 
 
 def _joined(spans: Column) -> Column:
@@ -232,7 +250,8 @@ def _joined(spans: Column) -> Column:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, number of base spans by kind, base_sha256, spans and number of spans added."""
-    rows = stage(docs.select(F.col(id_col).alias("doc_id"), span_array(F.col(text_col).cast("string")).alias("spans")), "spans")
+    rows = stage(docs.select(F.col(id_col).alias("doc_id"), span_array(F.col(text_col).cast("string")).alias("spans")) \
+        .withColumn("spans", judged(F.col("spans"))), "spans")
     rows = rows.withColumn("kept", accepted(F.col("spans"), fitted(rows)))
     base = F.filter("kept", lambda s: s["base"])
     n = lambda k: F.size(F.filter("kept", lambda s: s["base"] & (s["kind"] == k))).cast("long")
@@ -250,8 +269,9 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     names = [f"c{i}" for i in range(len(cols))]
     t = names[cols.index(text_col)]
     d = docs.toDF(*names)
-    model = fitted(stage(d.select(span_array(F.col(t)).alias("spans")).where(F.size("spans") > 0), "spans"))
-    d = d.withColumn("_s", accepted(span_array(F.col(t)), model))
+    found = d.select(span_array(F.col(t)).alias("spans")).where(F.size("spans") > 0).select(judged(F.col("spans")).alias("spans"))
+    model = fitted(stage(found, "spans"))
+    d = d.withColumn("_a", span_array(F.col(t))).withColumn("_s", accepted(F.col("_a"), model))
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("pos"))
 
