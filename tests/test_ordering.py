@@ -1,6 +1,7 @@
 """Bucketed exact ranks, prefix sums and percentiles equal the plain window forms."""
 
 import numpy as np
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
@@ -84,3 +85,25 @@ def test_approx_percentiles_close_to_exact(spark):
     ex = {(r.g, r.p): r.value for r in percentiles(df, "x", [0.25, 0.5, 0.75], ["g"]).collect()}
     ap = {(r.g, r.p): r.value for r in percentiles(df, "x", [0.25, 0.5, 0.75], ["g"], approx=True).collect()}
     assert set(ex) == set(ap) and all(abs(ex[k] - ap[k]) < 0.05 for k in ex)
+
+
+def test_null_groups_are_ranked_like_a_window(spark):
+    from voxlab.operators.sampling import assign_folds, split_stratified
+    rows = [(i, None if i % 10 == 0 else i % 2, float(i % 7) if i % 5 else None) for i in range(100)]
+    df = spark.createDataFrame(rows, "event_id long, status int, x double")
+    for out in (split_stratified(df, "event_id", "status"), assign_folds(df, "event_id", "status")):
+        assert out.count() == 100
+    r = exact_rank(df, ["status"], ["event_id"], F.col("event_id") % 3 * 0, out="r").orderBy("event_id").collect()
+    w = df.withColumn("r", F.row_number().over(Window.partitionBy("status").orderBy("event_id"))).orderBy("event_id").collect()
+    assert [x.r for x in r] == [x.r for x in w]
+
+
+def test_percentiles_without_and_with_null_groups(spark):
+    rows = [(None if i % 3 == 0 else "g", float(i * i % 37) if i % 8 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.p: r.value for r in exact_percentiles(df, (), "x", probs).collect()}
+    assert got == pytest.approx({p: float(np.quantile([x for _, x in rows if x is not None], p)) for p in probs})
+    by = {(r.g, r.p): r.value for r in exact_percentiles(df, ["g"], "x", probs).collect()}
+    want = {(g, p): float(np.quantile([x for h, x in rows if x is not None and h == g], p)) for g in (None, "g") for p in probs}
+    assert by == pytest.approx(want)

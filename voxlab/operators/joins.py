@@ -17,8 +17,9 @@ BANDS_SCHEMA = T.StructType([
     T.StructField("page_color", T.StringType(), False), T.StructField("page_bg", T.StringType(), False),
 ])
 
-# A band table is a handful of rows; larger tables are refused for the broadcast.
+# A band table of known size up to this is broadcast; others are joined by cells of this width.
 MAX_BAND_ROWS = 10_000
+BAND_CELL = 16
 
 
 def bands_table(spark: SparkSession) -> DataFrame:
@@ -31,18 +32,14 @@ def band_join(df: DataFrame, score: str, bands: DataFrame | None = None, roundin
 
     ``rounding=None``: training rule, raw score (10.4 falls into the 10..11
     gap and gets the fallback band); ``"half_even"``: serving rule
-    (``bround``).  Unmatched rows get the fallback band.  The band table is
-    broadcast; its size is checked (``n_bands`` when the caller knows it, a
-    bounded count otherwise) so the broadcast never grows with the data.
+    (``bround``).  Unmatched rows get the fallback band.  The table is
+    broadcast only when its size is known to be small (``n_bands``, or the
+    built-in table); otherwise scores and bands meet by cells of the score.
     """
     spark = df.sparkSession
     if bands is None:
         bands = bands_table(spark)
         n_bands = len(C.SEVERITY_BANDS)
-    if n_bands is None:
-        n_bands = bands.limit(MAX_BAND_ROWS + 1).count()
-    if n_bands > MAX_BAND_ROWS:
-        raise ValueError(f"band table has more than {MAX_BAND_ROWS} rows; not broadcasting it")
     s = F.col(score)
     if rounding == "half_even":
         s = round_half_even(s, 0)
@@ -50,7 +47,12 @@ def band_join(df: DataFrame, score: str, bands: DataFrame | None = None, roundin
         s = F.round(s, 0)
     b = bands.select(F.col("lo").alias("_vx_lo"), F.col("hi").alias("_vx_hi"),
                      F.col("label").alias("_vx_label"), F.col("color").alias("_vx_color"))
-    j = df.join(F.broadcast(b), (s >= F.col("_vx_lo")) & (s <= F.col("_vx_hi")), "left")
+    inside = (s >= F.col("_vx_lo")) & (s <= F.col("_vx_hi"))
+    if n_bands is not None and n_bands <= MAX_BAND_ROWS:
+        j = df.join(F.broadcast(b), inside, "left")
+    else:  # any number of bands: an equi-join on cells that a band is listed under
+        at = b.withColumn("_vx_cell", F.explode(F.sequence(F.floor(F.col("_vx_lo") / BAND_CELL), F.floor(F.col("_vx_hi") / BAND_CELL))))
+        j = df.join(at, (F.floor(s / BAND_CELL) == F.col("_vx_cell")) & inside, "left").drop("_vx_cell")
     fb = [x for x in C.SEVERITY_BANDS if x[2] == C.FALLBACK_BAND][0]
     cols = {out: F.coalesce(F.col("_vx_label"), F.lit(fb[2]))}
     if color:
@@ -84,8 +86,3 @@ def apply_scaler(df: DataFrame, params, feats: Sequence[str], suffix: str = "")
 def name_lookup(df: DataFrame, idx: str, names: Sequence[str], out: str = "feature") -> DataFrame:
     """Feature index -> name (a literal array; no join needed)."""
     return df.withColumn(out, F.element_at(F.array(*[F.lit(n) for n in names]), F.col(idx) + 1))
-
-
-def scalar_of(df: DataFrame, col: str) -> Column:
-    """First value of a one-row frame as a scalar-subquery column."""
-    return df.select(F.col(col)).scalar()

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _B = "_vx_bucket"
+_G = "_vx_group"
 
 
 def _cols(xs) -> list:
@@ -97,31 +98,29 @@ def prefix_sums(df: DataFrame, by, order, bucket: Column, values: dict[str, Colu
     The bucket totals are aggregated from the windowed rows themselves (already
     partitioned by ``(by, bucket)``), so the input is shuffled once.
     """
-    by = _cols(by)
-    order = _cols(order)
-    b = df.withColumn(_B, bucket)
+    by, order = _cols(by), _cols(order)
+    # a struct is never null, so null groups and buckets meet themselves in the join, as they do in a window
+    b = df.withColumns({_G: F.struct(*by) if by else F.struct(F.lit(0)), _B: F.struct(bucket)})
     for name, v in values.items():
         b = b.withColumn(f"_vx_v_{name}", v)
-    inner = Window.partitionBy(*by, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy(_G, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = b
     for name in values:
         local = local.withColumn(f"_vx_l_{name}", F.coalesce(F.sum(f"_vx_v_{name}").over(inner), F.lit(0)))
-    sizes = local.groupBy(*by, _B).agg(*[F.sum(f"_vx_v_{n}").alias(f"_vx_n_{n}") for n in values])
-    outer = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes
+    offs = local.groupBy(_G, _B).agg(*[F.sum(f"_vx_v_{n}").alias(f"_vx_n_{n}") for n in values])
+    outer = Window.partitionBy(_G).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     for name in values:
         offs = offs.withColumn(f"_vx_o_{name}", F.coalesce(F.sum(f"_vx_n_{name}").over(outer), F.lit(0)))
         if totals:
-            offs = offs.withColumn(f"{name}_total", F.sum(f"_vx_n_{name}").over(Window.partitionBy(*by)))
-    keep = [*by, _B] + [f"_vx_o_{n}" for n in values] + ([f"{n}_total" for n in values] if totals else [])
-    out = local.join(offs.select(*keep), on=[*by, _B], how="inner")
+            offs = offs.withColumn(f"{name}_total", F.sum(f"_vx_n_{name}").over(Window.partitionBy(_G)))
+    keep = [_G, _B] + [f"_vx_o_{n}" for n in values] + ([f"{n}_total" for n in values] if totals else [])
+    out = local.join(offs.select(*keep), on=[_G, _B], how="inner")
     for name in values:
         run = F.col(f"_vx_o_{name}") + F.col(f"_vx_l_{name}")
         if not inclusive:
             run = run - F.coalesce(F.col(f"_vx_v_{name}"), F.lit(0))
         out = out.withColumn(name, run)
-    drop = [_B] + [f"_vx_{p}_{n}" for n in values for p in ("v", "l", "o")]
-    return out.drop(*drop)
+    return out.drop(_G, _B, *[f"_vx_{p}_{n}" for n in values for p in ("v", "l", "o")])
 
 
 def exact_rank(df: DataFrame, by, order, bucket: Column, out: str = "rank",
@@ -148,8 +147,10 @@ def exact_percentiles(df: DataFrame, by, value: str, probs: Sequence[float],
 
     No task ever holds a whole group.
     """
-    by = _cols(by)
+    names = _cols(by)
+    by = ["_vx_by"]  # never null, so null groups keep their percentiles
     x = F.col(value).cast("double")
+    df = df.withColumn("_vx_by", F.struct(*names) if names else F.struct(F.lit(0)))
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, x.alias("_vx_x")).agg(F.count(F.lit(1)).alias("_vx_c"))
     counts = counts.withColumn(_B, value_bucket(F.col("_vx_x"), per_octave))
     cum = prefix_sums(counts, by, ["_vx_x"], F.col(_B), {"_vx_cum": F.col("_vx_c")}, inclusive=True, totals=True)
@@ -179,4 +180,4 @@ def exact_percentiles(df: DataFrame, by, value: str, probs: Sequence[float],
         F.max(F.when(F.col("which") == 1, F.col("_vx_x"))).alias("_hi_v"))
     val = (F.when(F.col("frac") > 0, F.col("_lo_v") + F.col("frac") * (F.col("_hi_v") - F.col("_lo_v")))
            .otherwise(F.col("_lo_v")))
-    return agg.select(*by, "p", val.alias("value"))
+    return agg.select(*[F.col(f"_vx_by.`{c}`").alias(c) for c in names], "p", val.alias("value"))

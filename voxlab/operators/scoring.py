@@ -143,15 +143,20 @@ def explain_first(z: DataFrame, model, feats: Sequence[str], key: str,
 def analyse(df: DataFrame, model, feats: Sequence[str], scaler_params=None,
             sev_model=None, sev_feats: Sequence[str] = (), label_prefix: str = "Sample",
             order: Sequence[str] = ("row_id",), audio: bool = False,
-            background: DataFrame | None = None) -> dict:
+            background: DataFrame | None = None, explain: bool = True, ts=None) -> dict:
     """Select -> standardise -> score -> log rows -> severity -> first-row
     attribution -> global importance.
 
     Returns a dict of DataFrames: ``scored``, ``log`` (typed log rows),
     ``severity`` (positives only, when a severity model is given),
     ``attribution`` (first row by ``order[0]``; may be None) and
-    ``importance`` (top 12; None for models without one).
+    ``importance`` (top 12; None for models without one).  ``explain=False``
+    leaves the attribution out; an explainer that fails raises.  ``ts`` is the
+    time written to the log, the time of this call when absent, so that
+    every later read of the log agrees.
     """
+    from datetime import datetime, timezone
+
     from .explain import feature_importance, top_importance
     from .joins import apply_scaler
     from .project import result_text, row_labels
@@ -163,14 +168,11 @@ def analyse(df: DataFrame, model, feats: Sequence[str], scaler_params=None,
     z = apply_scaler(x, scaler_params, feats) if scaler_params is not None else x
     s = score(z, model, feats)
     log = row_labels(result_text(s, "prediction", audio), label_prefix, list(order), out="label")
-    log = log.select(F.current_timestamp().alias("ts"), "label", "input_type", "result", "p_positive", "confidence")
+    log = log.select(F.lit(ts or datetime.now(timezone.utc)).cast("timestamp").alias("ts"), "label", "input_type", "result", "p_positive", "confidence")
     out = {"scored": s, "log": log}
     if sev_model is not None:
         out["severity"] = score_severity(s, sev_model, sev_feats)
-    try:  # as in the page: no attribution when the explainer cannot run for this model
-        out["attribution"] = explain_first(z, model, feats, order[0], background)
-    except (ValueError, TypeError, KeyError):
-        out["attribution"] = None
+    out["attribution"] = explain_first(z, model, feats, order[0], background) if explain else None
     imp = feature_importance(df.sparkSession, model, list(feats))
     out["importance"] = top_importance(imp) if imp is not None else None
     return out

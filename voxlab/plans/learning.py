@@ -32,6 +32,10 @@ DEMO_GRIDS = {
     "Boosted Trees": {"n_estimators": [20], "max_depth": [3], "learning_rate": [0.1], "subsample": [1.0]},
 }
 DEMO_SEVERITY_GRID = {"n_estimators": [20], "max_depth": [4], "learning_rate": [0.1], "subsample": [1.0]}
+# one point a family; the support vector machine's solver is cut short, as only the round trip is shown
+BUNDLE_GRIDS = {**DEMO_GRIDS, "SVM": {"C": [1.0], "kernel": ["rbf"], "gamma": ["scale"], "max_iter": [20], "n_components": [16]}}
+# the severity stand-in is a user's mean, so that mean is no feature
+BAND_FEATURES = [f for f in EVENT_FEATURES if f != "user_mean"]
 SEV_FEATURES = ["year", "month", "dow", "priority", "is_f"]
 
 
@@ -58,13 +62,15 @@ def q_model_selection(spark: SparkSession, sf: str) -> DataFrame:
     best = sel.best_name
     # publish: the chosen model on the whole labelled set, scaled with the training constants
     from ..operators.joins import apply_scaler
-    full = apply_scaler(labelled_events(spark, sf), params, EVENT_FEATURES)
-    scored = score(full, sel.best_model, EVENT_FEATURES)
+    path = scratch_path(spark, "best-bundle")
+    IO.save_bundle(spark, path, sel.best_model, EVENT_FEATURES, params.first().asDict())
+    model, feats, scaler = IO.load_bundle(spark, path)
+    full = apply_scaler(labelled_events(spark, sf), scaler, feats)
+    scored = score(full, model, feats)
     doc = metrics_document(scored, "status", type(sel.best_model).__name__, best, full.count(),
                            "events stand-in", len(EVENT_FEATURES))
     mpath = scratch_path(spark, "metrics")
     IO.write_metrics(doc, mpath)
-    IO.save_pipeline(sel.best_model, scratch_path(spark, "best-model"))
     published = IO.read_metrics(spark, mpath).select(F.col("model_label").alias("family"),
                                                      F.col("roc_auc").alias("published_roc_auc"))
     return sel.results.select("family", F.to_json("params").alias("params"), F.round("cv_auc", 4).alias("cv_auc"),
@@ -79,7 +85,7 @@ def q_severity_training(spark: SparkSession, sf: str) -> DataFrame:
     JSON and the model saved, both in the shared folder and read back."""
     from ..operators.scoring import severity_document
     o = split_plain(longitudinal_orders(spark, sf), "o_orderkey")
-    tr, te, _ = standardise(o.where(~F.col("is_test")), o.where(F.col("is_test")), SEV_FEATURES)
+    tr, te, params = standardise(o.where(~F.col("is_test")), o.where(F.col("is_test")), SEV_FEATURES)
     tr = cut_lineage(assign_folds(tr, "o_orderkey"))
     model, best, scores = fit_severity(tr, SEV_FEATURES, "target", DEMO_SEVERITY_GRID)
     pred = model.transform(VectorAssembler(inputCols=SEV_FEATURES, outputCol="features").transform(te))
@@ -87,7 +93,7 @@ def q_severity_training(spark: SparkSession, sf: str) -> DataFrame:
     doc = severity_document(m, type(model).__name__, "target", o.count(), len(SEV_FEATURES))
     path = scratch_path(spark, "severity-metrics")
     IO.write_metrics(doc, path)
-    IO.save_pipeline(model, scratch_path(spark, "severity-model"))
+    IO.save_bundle(spark, scratch_path(spark, "severity-bundle"), model, SEV_FEATURES, params.first().asDict())
     back = IO.read_metrics(spark, path)
     return back.select("n_features", "mae", "rmse", "r2", F.size("severity_bands").alias("n_bands"),
                        F.lit(int(best["n_estimators"])).alias("n_estimators"),
@@ -166,8 +172,10 @@ def q_upload_analysis(spark: SparkSession, sf: str) -> DataFrame:
         apply_scaler(train, params, EVENT_FEATURES))
     lr = LogisticRegression(regParam=0.01, maxIter=100, threshold=0.2).fit(
         tz.withColumn("label", F.col("status").cast("double")))
-    sev_model = LinearRegression(maxIter=20).fit(tz.withColumn("label", F.col("user_mean") * 0.1))
-    res = analyse(df.where(F.col("is_test")), lr, EVENT_FEATURES, params, sev_model, EVENT_FEATURES,
+    sev_model = LinearRegression(maxIter=20, featuresCol="sev").fit(
+        VectorAssembler(inputCols=BAND_FEATURES, outputCol="sev").transform(tz).withColumn("label", F.lit(30.0) + 10 * F.col("user_mean")))
+    sev_model.setFeaturesCol("features")
+    res = analyse(df.where(F.col("is_test")), lr, EVENT_FEATURES, params, sev_model, BAND_FEATURES,
                   order=["event_id"])
     log_path = scratch_path(spark, "prediction-log")
     IO.append_log(res["log"], log_path)
@@ -189,9 +197,11 @@ def q_severity_bands(spark: SparkSession, sf: str) -> DataFrame:
     # decision threshold at the class prior (purchases are about 20 % of events)
     lr = LogisticRegression(regParam=0.01, maxIter=100, threshold=0.2).fit(
         tz.withColumn("label", F.col("status").cast("double")))
-    sev_model = LinearRegression(maxIter=20).fit(tz.withColumn("label", F.col("user_mean") * 0.1))
+    sev_model = LinearRegression(maxIter=20, featuresCol="sev").fit(
+        VectorAssembler(inputCols=BAND_FEATURES, outputCol="sev").transform(tz).withColumn("label", F.lit(30.0) + 10 * F.col("user_mean")))
+    sev_model.setFeaturesCol("features")
     scored = score(apply_scaler(df.where(F.col("is_test")), params, EVENT_FEATURES), lr, EVENT_FEATURES)
-    s = score_severity(scored, sev_model, EVENT_FEATURES)
+    s = score_severity(scored, sev_model, BAND_FEATURES)
     return s.select("event_id", F.round("severity", 4).alias("severity"), "severity_band", "severity_margin")
 
 
@@ -229,16 +239,98 @@ def q_recording_screening(spark: SparkSession, sf: str) -> DataFrame:
         (F.avg((F.col("event_type") == "purchase").cast("double")) > 0.2).cast("int").alias("status"))
     data = cut_lineage(vf.join(ev, "recording_id"))
     feats = common_columns(data, C.COMMON_FEATURES)
-    params = fit_scaler(data, feats)
+    data = cut_lineage(split_stratified(data, "recording_id", "status"))
+    train = data.where(~F.col("is_test"))
+    params = fit_scaler(train, feats)
     from ..operators.joins import apply_scaler
-    z = VectorAssembler(inputCols=feats, outputCol="features").transform(apply_scaler(data, params, feats)) \
+    z = VectorAssembler(inputCols=feats, outputCol="features").transform(apply_scaler(train, params, feats)) \
         .withColumn("label", F.col("status").cast("double"))
     lr = LogisticRegression(regParam=0.1, maxIter=100).fit(z)
-    res = analyse(data, lr, feats, params, label_prefix="Recording", order=["recording_id"], audio=True)
+    res = analyse(data.where(F.col("is_test")), lr, feats, params, label_prefix="Recording", order=["recording_id"], audio=True)
     return res["log"].select("label", "input_type", "result", F.round("p_positive", 6).alias("p_positive"))
 
 
+def _holdout_sql() -> str:
+    """Number of hold-out rows: a fifth of each class, rounded."""
+    return ("SELECT CAST(sum(round(0.2 * n)) AS BIGINT) FROM (SELECT count(*) AS n FROM events "
+            "GROUP BY CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)")
+
+
+def q_bundle_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """IO7 / IO8 / M11 for every family: train, save model + scaler + features as one bundle, load it, score the
+    hold-out rows of a new file with what was loaded; rows say whether the scores are those of the fitted model."""
+    from ..operators.joins import apply_scaler
+    from ..operators.learn import families
+    from ..operators.stats import fit_scaler
+    df = cut_lineage(split_stratified(labelled_events(spark, sf), "event_id", "status"))
+    train = df.where(~F.col("is_test"))
+    scaler = fit_scaler(train, EVENT_FEATURES).first().asDict()
+    tz = VectorAssembler(inputCols=EVENT_FEATURES, outputCol="features").transform(apply_scaler(train, scaler, EVENT_FEATURES)) \
+        .select("features", F.col("status").cast("double").alias("label")).persist()
+    n, out = tz.count(), None
+    for fam in families(BUNDLE_GRIDS):
+        fitted = fam.build(fam.grid[-1], n, len(EVENT_FEATURES)).fit(tz)
+        path = scratch_path(spark, "bundle")
+        IO.save_bundle(spark, path, fitted, EVENT_FEATURES, scaler)
+        model, feats, params = IO.load_bundle(spark, path)
+        test = df.where(F.col("is_test"))
+        a = score(apply_scaler(test, params, feats), model, feats).select("event_id", "p_healthy", "p_positive", "prediction")
+        b = score(apply_scaler(test, scaler, EVENT_FEATURES), fitted, EVENT_FEATURES).select("event_id", F.col("p_positive").alias("p"))
+        row = a.join(b, "event_id").agg(
+            F.lit(fam.name).alias("family"), F.count(F.lit(1)).alias("n"),
+            (F.max(F.abs(F.col("p") - F.col("p_positive"))) == 0).alias("same_scores"),
+            (F.max(F.abs(F.col("p_healthy") + F.col("p_positive") - 1)) < 1e-9).alias("sums_to_one"),
+            F.lit(len(feats)).alias("n_features"))
+        out = row if out is None else out.unionByName(row)
+    out = cut_lineage(out)
+    tz.unpersist()
+    return out
+
+
+SQL_BUNDLE_ROUNDTRIP = ("SELECT family, (" + _holdout_sql() + ") AS n, TRUE AS same_scores, TRUE AS sums_to_one, 5 AS n_features "
+                        "FROM (VALUES " + ", ".join(f"('{f}')" for f in C.FAMILY_ORDER) + ") t(family)")
+
+
+def q_upload_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """M20 whole: log, severity, attribution and importance of one upload, with the properties they must have."""
+    from pyspark.ml.regression import LinearRegression
+
+    from ..operators.joins import apply_scaler
+    from ..operators.stats import fit_scaler
+    from ..operators.treeshap import tree_attribution
+    df = cut_lineage(split_stratified(labelled_events(spark, sf), "event_id", "status"))
+    train = df.where(~F.col("is_test"))
+    params = fit_scaler(train, EVENT_FEATURES).first().asDict()
+    z = apply_scaler(train, params, EVENT_FEATURES)
+    tz = VectorAssembler(inputCols=EVENT_FEATURES, outputCol="features").transform(z).withColumn("label", F.col("status").cast("double"))
+    gbt = GBTClassifier(maxIter=10, maxDepth=3, seed=C.SEED).fit(tz)
+    sev = LinearRegression(maxIter=20).fit(VectorAssembler(inputCols=BAND_FEATURES, outputCol="features").transform(z)
+                                           .withColumn("label", F.lit(30.0) + 10 * F.col("user_mean")))
+    upload = df.where(F.col("is_test"))
+    res = analyse(upload, gbt, EVENT_FEATURES, params, sev, BAND_FEATURES, order=["event_id"])
+    log, severity = cut_lineage(res["log"]), cut_lineage(res["severity"])
+    att = tree_attribution(apply_scaler(upload, params, EVENT_FEATURES), "event_id", EVENT_FEATURES, gbt)
+    margin = gbt.transform(VectorAssembler(inputCols=EVENT_FEATURES, outputCol="features").transform(apply_scaler(upload, params, EVENT_FEATURES)))
+    from pyspark.ml.functions import vector_to_array
+    margin = margin.select("event_id", (vector_to_array(F.col("rawPrediction"))[1] / 2).alias("m"), vector_to_array(F.col("rawPrediction"))[1].alias("m2"))
+    add = att.groupBy("event_id").agg((F.sum("value") + F.first("base_value")).alias("total")).join(margin, "event_id") \
+        .agg(F.least(F.max(F.abs(F.col("total") - F.col("m"))), F.max(F.abs(F.col("total") - F.col("m2")))).alias("e"), F.count(F.lit(1)).alias("n"))
+    positives = log.where(F.col("p_positive") >= 0.5).count()
+    return log.agg(F.count(F.lit(1)).alias("log_rows"), (F.count_distinct("ts") == 1).alias("one_time")) \
+        .join(severity.agg((F.count(F.lit(1)) == positives).alias("severity_for_positives"),
+                           F.coalesce(F.min("severity") >= 0, F.lit(True)).alias("severity_clipped"),
+                           (F.count_if(F.col("severity_band").isNull()) == 0).alias("all_banded"))) \
+        .join(res["attribution"].agg(F.count(F.lit(1)).alias("attribution_rows"))) \
+        .join(add.select((F.col("e") < 1e-6).alias("additive"), F.col("n").alias("attributed_rows")))
+
+
+SQL_UPLOAD_WHOLE = ("SELECT h AS log_rows, TRUE AS one_time, TRUE AS severity_for_positives, TRUE AS severity_clipped, TRUE AS all_banded, "
+                    "CAST(5 AS BIGINT) AS attribution_rows, TRUE AS additive, h AS attributed_rows FROM (SELECT (" + _holdout_sql() + ") AS h)")
+
+
 QUERIES = {
+    "bundle_roundtrip": (q_bundle_roundtrip, SQL_BUNDLE_ROUNDTRIP),
+    "upload_whole": (q_upload_whole, SQL_UPLOAD_WHOLE),
     "model_selection": (q_model_selection, None),
     "severity_training": (q_severity_training, None),
     "feature_importance": (q_feature_importance, None),

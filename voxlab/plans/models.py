@@ -63,7 +63,7 @@ def published(spark, sf):
     from ..operators.learn import standardise
     z, _, _ = standardise(df, None, EVENT_FEATURES)
     s = linear_score(z)
-    return metrics_document(s, "status", "LinearScorer", "Fixed linear scorer", 0, "events stand-in",
+    return metrics_document(s, "status", "LinearScorer", "Fixed linear scorer", df.count(), "events stand-in",
                             len(EVENT_FEATURES), score_col="score")
 
 
@@ -72,7 +72,7 @@ def q_published_metrics(spark, sf):
     return d.select("model_name", "accuracy", "precision", "recall", "f1", "roc_auc",
                     F.col("confusion_matrix")[0][0].alias("tn"), F.col("confusion_matrix")[0][1].alias("fp"),
                     F.col("confusion_matrix")[1][0].alias("fn"), F.col("confusion_matrix")[1][1].alias("tp"),
-                    "n_features", "cv_folds")
+                    "n_features", "cv_folds", "dataset_size")
 
 
 def _full_scored_sql() -> str:
@@ -97,7 +97,7 @@ SELECT 'LinearScorer' AS model_name,
        round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / CAST(tp + fn AS DOUBLE) END, 4) AS recall,
        round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) END, 4) AS f1,
        round(auc, 4) AS roc_auc, CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
-       CAST(tp AS BIGINT) AS tp, 5 AS n_features, 5 AS cv_folds
+       CAST(tp AS BIGINT) AS tp, 5 AS n_features, 5 AS cv_folds, n AS dataset_size
 FROM c, auc"""
 
 

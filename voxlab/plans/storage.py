@@ -51,7 +51,7 @@ def q_metrics_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_METRICS_ROUNDTRIP = "WITH m AS (" + models.SQL_PUBLISHED_METRICS + """)
-SELECT model_name, accuracy, roc_auc, tp, CAST(0 AS BIGINT) AS dataset_size, 195 AS absent_default FROM m"""
+SELECT model_name, accuracy, roc_auc, tp, dataset_size, 195 AS absent_default FROM m"""
 
 
 def q_log_lifecycle(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.project import result_text
+from ..session import cut_lineage
 from ..streaming.stream import events_stream, run_to_sink, score_stream, session_tally_stream, tally_stream
 
 DIVISOR = 613.0
@@ -80,14 +81,16 @@ def q_stream_model_scores(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.tables import read_table
     from .learning import _fit_pipeline
     model, _ = _fit_pipeline(spark, sf)
-    users = read_table(spark, sf, "events").groupBy("user_id").agg(
-        F.count(F.lit(1)).cast("double").alias("user_n"), F.avg("value").alias("user_mean"))
+    users = cut_lineage(read_table(spark, sf, "events").where("user_id is not null").groupBy("user_id").agg(
+        F.count(F.lit(1)).cast("double").alias("user_n"), F.avg("value").alias("user_mean")))
 
     def scorer(s: DataFrame) -> DataFrame:
-        feats = s.join(users, "user_id").select(
+        # a user not yet in the table keeps its rows, features defaulted
+        feats = s.join(users, "user_id", "left").select(
             "event_id", "user_id", (F.col("event_type") == "purchase").cast("int").alias("status"),
             F.col("value").cast("double").alias("value"), F.hour("ts").cast("double").alias("hour"),
-            F.get_json_object("props", "$.k").try_cast("double").alias("k"), "user_n", "user_mean")
+            F.get_json_object("props", "$.k").try_cast("double").alias("k"),
+            F.coalesce("user_n", F.lit(0.0)).alias("user_n"), F.coalesce("user_mean", F.lit(0.0)).alias("user_mean"))
         out = split_probability(model.transform(feats))
         return result_text(out.withColumn("prediction", F.col("prediction").cast("int")), "prediction") \
             .select("event_id", "user_id", "status", "prediction", F.round("p_positive", 6).alias("p_positive"), "result")

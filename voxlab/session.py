@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -47,8 +48,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names the folder; only when nothing is configured (tests on a
-    laptop) a fresh scratch folder is created and registered.
+    The cluster names the folder.  Only where driver and executors are one
+    process (a local master, as in tests) and nothing is configured, a fresh scratch
+    folder is made; elsewhere executors couldn't see it, so a name is required.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -56,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="voxlab-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -71,18 +75,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/voxlab/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(p: str) -> str:
-    """Strip a ``file:`` scheme (for local-only helpers such as tests)."""
-    return p[5:] if p.startswith("file:") else p
+def cut_lineage(df):
+    """``df`` written as Parquet into the shared folder and read back.
 
-
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared folder (never ``localCheckpoint``)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    Unlike a row-based checkpoint, later readers read only the columns they
+    use; a lost executor costs the running stage alone.  Column names and
+    vector columns survive as they are.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-__all__ = ["get_spark", "ensure_checkpoint_dir", "scratch_path", "cut_lineage", "local_path", "ship_package"]
+__all__ = ["get_spark", "ensure_checkpoint_dir", "scratch_path", "cut_lineage", "ship_package"]
 
 
 _SHIPPED: set = set()

@@ -32,9 +32,15 @@ def read_features(spark: SparkSession, path: str, schema: T.StructType | None =
     return (r.schema(schema) if schema is not None else r.option("inferSchema", True)).csv(path)
 
 
-def read_longitudinal(spark: SparkSession, path: str, keep: Sequence[str] | None = None) -> DataFrame:
-    """IO2: longitudinal CSV; extra columns tolerated, wanted ones selected by name."""
-    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+def read_longitudinal(spark: SparkSession, path: str, keep: Sequence[str] | None = None,
+                      schema: T.StructType | None = None) -> DataFrame:
+    """IO2: longitudinal CSV; extra columns tolerated, wanted ones selected by name.
+
+    With ``schema`` (all columns of the file, in order) the file is read once; without it a first
+    pass infers the types.
+    """
+    r = spark.read.option("header", True)
+    df = (r.schema(schema) if schema is not None else r.option("inferSchema", True)).csv(path)
     return df.select(*[F.col(f"`{c}`") for c in keep]) if keep else df
 
 
@@ -75,10 +81,43 @@ def load_pipeline(path: str, optional: bool = False, svm: bool = False):
             from ..operators.learn import PlattSVMModel
             return PlattSVMModel.load(path)
         return PipelineModel.load(path)
-    except Exception:
-        if optional:
+    except Exception as e:
+        if optional and _absent(e):
+            return None
+        raise
+
+
+def _absent(e: Exception) -> bool:
+    """Whether a load failed as there is nothing at the path."""
+    return any(x in str(e) for x in ("PATH_NOT_FOUND", "does not exist", "Input path does not exist", "FileNotFoundException"))
+
+
+def save_bundle(spark: SparkSession, path: str, model, feats: Sequence[str], scaler: dict) -> None:
+    """IO7: model, scaler constants and feature list as one bundle.
+
+    The model is stored by its own writer beside a one-row table with the rest.
+    """
+    save_pipeline(model, f"{path}/model")
+    kind = "svm" if not hasattr(model, "write") else "spark"
+    spark.createDataFrame([(kind, list(feats), {k: float(v) for k, v in scaler.items()})],
+                          "kind string, features array<string>, scaler map<string,double>") \
+        .write.mode("overwrite").parquet(f"{path}/bundle")
+
+
+def load_bundle(spark: SparkSession, path: str, optional: bool = False):
+    """IO8: (model, features, scaler) of a saved bundle; None if ``optional`` and nothing is there."""
+    from pyspark.ml.util import DefaultParamsReader
+
+    from ..operators.learn import PlattSVMModel
+    try:
+        row = spark.read.parquet(f"{path}/bundle").first()
+        model = PlattSVMModel.load(f"{path}/model") if row["kind"] == "svm" else \
+            DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
+    except Exception as e:
+        if optional and _absent(e):
             return None
         raise
+    return model, list(row["features"]), dict(row["scaler"])
 
 
 def cached(df: DataFrame) -> DataFrame:
@@ -104,7 +143,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 def clear_log(spark: SparkSession, path: str) -> None:
     """IO12: replace the log by an empty table of the same schema."""
     spark.createDataFrame([], LOG_SCHEMA).withColumn("log_date", F.to_date("ts")) \
-        .write.mode("overwrite").partitionBy("log_date").parquet(path)
+        .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("log_date").parquet(path)
 
 
 def preview(df: DataFrame, n: int = 10, order: Sequence[str] | None = None) -> DataFrame:

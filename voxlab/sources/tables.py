@@ -34,7 +34,8 @@ def labelled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     ev = read_table(spark, sf_dir, "events")
     users = ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("user_n"), F.avg("value").alias("user_mean"))
-    return (ev.join(users, "user_id")
+    users = users.withColumnRenamed("user_id", "_vx_user")  # rows without a user are a user of their own
+    return (ev.join(users, F.col("user_id").eqNullSafe(F.col("_vx_user")))
             .select("event_id", "user_id",
                     (F.col("event_type") == "purchase").cast("int").alias("status"),
                     F.col("value").cast("double").alias("value"),
