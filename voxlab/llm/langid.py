@@ -79,7 +79,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = words(text)
-        if not self.langs or not any(w.isalpha() for w in found):
+        if not self.langs or not any(w.isalpha() or any(map(str.isalpha, w)) for w in found):
             return "und", 0.0
         ids = list(map(self.known.get, found))
         at = np.array([i for i in ids if i is not None], np.int64)
