@@ -148,9 +148,14 @@ def span_array(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     digit = t.rlike("[0-9]")
     at = {"email": t.contains("@"), "ip": digit, "card": digit, "phone": t.contains("+")}
-    wide = {"email": t.rlike(r"[\[(] ?(?:at|AT) ?[\])]"), "card": t.rlike("[0-9]{4}"), "phone": t.rlike("[0-9]{3}[ .-][0-9]{4}"), "secret": t.rlike("[0-9][^ \\n]{0,200}[A-Za-z]|[A-Za-z][^ \\n]{0,200}[0-9]") & digit}
+    wide = {
+        "email": (t.contains("(") | t.contains("[")) & t.rlike(r"[\[(] ?(?:at|AT) ?[\])]"),
+        "card": digit & t.rlike("[0-9]{4}"),
+        "phone": digit & t.rlike("[0-9]{3}[\\x20.-][0-9]{4}"),
+        "secret": digit & t.rlike("[A-Za-z0-9+/_-]{20}"),
+    }
     ruled = F.concat(*[_spans(t, k, p, True, at[k]) for k, p in BASE.items()])
-    proposed = F.concat(*[_spans(t, k, p, False, wide[k] & digit) for k, p in WIDE.items()])
+    proposed = F.concat(*[_spans(t, k, p, False, wide[k]) for k, p in WIDE.items()])
     return F.concat(ruled, proposed)
 
 
