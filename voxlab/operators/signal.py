@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -46,29 +46,40 @@ def dense_index(df: DataFrame, order: str, rec: str = REC, out: str = "i") -> Da
     return r.withColumn(out, F.col("_vx_pos") - 1).drop("_vx_pos")
 
 
+BLOCK = 4096
+
+
 def stencil(df: DataFrame, cols: Sequence[str], offsets: Sequence[int], rec: str = REC, i: str = "i",
             keep: Sequence[str] = ()) -> DataFrame:
     """Neighbour values as columns: ``<c>_<o>`` = value of ``c`` at ``i + o``.
 
-    Each row is copied to the positions ``i - o`` that read it and the copies
-    are regrouped on ``(rec, position)``: one shuffle, partitioned by
-    position, so a long recording is spread over all tasks.  Only positions
-    that exist (offset 0 present) are returned; missing neighbours are null.
+    Positions are cut into blocks of ``BLOCK``; only rows within reach of an edge
+    are copied to the next block, so about 1 + reach / BLOCK copies are
+    shuffled and a long recording is spread over all tasks.  One sort per block
+    serves all offsets.  Missing neighbours are null; offsets stay below BLOCK.
     """
-    offs = list(offsets)
-    if 0 not in offs:
-        offs = [0] + offs
-    ex = df.select(rec, i, *cols, *keep, F.explode(F.array(*[F.lit(o) for o in offs])).alias("_vx_o"))
-    ex = ex.withColumn("_vx_tgt", F.col(i) - F.col("_vx_o"))
-    aggs = []
-    for o in offs:
-        for c in cols:
-            aggs.append(F.max(F.when(F.col("_vx_o") == o, F.col(c))).alias(f"{c}_{_tag(o)}"))
-    for k in keep:
-        aggs.append(F.max(F.when(F.col("_vx_o") == 0, F.col(k))).alias(k))
-    aggs.append(F.max((F.col("_vx_o") == 0).cast("int")).alias("_vx_here"))
-    g = ex.groupBy(rec, F.col("_vx_tgt").alias(i)).agg(*aggs)
-    return g.where(F.col("_vx_here") == 1).drop("_vx_here")
+    offs = sorted({0, *offsets})
+    at = lambda d: block_bucket(F.col(i) - F.lit(d), BLOCK)
+    rows = df.select(rec, i, *cols, *keep, F.explode(F.array_distinct(F.array(at(offs[-1]), at(0), at(offs[0])))).alias("_vx_blk"))
+    w = Window.partitionBy(rec, "_vx_blk").orderBy(i)
+    near = {f"{c}_{_tag(o)}": F.max(c).over(w.rangeBetween(o, o)) for o in offs for c in cols}
+    return rows.withColumns(near).where(F.col("_vx_blk") == at(0)).select(rec, i, *near, *keep)
+
+
+#: Parts that a recording's rows are dealt in where they meet its constants.
+PARTS = 32
+
+
+def with_constants(df: DataFrame, constants: DataFrame, rec: str = REC) -> DataFrame:
+    """Inner join of rows with one row per recording.
+
+    The constants are repeated for each of ``PARTS`` parts and rows meet
+    them by ``(recording, part)``, the part a hash of the row, so a recording
+    that holds a large share of all rows is split.
+    """
+    parts = constants.withColumn("_vx_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    own = F.pmod(F.xxhash64(*[c for c in df.columns if c != rec] or [rec]), F.lit(PARTS)).cast("int")
+    return df.withColumn("_vx_part", own).join(parts, [rec, "_vx_part"]).drop("_vx_part")
 
 
 def _tag(o: int) -> str:
@@ -116,14 +127,14 @@ def minmax(df: DataFrame, x: str, rec: str = REC, eps: float = 1e-6, out: str |
     """``(x - min) / ((max - min) + eps)`` inside each group (group
     extremes by partial aggregation, joined back)."""
     st = df.groupBy(rec).agg(F.min(x).alias("_vx_mn"), F.max(x).alias("_vx_mx"))
-    return df.join(st, rec).withColumn(out or f"{x}_norm", (F.col(x) - F.col("_vx_mn")) /
+    return with_constants(df, st, rec).withColumn(out or f"{x}_norm", (F.col(x) - F.col("_vx_mn")) /
                                        ((F.col("_vx_mx") - F.col("_vx_mn")) + F.lit(eps))).drop("_vx_mn", "_vx_mx")
 
 
 def over_max(df: DataFrame, x: str, rec: str = REC, out: str | None = None) -> DataFrame:
     """``x / max(x)`` inside each group (null when the maximum is 0)."""
     st = df.groupBy(rec).agg(F.max(x).alias("_vx_mx"))
-    return df.join(st, rec).withColumn(out or f"{x}_share", F.try_divide(F.col(x), F.col("_vx_mx"))).drop("_vx_mx")
+    return with_constants(df, st, rec).withColumn(out or f"{x}_share", F.try_divide(F.col(x), F.col("_vx_mx"))).drop("_vx_mx")
 
 
 # ---------------------------------------------------------------------------
@@ -176,7 +187,8 @@ def histogram_density(df: DataFrame, x: str, rec: str = REC, max_bins: int = C.H
         "lo_e": F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.col("lo") - 0.5),
         "hi_e": F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("hi") + 0.5)})
     st = st.withColumn("step", (F.col("hi_e") - F.col("lo_e")) / F.col("bins"))
-    j = df.select(rec, F.col(x).alias("_vx_x")).join(st.where(F.col("bins") > 0), rec)
+    spread = [F.col(c).alias("_vx_at") for c in ("frame_idx", "i") if c in df.columns][:1]
+    j = with_constants(df.select(rec, F.col(x).alias("_vx_x"), *spread), st.where(F.col("bins") > 0), rec)
     bins, lo_e, hi_e, step, v = F.col("bins"), F.col("lo_e"), F.col("hi_e"), F.col("step"), F.col("_vx_x")
 
     def edge(k):
@@ -203,9 +215,13 @@ def density_entropy(hist: DataFrame, rec: str = REC) -> DataFrame:
     return e.select(rec, clip(F.col("h") / (F.log(F.col("k").cast("double")) + F.lit(1e-12)), 0.0, 1.0).alias("entropy"))
 
 
+def _index(df: DataFrame) -> list[str]:
+    return [c for c in ("frame_idx",) if c in df.columns]
+
+
 def rpde(frames: DataFrame, f0: str = "f0", rec: str = REC) -> DataFrame:
     """Normalised density entropy of voiced f0; 0.5 when n <= 10."""
-    v = voiced(frames, f0).select(rec, F.col(f0).cast("double").alias("x"))
+    v = voiced(frames, f0).select(rec, F.col(f0).cast("double").alias("x"), *_index(frames))
     n = v.groupBy(rec).agg(F.count(F.lit(1)).alias("n"))
     ent = density_entropy(histogram_density(v, "x", rec), rec)
     j = recordings(frames, rec).join(n, rec, "left").join(ent, rec, "left")
@@ -214,10 +230,10 @@ def rpde(frames: DataFrame, f0: str = "f0", rec: str = REC) -> DataFrame:
 
 def ppe(frames: DataFrame, f0: str = "f0", rec: str = REC) -> DataFrame:
     """Entropy of min-max normalised periods 1/(f0 + 1e-6); 0.2 when n <= 10."""
-    v = voiced(frames, f0).select(rec, guarded_reciprocal(F.col(f0).cast("double"), 1e-6).alias("period"))
+    v = voiced(frames, f0).select(rec, guarded_reciprocal(F.col(f0).cast("double"), 1e-6).alias("period"), *_index(frames))
     st = v.groupBy(rec).agg(F.count(F.lit(1)).alias("n"), F.min("period").alias("pmin"), F.max("period").alias("pmax"))
-    pn = v.join(st, rec).select(rec, ((F.col("period") - F.col("pmin")) /
-                                      ((F.col("pmax") - F.col("pmin")) + F.lit(1e-6))).alias("pn"))
+    pn = with_constants(v, st, rec).select(rec, ((F.col("period") - F.col("pmin")) / ((F.col("pmax") - F.col("pmin")) + F.lit(1e-6))).alias("pn"),
+                                           *_index(v))
     ent = density_entropy(histogram_density(pn, "pn", rec), rec)
     j = recordings(frames, rec).join(st.select(rec, "n"), rec, "left").join(ent, rec, "left")
     return j.select(rec, when_enough(F.coalesce(F.col("n"), F.lit(0)), 10, F.col("entropy"), C.DEFAULT_PPE).alias("PPE"))
@@ -249,13 +265,14 @@ def dfa_signal(frames: DataFrame, samples: DataFrame | None = None, f0: str = "f
     ``series``: an already ranked voiced series ``(rec, i, x)``."""
     v = (series if series is not None else voiced_series(frames, f0, rec=rec)).select(rec, "i", "x")
     nv = v.groupBy(rec).agg(F.count(F.lit(1)).alias("_vx_nv"))
-    long_v = v.join(nv.where(F.col("_vx_nv") > 20), rec).select(rec, "i", "x")
+    long_v = with_constants(v, nv.where(F.col("_vx_nv") > 20), rec).select(rec, "i", "x")
     if samples is None:
         return long_v
-    s = dense_index(samples.select(rec, "sample_idx", F.col("value").cast("double").alias("x")), "sample_idx", rec)
-    s = s.where(F.col("i") < C.DFA_RAW_FALLBACK)
+    # the raw samples of the few short recordings alone are ranked
     short = recordings(frames, rec).join(nv.where(F.col("_vx_nv") > 20), rec, "left_anti")
-    return long_v.unionByName(s.join(short, rec).select(rec, "i", "x"))
+    own = with_constants(samples.select(rec, "sample_idx", F.col("value").cast("double").alias("x")), short, rec)
+    s = dense_index(own, "sample_idx", rec).where(F.col("i") < C.DFA_RAW_FALLBACK)
+    return long_v.unionByName(s.select(rec, "i", "x"))
 
 
 def dfa(signal: DataFrame, rec: str = REC, all_recordings: DataFrame | None = None) -> DataFrame:
@@ -270,7 +287,7 @@ def dfa(signal: DataFrame, rec: str = REC, all_recordings: DataFrame | None = No
     st = signal.groupBy(rec).agg(F.count(F.lit(1)).alias("L"), F.avg("x").alias("mu"))
     st = st.where(F.col("L") > 20).withColumn("scales", geometric_scales(F.col("L")))
     # one join brings mean, length and scales; they ride along the running sum
-    c = signal.join(st, rec).withColumn("_vx_d", F.col("x") - F.col("mu"))
+    c = with_constants(signal, st, rec).withColumn("_vx_d", F.col("x") - F.col("mu"))
     y = prefix_sums(c, [rec], ["i"], block_bucket(F.col("i")), {"y": F.col("_vx_d")})
     seg = y.select(rec, "i", "y", "L", F.explode("scales").alias("s"))
     seg = segment(seg, F.col("s"), "L").withColumn("k", F.col("k").cast("double"))
@@ -420,7 +437,7 @@ def trim_silence(samples: DataFrame, top_db: float = 60.0, frame: int = 2048, re
     fr = s.groupBy(rec, "_vx_f").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
     mx = fr.groupBy(rec).agg(F.max("rms").alias("mx"))
     level = F.lit(20.0) * F.log10(F.try_divide(F.col("rms"), F.col("mx")))
-    loud = fr.join(mx, rec).where((F.col("mx") > 0) & F.coalesce(level > -top_db, F.lit(False)))
+    loud = with_constants(fr, mx, rec).where((F.col("mx") > 0) & F.coalesce(level > -top_db, F.lit(False)))
     span = loud.groupBy(rec).agg(F.min("_vx_f").alias("f_lo"), F.max("_vx_f").alias("f_hi"))
-    return s.join(span, rec).where(F.col("_vx_f").between(F.col("f_lo"), F.col("f_hi"))) \
+    return with_constants(s, span, rec).where(F.col("_vx_f").between(F.col("f_lo"), F.col("f_hi"))) \
         .drop("_vx_f", "f_lo", "f_hi")
