@@ -23,7 +23,8 @@ BAND_CELL = 16
 
 
 def bands_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([tuple(b) for b in C.SEVERITY_BANDS], BANDS_SCHEMA)
+    from ..sources.io import literal_rows
+    return literal_rows(spark, [tuple(b) for b in C.SEVERITY_BANDS], BANDS_SCHEMA)
 
 
 def band_join(df: DataFrame, score: str, bands: DataFrame | None = None, rounding: str | None = "half_even",

@@ -13,7 +13,7 @@ from .. import constants as C
 from ..functions.scalar import clip_severity, confidence
 from .joins import band_join
 from .metrics import binary_report
-from .project import fill_absent, select_if_complete, split_probability
+from .project import fill_absent, positives_only, select_if_complete, split_probability
 
 
 def score(df: DataFrame, model, feats: Sequence[str], prob: bool = True) -> DataFrame:
@@ -60,7 +60,7 @@ def score_severity(scored: DataFrame, sev_model, sev_feats: Sequence[str], mae:
     ``sev_model`` is a fitted Spark regression model; it reads its own
     feature vector (absent severity features default to 0.0).
     """
-    pos = fill_absent(scored.where(F.col(pred) == 1), sev_feats, 0.0)
+    pos = fill_absent(positives_only(scored, pred), sev_feats, 0.0)
     v = VectorAssembler(inputCols=list(sev_feats), outputCol="_vx_sev_features", handleInvalid="keep").transform(pos)
     m = sev_model.copy({sev_model.getParam("featuresCol"): "_vx_sev_features",
                         sev_model.getParam("predictionCol"): "_vx_sev_raw"})

@@ -15,12 +15,13 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def row_count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n"))
+def row_count() -> Column:
+    """G1: aggregate that counts rows."""
+    return F.count(F.lit(1))
 
 
 def label_counts(df: DataFrame, y: str = "status") -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n"),
+    return df.agg(row_count().alias("n"),
                   F.count_if(_q(y) == 1).alias("n_positive"),
                   F.count_if(_q(y) == 0).alias("n_negative"))
 
@@ -33,13 +34,14 @@ def class_balance(df: DataFrame, source: str, y: str = "status", classes=(1, 0))
                               for c in classes])
 
 
-def nunique(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
-    f = F.approx_count_distinct(col) if approx else F.countDistinct(col)
-    return df.agg(f.alias(f"n_distinct_{col}"))
+def nunique(col: str, approx: bool = False) -> Column:
+    """Aggregate that counts distinct values."""
+    return F.approx_count_distinct(col) if approx else F.countDistinct(col)
 
 
-def value_range(df: DataFrame, col: str) -> DataFrame:
-    return df.agg(F.min(col).alias("min_value"), F.max(col).alias("max_value"))
+def value_range(col: str) -> list[Column]:
+    """Aggregates ``min_value`` and ``max_value``."""
+    return [F.min(col).alias("min_value"), F.max(col).alias("max_value")]
 
 
 def percentiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),

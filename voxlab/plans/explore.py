@@ -167,8 +167,7 @@ SELECT count(*) AS n, CAST(count_if(event_type = 'purchase') AS BIGINT) AS n_pos
 def q_subject_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct subjects and target range of the longitudinal stand-in."""
     o = longitudinal_orders(spark, sf)
-    return o.agg(F.countDistinct("subject").alias("n_subjects"), F.min("target").alias("min_value"),
-              F.max("target").alias("max_value"), F.count(F.lit(1)).alias("n_rows"))
+    return o.agg(S.nunique("subject").alias("n_subjects"), *S.value_range("target"), S.row_count().alias("n_rows"))
 
 
 SQL_SUBJECT_SUMMARY = """

@@ -18,6 +18,7 @@ from .. import constants as C
 from ..operators import explain as X
 from ..operators.learn import fit_severity, model_selection, scaler_stage, standardise
 from ..operators.metrics import regression_metrics
+from ..operators.project import assemble as _assemble
 from ..operators.sampling import assign_folds, smote, split_plain, split_stratified
 from ..operators.scoring import analyse, score, score_record
 from ..operators.treeshap import tree_attribution
@@ -39,6 +40,11 @@ BAND_FEATURES = [f for f in EVENT_FEATURES if f != "user_mean"]
 SEV_FEATURES = ["year", "month", "dow", "priority", "is_f"]
 
 
+def assemble(feats, out: str, df: DataFrame) -> DataFrame:
+    """P12 with the frame last, as the calls below read."""
+    return _assemble(df, feats, out)
+
+
 def prepared_events(spark: SparkSession, sf: str):
     """Split -> scale on train -> oversample the minority (purchases) -> folds."""
     df = cut_lineage(split_stratified(labelled_events(spark, sf), "event_id", "status"))
@@ -88,7 +94,7 @@ def q_severity_training(spark: SparkSession, sf: str) -> DataFrame:
     tr, te, params = standardise(o.where(~F.col("is_test")), o.where(F.col("is_test")), SEV_FEATURES)
     tr = cut_lineage(assign_folds(tr, "o_orderkey"))
     model, best, scores = fit_severity(tr, SEV_FEATURES, "target", DEMO_SEVERITY_GRID)
-    pred = model.transform(VectorAssembler(inputCols=SEV_FEATURES, outputCol="features").transform(te))
+    pred = model.transform(assemble(SEV_FEATURES, "features", te))
     m = regression_metrics(pred, "target", "prediction")
     doc = severity_document(m, type(model).__name__, "target", o.count(), len(SEV_FEATURES))
     path = scratch_path(spark, "severity-metrics")
@@ -102,7 +108,7 @@ def q_severity_training(spark: SparkSession, sf: str) -> DataFrame:
 
 def _fit_boosted(spark, sf):
     bal, te, params = prepared_events(spark, sf)
-    v = VectorAssembler(inputCols=EVENT_FEATURES, outputCol="features").transform(bal) \
+    v = assemble(EVENT_FEATURES, "features", bal) \
         .withColumn("label", F.col("status").cast("double"))
     return GBTClassifier(maxIter=20, maxDepth=3, seed=C.SEED).fit(v), te
 
@@ -150,7 +156,7 @@ def q_record_scoring(spark: SparkSession, sf: str) -> DataFrame:
     missing (defaults to 0.0), scored by a fitted model."""
     df = labelled_events(spark, sf)
     z, _, _ = standardise(df, None, EVENT_FEATURES)
-    v = VectorAssembler(inputCols=EVENT_FEATURES, outputCol="features").transform(z) \
+    v = assemble(EVENT_FEATURES, "features", z) \
         .withColumn("label", F.col("status").cast("double"))
     lr = LogisticRegression(regParam=0.01, maxIter=100).fit(v)
     first = z.orderBy("event_id").limit(1).first().asDict()
@@ -168,12 +174,12 @@ def q_upload_analysis(spark: SparkSession, sf: str) -> DataFrame:
     df = cut_lineage(split_stratified(labelled_events(spark, sf), "event_id", "status"))
     train = df.where(~F.col("is_test"))
     params = fit_scaler(train, EVENT_FEATURES)
-    tz = VectorAssembler(inputCols=EVENT_FEATURES, outputCol="features").transform(
+    tz = assemble(EVENT_FEATURES, "features", 
         apply_scaler(train, params, EVENT_FEATURES))
     lr = LogisticRegression(regParam=0.01, maxIter=100, threshold=0.2).fit(
         tz.withColumn("label", F.col("status").cast("double")))
     sev_model = LinearRegression(maxIter=20, featuresCol="sev").fit(
-        VectorAssembler(inputCols=BAND_FEATURES, outputCol="sev").transform(tz).withColumn("label", F.lit(30.0) + 10 * F.col("user_mean")))
+        assemble(BAND_FEATURES, "sev", tz).withColumn("label", F.lit(30.0) + 10 * F.col("user_mean")))
     sev_model.setFeaturesCol("features")
     res = analyse(df.where(F.col("is_test")), lr, EVENT_FEATURES, params, sev_model, BAND_FEATURES,
                   order=["event_id"])
@@ -192,13 +198,13 @@ def q_severity_bands(spark: SparkSession, sf: str) -> DataFrame:
     df = cut_lineage(split_stratified(labelled_events(spark, sf), "event_id", "status"))
     train = df.where(~F.col("is_test"))
     params = fit_scaler(train, EVENT_FEATURES)
-    tz = VectorAssembler(inputCols=EVENT_FEATURES, outputCol="features").transform(
+    tz = assemble(EVENT_FEATURES, "features", 
         apply_scaler(train, params, EVENT_FEATURES))
     # decision threshold at the class prior (purchases are about 20 % of events)
     lr = LogisticRegression(regParam=0.01, maxIter=100, threshold=0.2).fit(
         tz.withColumn("label", F.col("status").cast("double")))
     sev_model = LinearRegression(maxIter=20, featuresCol="sev").fit(
-        VectorAssembler(inputCols=BAND_FEATURES, outputCol="sev").transform(tz).withColumn("label", F.lit(30.0) + 10 * F.col("user_mean")))
+        assemble(BAND_FEATURES, "sev", tz).withColumn("label", F.lit(30.0) + 10 * F.col("user_mean")))
     sev_model.setFeaturesCol("features")
     scored = score(apply_scaler(df.where(F.col("is_test")), params, EVENT_FEATURES), lr, EVENT_FEATURES)
     s = score_severity(scored, sev_model, BAND_FEATURES)
@@ -214,7 +220,7 @@ def q_upload_explanation(spark: SparkSession, sf: str) -> DataFrame:
     df = cut_lineage(split_stratified(labelled_events(spark, sf), "event_id", "status"))
     train = df.where(~F.col("is_test"))
     params = fit_scaler(train, EVENT_FEATURES)
-    tz = VectorAssembler(inputCols=EVENT_FEATURES, outputCol="features").transform(
+    tz = assemble(EVENT_FEATURES, "features", 
         apply_scaler(train, params, EVENT_FEATURES)).withColumn("label", F.col("status").cast("double"))
     gbt = GBTClassifier(maxIter=20, maxDepth=3, seed=C.SEED).fit(tz)
     res = analyse(df.where(F.col("is_test")), gbt, EVENT_FEATURES, params, order=["event_id"])
@@ -243,7 +249,7 @@ def q_recording_screening(spark: SparkSession, sf: str) -> DataFrame:
     train = data.where(~F.col("is_test"))
     params = fit_scaler(train, feats)
     from ..operators.joins import apply_scaler
-    z = VectorAssembler(inputCols=feats, outputCol="features").transform(apply_scaler(train, params, feats)) \
+    z = assemble(feats, "features", apply_scaler(train, params, feats)) \
         .withColumn("label", F.col("status").cast("double"))
     lr = LogisticRegression(regParam=0.1, maxIter=100).fit(z)
     res = analyse(data.where(F.col("is_test")), lr, feats, params, label_prefix="Recording", order=["recording_id"], audio=True)
@@ -265,8 +271,9 @@ def q_bundle_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     df = cut_lineage(split_stratified(labelled_events(spark, sf), "event_id", "status"))
     train = df.where(~F.col("is_test"))
     scaler = fit_scaler(train, EVENT_FEATURES).first().asDict()
-    tz = VectorAssembler(inputCols=EVENT_FEATURES, outputCol="features").transform(apply_scaler(train, scaler, EVENT_FEATURES)) \
-        .select("features", F.col("status").cast("double").alias("label")).persist()
+    tz = assemble(EVENT_FEATURES, "features", apply_scaler(train, scaler, EVENT_FEATURES)) \
+        .select("features", F.col("status").cast("double").alias("label"))
+    tz = IO.cached(tz)
     n, out = tz.count(), None
     for fam in families(BUNDLE_GRIDS):
         fitted = fam.build(fam.grid[-1], n, len(EVENT_FEATURES)).fit(tz)
@@ -302,15 +309,15 @@ def q_upload_whole(spark: SparkSession, sf: str) -> DataFrame:
     train = df.where(~F.col("is_test"))
     params = fit_scaler(train, EVENT_FEATURES).first().asDict()
     z = apply_scaler(train, params, EVENT_FEATURES)
-    tz = VectorAssembler(inputCols=EVENT_FEATURES, outputCol="features").transform(z).withColumn("label", F.col("status").cast("double"))
+    tz = assemble(EVENT_FEATURES, "features", z).withColumn("label", F.col("status").cast("double"))
     gbt = GBTClassifier(maxIter=10, maxDepth=3, seed=C.SEED).fit(tz)
-    sev = LinearRegression(maxIter=20).fit(VectorAssembler(inputCols=BAND_FEATURES, outputCol="features").transform(z)
+    sev = LinearRegression(maxIter=20).fit(assemble(BAND_FEATURES, "features", z)
                                            .withColumn("label", F.lit(30.0) + 10 * F.col("user_mean")))
     upload = df.where(F.col("is_test"))
     res = analyse(upload, gbt, EVENT_FEATURES, params, sev, BAND_FEATURES, order=["event_id"])
     log, severity = cut_lineage(res["log"]), cut_lineage(res["severity"])
     att = tree_attribution(apply_scaler(upload, params, EVENT_FEATURES), "event_id", EVENT_FEATURES, gbt)
-    margin = gbt.transform(VectorAssembler(inputCols=EVENT_FEATURES, outputCol="features").transform(apply_scaler(upload, params, EVENT_FEATURES)))
+    margin = gbt.transform(assemble(EVENT_FEATURES, "features", apply_scaler(upload, params, EVENT_FEATURES)))
     from pyspark.ml.functions import vector_to_array
     margin = margin.select("event_id", (vector_to_array(F.col("rawPrediction"))[1] / 2).alias("m"), vector_to_array(F.col("rawPrediction"))[1].alias("m2"))
     add = att.groupBy("event_id").agg((F.sum("value") + F.first("base_value")).alias("total")).join(margin, "event_id") \
