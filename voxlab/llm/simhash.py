@@ -186,11 +186,12 @@ def hex_fingerprint(fp: Column) -> Column:
 def one_of_each(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with one document of each group: that with the least id.
 
-    Of rows that repeat an id one stays.  A group without any id keeps the row
-    whose text has the least hash.
+    Of a group's rows that repeat that id the one whose text has the least hash
+    stays; a group without any id keeps the row with the least hash.
     """
     rows = stage(near_duplicates(docs, words, distance, id_col, text_col), "groups")
-    named = rows.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_id")).agg(F.min("row_hash").alias("_h"))
+    named = rows.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_id"), "root") \
+        .agg(F.min("row_hash").alias("_h")).select("_id", "_h")
     unnamed = rows.where("component_id is null").groupBy("root").agg(F.min("row_hash").alias("_h")) \
         .select(F.lit(None).cast(named.schema["_id"].dataType).alias("_id"), "_h")
     kept = stage(named.unionByName(unnamed).distinct(), "kept")
