@@ -92,7 +92,8 @@ def test_language_of_odd_rows(odd, frame):
 
 
 def test_backoff_takes_the_longest_known_grams():
-    m = Model([("tree", 0, "en", 5), ("arbre", 0, "fr", 5), (" tre", 4, "en", 3), ("ar", 2, "fr", 9), ("ar", 2, "en", 1), ("t", 1, "fr", 50)])
+    m = Model([("tree", 0, "en", 5), ("arbre", 0, "fr", 5), (" tre", 4, "en", 3), ("ar", 2, "fr", 9), ("ar", 2, "en", 1), ("t", 1, "fr", 50),
+               ("xxxx", 4, "fr", 3), ("xy", 2, "en", 9), ("e", 1, "en", 50)])  # a frequency is a share of its language's items
     assert m.predict("tree")[0] == "en"
     assert m.predict("tres")[0] == "en"  # a known 4-gram, so the single letters don't count
     assert m.predict("bar")[0] == "fr"

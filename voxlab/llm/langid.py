@@ -59,7 +59,7 @@ class Model:
             total = sum(t.values()) + 0.1 * len(t)
             self.tables[kind] = {x: np.log((c + 0.1) / total) for x, c in t.items()}
         self.known = {w: i for i, w in enumerate(self.tables.get(0, {}))}
-        self.rows = np.array([self.tables[0][w] for w in self.known]).reshape(-1, len(at))
+        self.rows = np.array([self.tables[0][w] for w in self.known]).reshape(len(self.known), len(at))
         self.unseen: dict[str, np.ndarray] = {}
 
     def backoff(self, word: str) -> np.ndarray:
