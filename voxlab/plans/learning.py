@@ -29,7 +29,7 @@ from ..sources.tables import EVENT_FEATURES, labelled_events, longitudinal_order
 DEMO_GRIDS = {
     "Logistic Regression": {"C": [0.1, 1.0]},
     "Random Forest": {"n_estimators": [20], "max_depth": [5], "min_samples_split": [2]},
-    "SVM": {"C": [1.0], "kernel": ["linear", "rbf"], "gamma": ["scale"]},
+    "SVM": {"C": [1.0], "kernel": ["linear", "rbf"], "gamma": ["scale"], "max_iter": [30]},
     "Boosted Trees": {"n_estimators": [20], "max_depth": [3], "learning_rate": [0.1], "subsample": [1.0]},
 }
 DEMO_SEVERITY_GRID = {"n_estimators": [20], "max_depth": [4], "learning_rate": [0.1], "subsample": [1.0]}
