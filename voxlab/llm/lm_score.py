@@ -102,17 +102,29 @@ def _numbered(words: list[str]) -> dict[str, int]:
 
 
 def _count(docs: DataFrame, wanted: DataFrame, words, size: int, bits: int, id_col: str, text_col: str) -> np.ndarray:
-    """(2, words + contexts + slots) counts: wanted documents, all documents."""
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
-    marked = texts.join(wanted.select(F.col(id_col).alias("_w")).distinct(), F.col("_id") == F.col("_w"), "left") \
-        .select("_t", F.col("_w").isNotNull().alias("_target"))
+    """(2, words + contexts + slots) counts: wanted documents, all documents.
+
+    Only word numbers, two bytes a token, meet the wanted ids, never the texts.  Neither
+    side is bounded, so the join is a sort-merge one at every size.
+    """
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).where(F.length("_t") > 0)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _made(_WORDS, words, _numbered)
+        for b in batches:
+            codes = [coded(t.as_py(), vocabulary).astype("<u2").tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary())], names=["_id", "_c"])
+
+    numbers = texts.mapInArrow(encode, f"_id {texts.schema['_id'].dataType.simpleString()}, _c binary")
+    marked = numbers.join(wanted.select(F.col(id_col).alias("_w")).distinct().hint("merge"), F.col("_id") == F.col("_w"), "left") \
+        .select("_c", F.col("_w").isNotNull().alias("_target"))
     width = 2 * size + 1 + (1 << bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, sums = _made(_WORDS, words, _numbered), np.zeros((2, width), np.int64)
+        sums = np.zeros((2, width), np.int64)
         for b in batches:
             for flag in (True, False):
-                some = [coded(t.as_py(), vocabulary) for t, x in zip(b.column(0), b.column(1).to_pylist(), strict=True) if x == flag]
+                some = [np.frombuffer(c.as_py(), "<u2").astype(np.int64) for c, x in zip(b.column(0), b.column(1).to_pylist(), strict=True) if x == flag]
                 some = [x for x in some if len(x)]
                 if not some:
                     continue
@@ -142,6 +154,8 @@ def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, vocabulary: int
 
     ``wanted`` holds the ids of the target documents.
     """
+    if vocabulary > 1 << 16:
+        raise ValueError("word numbers take two bytes: at most 65,536 words")
     sc = docs.sparkSession.sparkContext
     words = sc.broadcast(_vocabulary(docs, text_col, vocabulary))
     counts = _count(docs, wanted, words, vocabulary, bits, id_col, text_col)
