@@ -42,6 +42,8 @@ SEED = 42
 #: Variants held at a time by one task.
 HELD = 1 << 21
 MAX_KEY_BITS = 24
+#: Parts that a component's fingerprints are dealt in where they meet its least id.
+PARTS = 32
 
 
 def fingerprint(text: str | None, words: int = 4, step: int = 1 << 19) -> int:
@@ -169,13 +171,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_col:
     """Per row: doc_id, fp, row_hash, root (least fingerprint of the component, signed), component_id."""
     rows = stage(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    linked = stage(components(links(distinct.select("fp"), distance)), "components")
-    classes = distinct.join(linked, F.col("fp") == F.col("node"), "left") \
-        .select("fp", "least_id", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
-    shared = classes.where("linked").groupBy("root").agg(F.min("least_id").alias("shared_id"))
-    classes = classes.join(shared.withColumnRenamed("root", "_r"), F.when(F.col("linked"), F.col("root")) == F.col("_r"), "left") \
-        .select(F.col("fp").alias("_fp"), "root", F.when(F.col("linked"), F.col("shared_id")).otherwise(F.col("least_id")).alias("component_id"))
-    classes = stage(classes, "classes")
+    linked = components(links(distinct.select("fp"), distance))
+    named = stage(distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least_id", "root"), "named")
+    # a component may hold a large share of all fingerprints, so they meet its least id in parts
+    some = named.where("root is not null")
+    shared = some.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    grouped = some.withColumn("_part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int")).join(shared, ["root", "_part"])
+    alone = named.where("root is null").select(F.col("fp").alias("_fp"), F.col("fp").alias("root"), F.col("least_id").alias("component_id"))
+    classes = stage(alone.unionByName(grouped.select(F.col("fp").alias("_fp"), "root", "component_id")), "classes")
     return rows.join(classes, F.col("fp") == F.col("_fp")).select(F.col("doc_id").alias(id_col), "fp", "row_hash", "root", "component_id")
 
 
