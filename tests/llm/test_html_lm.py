@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -120,3 +121,18 @@ def test_losses_of_odd_rows(spark, odd, frame):
     none = ids.where("doc_id = 0")
     assert len(cross_entropy_difference(odd, none).collect()) == 10
     assert cross_entropy_difference(frame([]), ids).collect() == []
+
+
+def test_every_bigram_of_a_large_vocabulary_has_its_own_count(spark, frame):
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(60_000)}" for _ in range(800)) for _ in range(300)]
+    texts += texts[:60]  # bigrams that are held twice, and words that are
+    wanted = [i % 3 == 0 for i in range(len(texts))]
+    ids = spark.createDataFrame([(i,) for i in range(len(texts)) if wanted[i]], "doc_id long")
+    words = [w for t in texts for w in t.split()]
+    twice = {w for w, n in Counter(words).items() if n > 1}
+    assert len(twice) > 1 << 15
+    got = {r.doc_id: r for r in cross_entropy_difference(frame([(i, t, "en", "s") for i, t in enumerate(texts)]), ids).collect()}
+    for i, (n, t, b) in enumerate(brute(texts, wanted, len(twice) + 1)):
+        assert got[i].n_tokens == n
+        assert got[i].target_loss == pytest.approx(t, rel=1e-9) and got[i].background_loss == pytest.approx(b, rel=1e-9)
