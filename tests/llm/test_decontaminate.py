@@ -92,3 +92,20 @@ def test_a_long_text_is_searched_to_its_end():
     s = Seeds([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi")])
     t = "filler word " * 50_000 + "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
     assert [x[0] for x in s.overlaps(t, 16, 0.8)] == [1]
+
+
+@pytest.mark.parametrize("n", range(1, 16))
+def test_short_items_survive_every_allowed_substitution(n):
+    item = [f"w{i}" for i in range(n)]
+    seeds = Seeds([(7, " ".join(item)), (8, "")])
+    for lost in combinations(range(n), n // 5):
+        text = " ".join(["so", *("other" if i in lost else w for i, w in enumerate(item)), "it"])
+        assert [x[:3] for x in seeds.overlaps(text, 16, 0.8)] == [(7, n, n - len(lost))], lost
+    for lost in combinations(range(n), n // 5 + 1):
+        text = " ".join("other" if i in lost else w for i, w in enumerate(item))
+        assert seeds.overlaps(text, 16, 0.8) == []
+
+
+def test_items_without_spaces_are_searched():
+    seeds = Seeds([(1, "今天天气很好"), (2, "你好,世界")])
+    assert sorted(x[0] for x in seeds.overlaps("他说:今天天气很好。你好,世界!", 16, 0.8)) == [1, 2]

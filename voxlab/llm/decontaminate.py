@@ -9,7 +9,9 @@ at least ``similarity``.  An item overlaps a document when such a stretch
 has ``least`` words, or all words of an item that is shorter.
 
 The masks are checked (in the tests) to hit every stretch of 16 words with three
-substitutions anywhere.  An item shorter than a mask is looked up by all its words.
+substitutions anywhere.  An item shorter than a mask is cut into one more set of places than
+words of it may differ, so that one set is left whole; below five words that is
+all its words.
 
 The benchmark is the stated query set: it is read in blocks of at most about
 ``block_words`` words, each block sent to the tasks that read the documents, so no
@@ -32,7 +34,6 @@ from pyspark.sql import functions as F
 
 MASKS = ("1110011", "110101001", "1011000101", "11000100000101")
 LEAST, SIMILARITY, BLOCK_WORDS = 16, 0.8, 500_000
-SHORTEST = 5
 WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,26 +59,30 @@ def _hashes(ids: np.ndarray, places: list[int], span: int) -> tuple[np.ndarray,
 class Seeds:
     """Seeds of a block of items."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], least: int = LEAST, similarity: float = SIMILARITY):
         """items: (id, text)."""
         self.ids, self.items, self.vocabulary = [], [], {}
         for i, text in items:
             w = words(text)
-            if len(w) >= SHORTEST:
+            if w:
                 self.ids.append(i)
                 self.items.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], np.int64))
-        masks = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
-        spans = {len(m) for m in MASKS}
-        self.masks = [(p, len(m)) for p, m in zip(masks, MASKS, strict=True)]
-        # an item too short for two places of the shortest mask is looked up by its first words
-        self.masks.append((list(range(SHORTEST)), SHORTEST))
+        longest_mask = max(map(len, MASKS))
+        long = [i for i, w in enumerate(self.items) if len(w) >= longest_mask]
+        looked = [([i for i, c in enumerate(m) if c == "1"], len(m), long) for m in MASKS]
+        short: dict[int, list[int]] = {}
+        for i, w in enumerate(self.items):
+            if len(w) < longest_mask:
+                short.setdefault(min(least, len(w)), []).append(i)
+        for n, some in sorted(short.items()):
+            sets = int((1 - similarity) * n + 1e-9) + 1
+            looked += [(list(range(k, n, sets)), n, some) for k in range(sets)]
+        self.masks = [(p, span) for p, span, _ in looked]
         self.tables = []
-        for k, (p, span) in enumerate(self.masks):
+        for p, span, those in looked:
             h, item, at = [], [], []
-            for i, w in enumerate(self.items):
-                if (k == len(self.masks) - 1) != (len(w) < max(spans)):
-                    continue
-                x, _ = _hashes(w, p, span)
+            for i in those:
+                x, _ = _hashes(self.items[i], p, span)
                 h.append(x)
                 item.append(np.full(len(x), i))
                 at.append(np.arange(len(x)))
@@ -112,6 +117,8 @@ class Seeds:
         best: dict[int, tuple] = {}
         for i, start in self.hits(ids).tolist():
             item = self.items[i]
+            if i in best and best[i][0] == len(item):
+                continue
             a, b = max(0, -start), min(len(item), len(ids) - start)
             same = item[a:b] == ids[start + a:start + b]
             lo, hi = longest(same, similarity)
@@ -147,9 +154,9 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
 _MADE: dict = {}
 
 
-def _seeds(sent) -> Seeds:
+def _seeds(sent, least: int, similarity: float) -> Seeds:
     if _MADE.get("of") is not sent:
-        _MADE.update(of=sent, seeds=Seeds(sent.value))
+        _MADE.update(of=sent, seeds=Seeds(sent.value, least, similarity))
     return _MADE["seeds"]
 
 
@@ -163,7 +170,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, similari
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            seeds, item_type = _seeds(sent), pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
+            seeds, item_type = _seeds(sent, least, similarity), pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
             for b in batches:
                 found = [(i, x) for i, t in enumerate(b.column(1)) for x in seeds.overlaps(t.as_py(), least, similarity)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in found], pa.int64())), pa.array([x[0] for _, x in found], item_type),
@@ -185,7 +192,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, s
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            seeds = _seeds(sent)
+            seeds = _seeds(sent, least, similarity)
             for b in batches:
                 yield b.filter(pa.array([not seeds.overlaps(t.as_py(), least, similarity) for t in b.column(at)], pa.bool_()))
 
