@@ -43,6 +43,21 @@ def test_sections_that_are_no_text(section):
     assert main_text(inner, STOP) == f"{SENTENCE} inside"
 
 
+@pytest.mark.parametrize("wrapper", ['<div class="site has-sidebar">', '<div class="container right-sidebar">', '<div class="content no-comments">', '<div id="with-nav">'])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>"])
+def test_a_layout_named_like_a_section_keeps_its_text(wrapper, inner):
+    text = inner.format(f"<p>{SENTENCE} one</p><p>{SENTENCE} two</p>")
+    aside = f'<div class="sidebar"><p>{SENTENCE}</p></div>'
+    assert main_text(page(f"<nav>menu</nav>{wrapper}{text}{aside}</div><footer>x</footer>"), STOP) == f"{SENTENCE} one\n{SENTENCE} two"
+
+
+def test_articles_in_comments_are_no_article():
+    for a, b in (("", ""), ('<div class="site has-sidebar">', "</div>")):
+        comments = f'<div id="comments"><article class="comment"><p>{SENTENCE} reader</p></article></div>'
+        html = page(f"{a}<article><p>{SENTENCE} one</p><p>{SENTENCE} two</p></article>{comments}{b}")
+        assert main_text(html, STOP) == f"{SENTENCE} one\n{SENTENCE} two"
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<div", "<!--", "<p>", "&am", "</p></div>", '<a href="', "<script>x", "<p class='a", "<![CDATA[x"])
 def test_broken_pages(html):
     assert isinstance(main_text(html, STOP), str)

@@ -9,6 +9,8 @@ undecided blocks take the label of the nearest decided block before and after th
 section first).  Sections that mark themselves up as menus, headers, footers,
 sidebars, notices, adverts, forms or comments are boilerplate as a whole;
 where a page marks up its article, the text in it is main unless such a section.
+A class or id alone is weaker: a wrapper so named that holds the page's article, or half of
+the text of a page without one, is its layout and the block rules decide in it.
 
 Stop words are the ``STOP_WORDS`` most frequent words over all pages, counted
 by documents, so no list per language is needed.
@@ -55,32 +57,59 @@ WORD = re.compile(r"[^\W\d_]+")
 
 class Block:
     """Text between two block-level tags and where it stood."""
-    __slots__ = ("article", "heading", "linked", "out", "section", "text")
+    __slots__ = ("article", "heading", "linked", "named", "out", "section", "text")
 
-    def __init__(self, text: str, linked: int, out: bool, article: bool, section: int, heading: bool):
-        self.text, self.linked, self.out, self.article, self.section, self.heading = text, linked, out, article, section, heading
+    def __init__(self, text: str, linked: int, out: bool, article: bool, section: int, heading: bool, named: tuple[int, ...]):
+        self.text, self.linked, self.out, self.article, self.section, self.heading, self.named = text, linked, out, article, section, heading, named
 
 
-def _boilerplate(name: str, attributes: str) -> bool:
+def _boilerplate(name: str, attributes: str) -> int:
+    """2 for a section that is no text, 1 for one that only a class or id says so of, else 0."""
     if name in OUT:
-        return True
+        return 2
+    named = 0
     if "=" in attributes or "hidden" in attributes:
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id") and SECTION.search(value) or key == "role" and value.lower() in ROLE:
-                return name not in ("body", "html", "article", "main")
+                if name in ("body", "html", "article", "main"):
+                    return 0
+                if key == "role":
+                    return 2
+                named = 1
             if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return 2
             if key == "hidden" and "=" not in m[0]:
-                return True
-    return False
+                return 2
+    return named
+
+
+def _layout(found: list[Block], holders: set[int]) -> set[int]:
+    """Of the wrappers named like a section by class or id, those that hold the page's main part."""
+    size: Counter = Counter()
+    for b in found:
+        if not b.out:
+            for w in b.named:
+                size[w] += len(b.text)
+    whole, kept = sum(len(b.text) for b in found if not b.out), set()
+
+    def marked() -> bool:
+        return any(b.article and not b.out and kept.issuperset(b.named) for b in found)
+
+    for w in sorted(holders & size.keys(), key=lambda w: (-size[w], w)):
+        if 2 * size[w] >= whole or not marked():
+            kept.add(w)
+    if not marked():
+        kept |= {w for w in size if 2 * size[w] >= whole}
+    return kept
 
 
 def blocks(page: str | None) -> list[Block]:
     """Blocks of a page in order, white space made single spaces, empty ones left out."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # element, boilerplate, article, section
+    stack: list[tuple[str, bool, bool, int, tuple[int, ...]]] = []  # element, boilerplate, article, section, wrappers named like one
+    holders: set[int] = set()  # those wrappers that hold an article
     pieces: list[str] = []
     linked: list[str] = []
     link, sections, heading, pos, end = 0, 0, False, 0, len(page)
@@ -89,8 +118,8 @@ def blocks(page: str | None) -> list[Block]:
         text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
         if text:
             in_links = len(SPACE.sub(" ", html.unescape("".join(linked))).strip())
-            _, off, article, section = stack[-1] if stack else ("", False, False, 0)
-            out.append(Block(text, in_links, off, article, section, heading))
+            _, off, article, section, named = stack[-1] if stack else ("", False, False, 0, ())
+            out.append(Block(text, in_links, off, article, section, heading, named))
         pieces.clear()
         linked.clear()
 
@@ -133,15 +162,23 @@ def blocks(page: str | None) -> list[Block]:
                     stack.pop()
                 elif name not in ("p",) and stack and stack[-1][0] == "p":
                     stack.pop()
-                _, off, article, section = stack[-1] if stack else ("", False, False, 0)
+                _, off, article, section, named = stack[-1] if stack else ("", False, False, 0, ())
                 # a header within an article may hold its title; a page's own header doesn't
-                bad = _boilerplate(name, attributes) and not (name == "header" and article)
+                bad = 0 if name == "header" and article else _boilerplate(name, attributes)
                 if bad or name in MAIN or name in ("section", "div", "td", "body"):
                     sections += 1
                     section = sections
-                stack.append((name, off or bad, article or name in MAIN, section))
+                if bad == 1:
+                    named = (*named, sections)
+                if name in MAIN and not off:
+                    holders.update(named)
+                stack.append((name, off or bad == 2, article or name in MAIN, section, named))
                 heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
     close()
+    if any(b.named for b in out):
+        kept = _layout(out, holders)
+        for b in out:
+            b.out = b.out or not kept.issuperset(b.named)
     return out
 
 
