@@ -76,6 +76,14 @@ def test_spans_are_added(frame):
     assert kinds == ["card", "card", "secret"] and r.n_card == 0
 
 
+@pytest.mark.parametrize("n", [200, 201, 100_000])
+def test_long_secrets_are_proposed_whole(frame, n):
+    token = "eyJ" + "".join(random.Random(n).choices("0123456789abcdef", k=n - 3))
+    start = len('token = "')
+    (r,) = frame([(1, f'token = "{token}" and on', "en", "s")]).select(span_array(F.col("text")).alias("s")).collect()
+    assert (start, start + n) in [(x.start, x.stop) for x in r.s if KINDS[x.kind] == "secret"]
+
+
 def test_odd_rows(odd, frame):
     got = find(odd).collect()
     assert len(got) == 10

@@ -44,7 +44,7 @@ WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(] ?(?:dot|DOT) ?[\])] ?)[A-Za-z0-9-]{1,63}){1,8}",
     "card": r"(?<![0-9])(?:[0-9]{4}[\x20-]?){3}[0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9])\+?[0-9]{0,3}[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,200}[0-9])(?=[0-9+/_-]{0,200}[A-Za-z])[A-Za-z0-9+/_-]{20,200}+(?![A-Za-z0-9+/_-])",
+    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+",
 }
 # Gazetteers, as patterns on the match.
 GAZETTEER = {
@@ -90,7 +90,7 @@ def _form(kind: str, m: Column) -> Column:
         "ip": _holds("ip", m),
         "card": _holds("card", m),
         "phone": _holds("phone", m) & m.rlike(r"^\+?[0-9]{0,3}[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}$|^\+[0-9]{9,15}$"),
-        "secret": m.rlike("[0-9].*[A-Za-z].*[0-9].*[A-Za-z]") & ~m.rlike(r"[A-Za-z]{12}"),
+        "secret": m.rlike("^[^0-9]*+[0-9][^A-Za-z]*+[A-Za-z][^0-9]*+[0-9][^A-Za-z]*+[A-Za-z]") & ~m.rlike(r"[A-Za-z]{12}"),
     }[kind]
     return F.when(ok, 1).otherwise(-1)
 
