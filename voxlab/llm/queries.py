@@ -109,3 +109,35 @@ def pii(spark, sf_dir):
     """Personal data in every document."""
     from .pii import find
     return find(table(spark, sf_dir, "documents"))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Rounds of assignment and mean over the parts of all vectors, in DuckDB SQL."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+    a{i} AS MATERIALIZED (SELECT p.vec_id, p.p, any_value(p.x) AS x, min({{'d': p.xx - 2 * list_inner_product(p.x, c.x) + c.cc, 'e': c.e}}) AS m
+          FROM p JOIN (SELECT *, list_inner_product(x, x) AS cc FROM c{i}) c USING (p) GROUP BY p.vec_id, p.p)""")
+        if i < rounds:
+            steps.append(f"""
+    m{i} AS (SELECT p, m.e AS e, unnest(x) AS x, generate_subscripts(x, 1) AS j FROM a{i}),
+    n{i} AS (SELECT p, e, list(x ORDER BY j) AS x FROM (SELECT p, e, j, floor(sum(x) / count(*)) AS x FROM m{i} GROUP BY p, e, j) GROUP BY p, e),
+    c{i + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(n.x, c.x) AS x FROM c{i} c LEFT JOIN n{i} n ON n.p = c.p AND n.e = c.e)""")
+    return f"""
+    WITH v AS (SELECT vec_id, label, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    p AS MATERIALIZED (SELECT *, list_inner_product(x, x) AS xx FROM (SELECT vec_id, label, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM v, range(4) r(p))),
+    c0 AS (SELECT p, e, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM p) WHERE e < 256),
+    {",".join(steps)},
+    r AS (SELECT vec_id, string_agg(printf('%02x', CAST(m.e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+    s AS (SELECT r.*, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error FROM r JOIN v USING (vec_id)),
+    h AS (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, j)) AS codebooks_sha256
+          FROM (SELECT p, e, unnest(x) AS x, generate_subscripts(x, 1) AS j FROM c{rounds}))
+    SELECT vec_id, code, error, label_error, codebooks_sha256 FROM s, h"""
+
+
+@query("op13_vector_codes", _codes_sql())
+def vector_codes(spark, sf_dir):
+    """Product code and error of every vector."""
+    from .vector_codes import compress
+    return compress(table(spark, sf_dir, "embeddings"))[0]
