@@ -141,3 +141,19 @@ def vector_codes(spark, sf_dir):
     """Product code and error of every vector."""
     from .vector_codes import compress
     return compress(table(spark, sf_dir, "embeddings"))[0]
+
+
+@query("op11_token_alignment")
+def token_alignment(spark, sf_dir):
+    """Groups and links of the tokens of every document under two vocabularies."""
+    import public_tokenizers
+
+    from .token_alignment import align_documents
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_minhash")
+def minhash(spark, sf_dir):
+    """Number of shingles and near-duplicate component of every document."""
+    from .minhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
