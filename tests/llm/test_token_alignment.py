@@ -81,7 +81,8 @@ TEXTS = [
 ]
 
 
-def test_stretches_give_the_tokens_of_whole_texts(pair, libraries):
+def test_ids_are_those_of_the_libraries(pair, libraries):
+    assert pair.fast is not None
     rng = random.Random(5)
     pieces = [" ", "  ", "\n", "\t", "\r\n", chr(0xA0), chr(0x3000), chr(0x2003), "a", "The", "word", "'s", "42", "ü", "日", "😀", T.MARK, ".", "...", "<0x0A>", chr(0x1E), chr(0x85), "ing", "x"]
     texts = TEXTS + ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
@@ -90,6 +91,26 @@ def test_stretches_give_the_tokens_of_whole_texts(pair, libraries):
         assert got == (want and (want[0][0], want[1][0])), repr(t)
 
 
+def test_fast_ids_on_old_characters(pair, libraries):
+    """Every kind of character that is taken for settled, beside white space, digits and marks."""
+    rng = random.Random(6)
+    old = [chr(c) for lo, hi in T._OLD for c in range(lo, hi + 1)]
+    texts = ["".join(rng.choice(old) + rng.choice(["", "", " ", "1", "a", "'", "\n", "\t "]) for _ in range(rng.randrange(1, 60))) for _ in range(4000)]
+    texts += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABC0123456789 .,-'_/=+") for _ in range(200)) for _ in range(2000)]
+    sure = [t for t in texts if not T.UNSETTLED.search(t)]
+    assert len(sure) > 5000
+    a = libraries[0]
+    for t, e in zip(sure, a.encode_batch_fast([" " + t for t in sure], add_special_tokens=False), strict=True):
+        assert pair.fast.encode_ordinary(" " + t) == e.ids, repr(t)
+
+
+def test_windows_with_one_hash_are_told_apart(pair, monkeypatch):
+    texts = ["of the of it the of", "it of the it"]
+    want = T.Block(pair, 0).documents(pair.tokens(texts))
+    monkeypatch.setattr(T, "_mixed", lambda ids, ends, seed: ends.astype("uint64") * 0)
+    assert [d for d, _ in T.Block(pair, 0).documents(pair.tokens(texts))] == [d for d, _ in want]
+
+
 def columns(df):
     names = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
     return sorted((tuple(r[n] for n in names) for r in df.collect()), key=str)
@@ -110,11 +131,11 @@ def test_small_blocks_and_forgetful_workers(frame, libraries, monkeypatch):
     for (i, t), got in zip(rows, pair.tokens([t for _, t in rows]), strict=True):
         if blocks[-1].full():
             blocks.append(T.Block(pair, len(blocks)))
-        docs.append((i, got and blocks[-1].document(*got)))
+        docs.append((i, got and blocks[-1].documents([got])[0]))
     assert len(blocks) > 10
     total = collections.Counter()
     for b in blocks:
-        _, _, codes, n = b.pairs()
+        *_, codes, n = b.pairs()
         total.update(dict(zip(codes.tolist(), n.tolist(), strict=True)))
     want = collections.Counter()
     for _, t in rows:
@@ -124,7 +145,7 @@ def test_small_blocks_and_forgetful_workers(frame, libraries, monkeypatch):
             sa, sb = spans(ra), spans(rb)
             want.update(ia[x] << T.B_BITS | ib[y] for x in range(len(ia)) for y in range(len(ib)) if sa[x][0] < sb[y][1] and sb[y][0] < sa[x][1])
     assert total == want
-    assert [d and d[2] for _, d in docs] == [r[7] or None for i, t in rows for r in brute(libraries, [(i, t)])]
+    assert [d and d[0] for _, d in docs] == [r[7] or None for i, t in rows for r in brute(libraries, [(i, t)])]
 
 
 def test_odd_rows_and_empty_table(odd, frame, libraries):

@@ -14,11 +14,13 @@ often the block holds each pair of ids.  Those counts are added up over all
 blocks, and every block gets back the counts of its own pairs: what is shuffled is
 distinct pairs a block, not links.  No table of pairs is broadcast.
 
-Tokens of a text are looked up by stretches, white space and the run after it, each
-encoded once.  Stretches are independent as neither vocabulary has a token
-that continues beyond the white space it begins with; that is verified when
-the vocabularies are loaded, and texts holding a character for which it doesn't hold are
-encoded whole.
+A's ids come from tiktoken, built from the vocabulary of the same file, where it
+gives those of the tokenizers library: for texts of characters whose class is the
+same in every Unicode version, and only if the vocabulary has the form for which
+both merge alike (checked when it is loaded).  Other texts go to the library itself.
+
+Windows are cut and told apart for many documents at once, by hashes that are then
+compared id by id, so only windows that differ within a batch are looked up.
 
 Defined results: texts null, empty, or that either tokenizer doesn't reproduce byte
 for byte have no tokens: zeros and an empty digest; strings of special tokens
@@ -29,9 +31,11 @@ null is an id like others; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,17 +46,17 @@ from pyspark.sql import functions as F
 from .common import stage
 
 #: A block is closed when it holds so many tokens of A, or so many different windows.
-BLOCK_TOKENS, BLOCK_WINDOWS = 1 << 24, 400_000
-#: Stretches and windows that a worker remembers; a full table is emptied.
-MAX_STRETCHES, MAX_WINDOWS = 300_000, 400_000
-#: Longer stretches and windows are not remembered.
-LONGEST = 256
-#: Texts tokenised at a time.
-TEXTS = 256
-#: What the tokenizers take for white space, as a class of a regular expression.
-SPACE = r" \t\n\v\f\r\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: Characters that some Unicode versions take for white space and others don't.
-DOUBTFUL = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x180E, 0x200B, 0x2060, 0xFEFF])) + "]")
+BLOCK_TOKENS, BLOCK_WINDOWS = 1 << 24, 300_000
+#: Windows that a worker remembers; a full table is emptied.  Longer windows are not remembered.
+MAX_WINDOWS, LONGEST = 400_000, 256
+#: Documents whose windows are cut at a time, and their characters.
+TEXTS, CHARACTERS = 1024, 1 << 21
+# Fixed value: the word rule of byte-level vocabularies.
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: Latin, Greek, Cyrillic, kana and unified ideographs, punctuation: as old as Unicode itself.
+_OLD = [(0x00, 0x24F), (0x391, 0x3A1), (0x3A3, 0x3C9), (0x410, 0x44F), (0x2010, 0x2027), (0x2030, 0x2046), (0x20AC, 0x20AC), (0x3001, 0x3003), (0x3041, 0x3094),
+        (0x30A1, 0x30FA), (0x4E00, 0x9FA5)]
+UNSETTLED = re.compile("[^" + "".join(f"{chr(x)}-{chr(y)}" for x, y in _OLD).replace("\\", "") + "]")
 #: How sentencepiece writes a space.
 MARK = chr(0x2581)
 B_BITS = 20
@@ -88,90 +92,118 @@ class TokenPair:
             self.bytes_a[i] = special[i].encode() if i in special else bytes(code[c] for c in token)
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
+        self.sizes_a, self.sizes_b = self.size_a.tolist(), self.size_b.tolist()
         self.spaced_a, self.spaced_b = (np.array([x[:1] == b" " for x in y]) for y in (self.bytes_a, self.bytes_b))
-        # texts are cut before white space unless a piece runs on from another character into that white space
-        pieces = [self.b.id_to_piece(i).replace(MARK, " ") for i in range(len(self.bytes_b)) if not self.b.is_byte(i)]
-        crossed = {c for p in pieces for c in re.findall(f"(?<=[^{SPACE}])[{SPACE}]", p)}
-        self.whole = re.compile(f"[{''.join(map(re.escape, crossed))}]") if crossed else None
-        self.stretch = re.compile(f"[{SPACE}]+[^{SPACE}]*")
-        self.stretches: dict[str, tuple] = {}
-        self.windows: dict[tuple, list] = {}
+        self.windows: dict[tuple, tuple] = {}
+        self.fast = self._tiktoken(json.loads(spec_a))
+
+    def _tiktoken(self, j: dict):
+        """The same merges in tiktoken, None where the file asks for more than it does.
+
+        tiktoken merges any two neighbours that make a token, the library only those that are
+        a merge rule.  Where the rules make every token of its own bytes, two neighbours that make
+        a token have always been a rule's: the rules would have made that token from them.
+        """
+        m, pre = j["model"], j["pre_tokenizer"] or {}
+        merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in m.get("merges", [])]
+        at = [m["vocab"][x + y] for x, y in merges] if m["type"] == "BPE" else []
+        if m["type"] != "BPE" or j["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) \
+                or m["dropout"] or m["continuing_subword_prefix"] or m["end_of_word_suffix"] or m["ignore_merges"] or at != sorted(set(at)):
+            return None
+        rank = {x: i for i, x in enumerate(merges)}
+        for x, y in merges:
+            parts = list(x + y)
+            while len(parts) > 1:
+                k = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), len(rank)))
+                if (parts[k], parts[k + 1]) not in rank:
+                    return None
+                parts[k:k + 2] = [parts[k] + parts[k + 1]]
+        import tiktoken
+        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+        ranks = {self.bytes_a[i]: i for t, i in m["vocab"].items() if t not in special}
+        return tiktoken.Encoding("pair", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def _piece(self, i: int) -> bytes:
         p = self.b.id_to_piece(i)
         return bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode()
 
-    def _encoded(self, parts: list[str]) -> list[tuple | None]:
-        """(ids of A, ids of B) of texts that begin with white space, None where one of them loses bytes."""
-        a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        # the library of B puts a space before a text; before other white space, or nothing, that space is a token to take off
-        b = self.b.encode([p[1:] if p[0] == " " and len(p) > 1 else p for p in parts], num_threads=1)
-        out = []
-        for p, x, y in zip(parts, a, b, strict=True):
-            if p == " ":
-                y = [self.b.piece_to_id(MARK)]
-            elif p[0] != " ":
-                y = y[1:] if y and self.bytes_b[y[0]] == b" " else []
-            raw = p.encode()
-            out.append((x, y) if b"".join(map(self.bytes_a.__getitem__, x)) == raw == b"".join(map(self.bytes_b.__getitem__, y)) else None)
-        return out
-
     def tokens(self, texts: list[str | None]) -> list[tuple[list[int], list[int]] | None]:
         """Ids of both tokenizers for each text, None without tokens."""
-        known = self.stretches
-        cuts: list[list[str]] = []
-        missed: dict[str, tuple | None] = {}
-        if len(known) > MAX_STRETCHES:
-            known.clear()
-        for t in texts:
-            s = " " + (t or "")
-            parts = [] if not t else [s] if DOUBTFUL.search(s) or self.whole is not None and self.whole.search(s) else self.stretch.findall(s)
-            cuts.append(parts)
-            missed.update((p, None) for p in parts if p not in known)
-        todo = list(missed)
-        for i in range(0, len(todo), 4096):
-            missed.update(zip(todo[i:i + 4096], self._encoded(todo[i:i + 4096]), strict=True))
-        known.update((p, e) for p, e in missed.items() if e is not None and len(p) <= LONGEST)
-        out: list[tuple[list[int], list[int]] | None] = []
-        for t, parts in zip(texts, cuts, strict=True):
-            a: list[int] = []
-            b: list[int] = []
-            for p in parts:
-                e = known.get(p) or missed[p]
-                if e is None:
-                    break
-                a += e[0]
-                b += e[1]
-            else:
-                out.append((a, b) if parts else None)
-                continue
-            out.append(self._encoded([" " + t])[0])  # a stretch that doesn't stand alone: the text as a whole decides
+        out: list = [None] * len(texts)
+        some = [k for k, t in enumerate(texts) if t]
+        slow = [k for k in some if self.fast is None or UNSETTLED.search(texts[k])]
+        ids = dict(zip(slow, (e.ids for e in self.a.encode_batch_fast([" " + texts[k] for k in slow], add_special_tokens=False)), strict=True))
+        size_a, of_b = self.sizes_a.__getitem__, self.bytes_b.__getitem__
+        for k, y in zip(some, self.b.encode([texts[k] for k in some], num_threads=1), strict=True):
+            s = " " + texts[k]
+            x = ids[k] if k in ids else self.fast.encode_ordinary(s)
+            raw = s.encode()
+            # byte-level tokens stand for the bytes they cover, so A's need only cover them all
+            if b"".join(map(of_b, y)) == raw and sum(map(size_a, x)) == len(raw):
+                out[k] = x, y
         return out
 
     def align(self, a: tuple, b: tuple) -> tuple[str, int, bytes]:
         """(groups as text, number of groups, link codes) of one window."""
-        ends_a, ends_b = np.cumsum(self.size_a[list(a)]).tolist(), np.cumsum(self.size_b[list(b)]).tolist()
-        i = j = from_i = from_j = 0
-        groups, links = [], []
-        while i < len(a):
+        size_a, size_b, n = self.sizes_a, self.sizes_b, len(a)
+        i = j = n_groups = 0
+        ahead = size_a[a[0]] - size_b[b[0]]  # how far the end of A's token lies beyond that of B's
+        left, right, text, links = str(a[0]), str(b[0]), "", [a[0] << B_BITS | b[0]]
+        while True:
+            if ahead:
+                if ahead < 0:
+                    i += 1
+                    ahead += size_a[a[i]]
+                    left += f",{a[i]}"
+                else:
+                    j += 1
+                    ahead -= size_b[b[j]]
+                    right += f",{b[j]}"
+            else:
+                n_groups += 1
+                text += f"{left}|{right}"
+                i += 1
+                j += 1
+                if i == n:
+                    return text, n_groups, struct.pack(f"<{len(links)}q", *links)
+                ahead = size_a[a[i]] - size_b[b[j]]
+                left, right = f";{a[i]}", str(b[j])
             links.append(a[i] << B_BITS | b[j])
-            x, y = ends_a[i], ends_b[j]
-            i += x <= y
-            j += y <= x
-            if x == y:
-                groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-                from_i, from_j = i, j
-        return ";".join(groups), len(groups), struct.pack(f"<{len(links)}q", *links)
-
-    def cuts(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-        """Where windows end, in tokens of A and of B: shared ends before space-marked tokens, and the end."""
-        x, y = np.array(a), np.array(b)
-        ends_a, ends_b = np.cumsum(self.size_a[x]), np.cumsum(self.size_b[y])
+
+    def cuts(self, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows end, in tokens of A and of B: shared ends before space-marked tokens.
+
+        ``a`` and ``b`` are the tokens of documents put together, ``ends`` the bytes where these end.
+        """
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         at = np.searchsorted(ends_b, ends_a)
         i = np.flatnonzero(ends_b[at] == ends_a)
         j = at[i]
-        inner = np.flatnonzero(self.spaced_a[x[i[:-1] + 1]] & self.spaced_b[y[j[:-1] + 1]])
-        return [*(i[inner] + 1).tolist(), len(a)], [*(j[inner] + 1).tolist(), len(b)]
+        spaced = np.ones(len(i), bool)
+        spaced[:-1] = self.spaced_a[a[i[:-1] + 1]] & self.spaced_b[b[j[:-1] + 1]]
+        keep = spaced | np.isin(ends_a[i], ends)
+        return i[keep] + 1, j[keep] + 1
+
+
+def _mixed(ids: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each stretch of ids that ends at ``ends``."""
+    starts = np.concatenate(([0], ends[:-1]))
+    place = np.arange(len(ids)) - np.repeat(starts, ends - starts)
+    h = (ids.astype(np.uint64) + np.uint64(seed) + (place.astype(np.uint64) << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.add.reduceat(h ^ h >> np.uint64(32), starts) if len(ends) else np.zeros(0, np.uint64)
+
+
+def _alike(ids: np.ndarray, ends: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether each stretch has the ids of stretch ``of``."""
+    sizes = np.diff(ends, prepend=0)
+    starts, same = ends - sizes, sizes == sizes[of]
+    take = np.where(same, sizes, 0)
+    first = np.cumsum(take) - take
+    place = np.arange(take.sum()) - np.repeat(first, take)
+    equal = ids[np.repeat(starts, take) + place] == ids[np.repeat(starts[of], take) + place]
+    wrong = np.concatenate(([0], np.cumsum(~equal)))
+    return same & (wrong[first + take] == wrong[first])
 
 
 def loaded(spec_a, spec_b) -> TokenPair:
@@ -186,52 +218,72 @@ class Block:
 
     def __init__(self, pair: TokenPair, no: int):
         self.pair, self.no = pair, no
+        self.numbers: dict[tuple, int] = {}
+        self.texts: list[str] = []
+        self.groups: list[int] = []
         self.links: list[bytes] = []
-        self.uses: list[int] = []
+        self.refs: list[np.ndarray] = []
         self.tokens = 0
 
     def full(self) -> bool:
         return self.tokens >= BLOCK_TOKENS or len(self.links) >= BLOCK_WINDOWS
 
-    def document(self, a: list[int], b: list[int]) -> tuple[int, int, str, bytes]:
-        """(groups, links, digest of the groups, numbers of the windows) of a document."""
-        known, links, uses = self.pair.windows, self.links, self.uses
-        n_groups = n_links = i0 = j0 = 0
-        texts, refs = [], []
-        for i, j in zip(*self.pair.cuts(a, b), strict=True):
-            key = (tuple(a[i0:i]), tuple(b[j0:j]))
+    def documents(self, some: list[tuple[list[int], list[int]]]) -> list[tuple[str, bytes]]:
+        """(digest of the groups, numbers of the windows) of documents."""
+        if not some:
+            return []
+        a, b = (np.fromiter(chain.from_iterable(x[k] for x in some), np.int64, sum(len(x[k]) for x in some)) for k in (0, 1))
+        size = np.cumsum([len(x[0]) for x in some])
+        bytes_at = np.cumsum(self.pair.size_a[a])[size - 1]
+        i, j = self.pair.cuts(a, b, bytes_at)
+        # equal hashes are compared with their first window, and are windows of their own if that differs
+        h = _mixed(a, i, 1) ^ (_mixed(b, j, 2) * np.uint64(0x94D049BB133111EB))
+        _, first, at = np.unique(h, return_index=True, return_inverse=True)
+        of = first[at]
+        of = np.where(_alike(a, i, of) & _alike(b, j, of), of, np.arange(len(of)))
+        numbers = np.zeros(len(of), np.int64)
+        i0, j0 = np.concatenate(([0], i[:-1])), np.concatenate(([0], j[:-1]))
+        own = np.flatnonzero(of == np.arange(len(of)))
+        x, y = tuple(a.tolist()), tuple(b.tolist())
+        numbers[own] = [self.number((x[p:q], y[r:s])) for p, q, r, s in zip(*(v[own].tolist() for v in (i0, i, j0, j)), strict=True)]
+        refs = numbers[of].astype("<i4")
+        self.tokens += len(a)
+        self.refs.append(refs)
+        text, out, s = self.texts.__getitem__, [], 0
+        for e in (np.searchsorted(i, size) + 1).tolist():
+            out.append((hashlib.sha256(";".join(map(text, refs[s:e].tolist())).encode()).hexdigest(), refs[s:e].tobytes()))
+            s = e
+        return out
+
+    def number(self, key: tuple) -> int:
+        """Number of a window in the block."""
+        n = self.numbers.get(key)
+        if n is None:
+            known = self.pair.windows
             w = known.get(key)
             if w is None:
-                # [groups as text, groups, links, link codes, block, number in the block]
-                text, n, codes = self.pair.align(*key)
-                w = [text, n, len(codes) >> 3, codes, -1, 0]
-                if i - i0 <= LONGEST:
+                w = self.pair.align(*key)
+                if len(key[0]) <= LONGEST:
                     if len(known) >= MAX_WINDOWS:
                         known.clear()
                     known[key] = w
-            if w[4] != self.no:
-                w[4], w[5] = self.no, len(links)
-                links.append(w[3])
-                uses.append(0)
-            texts.append(w[0])
-            n_groups += w[1]
-            n_links += w[2]
-            uses[w[5]] += 1
-            refs.append(w[5])
-            i0, j0 = i, j
-        self.tokens += len(a)
-        return n_groups, n_links, hashlib.sha256(";".join(texts).encode()).hexdigest(), np.array(refs, "<i4").tobytes()
-
-    def pairs(self) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
-        """(links of each window, number of the pair of each link, pairs, count of each pair)."""
+            n = self.numbers[key] = len(self.links)
+            self.texts.append(w[0])
+            self.groups.append(w[1])
+            self.links.append(w[2])
+        return n
+
+    def pairs(self) -> tuple[bytes, bytes, bytes, np.ndarray, np.ndarray]:
+        """(groups of each window, links of each window, number of the pair of each link, pairs, count of each pair)."""
         sizes = np.array([len(x) >> 3 for x in self.links], "<i4")
+        uses = np.bincount(np.concatenate(self.refs), minlength=len(sizes)) if self.refs else np.zeros(0, np.int64)
         codes, at = np.unique(np.frombuffer(b"".join(self.links), "<i8"), return_inverse=True)
         n = np.zeros(len(codes), np.int64)
-        np.add.at(n, at, np.repeat(np.array(self.uses, np.int64), sizes))
-        return sizes.tobytes(), at.astype("<i4").tobytes(), codes, n
+        np.add.at(n, at, np.repeat(uses, sizes))
+        return np.array(self.groups, "<i4").tobytes(), sizes.tobytes(), at.astype("<i4").tobytes(), codes, n
 
 
-_ROW = "block long, doc_id {t}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, refs binary, sizes binary, at binary, codes array<long>, counts array<long>"
+_ROW = "block long, doc_id {t}, n_a long, n_b long, groups_sha256 string, refs binary, groups binary, sizes binary, at binary, codes array<long>, counts array<long>"
 _OUT = "doc_id {t}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -247,59 +299,63 @@ def _plain(raw: bytes) -> np.ndarray:
 
 def _aligner(spec_a, spec_b, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, part = loaded(spec_a, spec_b), TaskContext.get().partitionId()
-        # the worker's windows carry block numbers of other tasks, so numbers are taken from the whole job
-        no = 0
-        block = Block(pair, part << 24)
+        pair, no = loaded(spec_a, spec_b), TaskContext.get().partitionId() << 24
+        block = Block(pair, no)
 
         def closed() -> pa.RecordBatch:
-            sizes, at, codes, n = block.pairs()
-            row = {"block": block.no, "sizes": _packed(sizes), "at": _packed(at), "codes": codes.tolist(), "counts": n.tolist()}
-            return pa.RecordBatch.from_pylist([row], schema=schema)
+            groups, sizes, at, codes, n = block.pairs()
+            cols = {"block": pa.array([block.no], pa.int64()), "groups": pa.array([_packed(groups)]), "sizes": pa.array([_packed(sizes)]), "at": pa.array([_packed(at)]),
+                    "codes": pa.ListArray.from_arrays([0, len(codes)], codes), "counts": pa.ListArray.from_arrays([0, len(n)], n)}
+            return pa.record_batch([cols[f.name].cast(f.type) if f.name in cols else pa.nulls(1, f.type) for f in schema], schema=schema)
 
-        for w in pair.windows.values():  # a task that is run again must not find its own numbers
-            w[4] = -1
         for b in batches:
-            for s in range(0, b.num_rows, TEXTS):
-                some = b.slice(s, TEXTS)
+            for s, e in stretches(pa.compute.utf8_length(b.column(1)).fill_null(0).to_pylist()):
+                some = pair.tokens(b.column(1).slice(s, e - s).to_pylist())
+                found = iter(block.documents([t for t in some if t]))
                 out = []
-                for i, t in zip(some.column(0).to_pylist(), pair.tokens(some.column(1).to_pylist()), strict=True):
-                    row = {"block": block.no, "doc_id": i, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "refs": b""}
-                    if t:
-                        g, n, sha, refs = block.document(*t)
-                        row |= {"n_a": len(t[0]), "n_b": len(t[1]), "n_groups": g, "n_links": n, "groups_sha256": sha, "refs": _packed(refs)}
-                    out.append(row)
-                    if block.full():
-                        yield pa.RecordBatch.from_pylist(out, schema=schema)
-                        out = []
-                        yield closed()
-                        no += 1
-                        block = Block(pair, part << 24 | no)
+                for i, t in zip(b.column(0).slice(s, e - s).to_pylist(), some, strict=True):
+                    sha, refs = next(found) if t else ("", b"")
+                    out.append({"block": block.no, "doc_id": i, "n_a": len(t[0]) if t else 0, "n_b": len(t[1]) if t else 0,
+                                "groups_sha256": sha, "refs": _packed(refs) if t else b""})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
+                if block.full():
+                    yield closed()
+                    no += 1
+                    block = Block(pair, no)
         yield closed()
     return run
 
 
+def stretches(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(from, to) of rows that are worked off together."""
+    a = held = 0
+    for k, n in enumerate(sizes):
+        held += n
+        if held >= CHARACTERS or k + 1 - a >= TEXTS:
+            yield a, k + 1
+            a, held = k + 1, 0
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
 def _counted(schema: pa.Schema):
     """Documents and links of a block meet the counts of its pairs."""
     def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
         doc = pa.compute.is_valid(rows["refs"])
         docs, own = rows.filter(doc), rows.filter(pa.compute.invert(doc))
-        best = count = np.zeros(0, np.int64)
+        # per window: groups, links, links that are best, counts of the links
+        by_window = np.zeros((4, 0), np.int64)
         if replies.num_rows:
             total, top = np.zeros(replies.num_rows, np.int64), np.zeros(replies.num_rows, np.int64)
             i = replies["i"].to_numpy()
             total[i], top[i] = replies["total"].to_numpy(), replies["best"].to_numpy()
-            sizes, at = _plain(own["sizes"][0].as_py()), _plain(own["at"][0].as_py())
-            heads = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-            count, best = np.add.reduceat(total[at], heads), np.add.reduceat(top[at], heads)
-        n_best, sums = [], []
-        for r in docs["refs"].to_pylist():
-            w = _plain(r) if r else np.zeros(0, np.int32)
-            n_best.append(int(best[w].sum()))
-            sums.append(int(count[w].sum()))
-        cols = {c: docs[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
-        cols |= {"n_best": pa.array(n_best, pa.int64()), "count_sum": pa.array(sums, pa.int64())}
+            groups, sizes, at = (_plain(own[c][0].as_py()) for c in ("groups", "sizes", "at"))
+            heads = np.cumsum(sizes) - sizes
+            by_window = np.stack((groups, sizes, np.add.reduceat(top[at], heads), np.add.reduceat(total[at], heads)))
+        refs = [_plain(r) if r else np.zeros(0, np.int32) for r in docs["refs"].to_pylist()]
+        sums = np.array([by_window[:, w].sum(axis=1) for w in refs], np.int64).reshape(len(refs), 4)
+        cols = {c: docs[c] for c in ("doc_id", "n_a", "n_b", "groups_sha256")}
+        cols |= {c: pa.array(sums[:, k], pa.int64()) for k, c in enumerate(("n_groups", "n_links", "n_best", "count_sum"))}
         return pa.table({f.name: cols[f.name] for f in schema}).cast(schema)
     return run
 
@@ -327,6 +383,6 @@ def align_documents(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, id_col:
     of_b = Window.partitionBy(F.col("code").bitwiseAND((1 << B_BITS) - 1))
     totals = pairs.groupBy("code").agg(F.sum("n").alias("total")).withColumn("best", (F.col("total") == F.max("total").over(of_b)).cast("int"))
     replies = pairs.select("block", "i", "code").join(totals, "code").select("block", "i", "total", "best")
-    mine = aligned.select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "refs", "sizes", "at")
+    mine = aligned.select("block", "doc_id", "n_a", "n_b", "groups_sha256", "refs", "groups", "sizes", "at")
     done = mine.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_counted(out), _OUT.format(t=kind))
     return done.withColumnRenamed("doc_id", id_col)
