@@ -139,6 +139,30 @@ def test_estimation_recovers_reliabilities():
     assert len(LABELERS) == len(right)
 
 
+def test_estimation_keeps_kinds_apart():
+    """Three kinds, each with labelers of its own quality: every prior and rate is found."""
+    rnd = random.Random(4)
+    truth = {0: (0.3, (0.9, 0.9, 0.55, 0.8, 0.7)), 1: (0.6, (0.6, 0.85, 0.9, 0.7, 0.9)), 2: (0.8, (0.85, 0.5, 0.8, 0.9, 0.6))}
+    counts = {}
+    for k, (share, right) in truth.items():
+        for _ in range(40_000):
+            y = rnd.random() < share
+            v = tuple(1 if (rnd.random() < p) == y else -1 for p in right)
+            counts[k, v] = counts.get((k, v), 0) + 1
+    got = estimate([(k, v, n) for (k, v), n in counts.items()])
+    for k, (share, right) in truth.items():
+        assert got["prior"][k] == pytest.approx(share, abs=0.05)
+        for j, p in enumerate(right):
+            assert got["by_kind"][k, j, 1, 2] == pytest.approx(p, abs=0.05)
+
+
+def test_sure_patterns_stay_positive():
+    """A kind whose form and gazetteer votes fail is still itself where the base rule holds."""
+    got = estimate([(0, (1, -1, -1, 0, 1), 500), (1, (1, 1, 1, 0, 1), 500), (0, (0, -1, -1, 0, 1), 20)], [True, True, False])
+    assert got["posterior"][0] == got["posterior"][1] == 1.0
+    assert got["prior"][0] > 0.9 and got["by_kind"][0, 1, 1, 0] > 0.8 and got["by_kind"][1, 1, 1, 2] > 0.8
+
+
 def test_classifier_follows_probabilities():
     rows = [(0, (1, 1, 1, 0, 1), 3, 50, 0.99), (0, (-1, -1, -1, 0, -1), 3, 50, 0.01)]
     w = train(rows)

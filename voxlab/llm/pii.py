@@ -169,13 +169,20 @@ def judged(spans: Column) -> Column:
     return _let(F.filter(spans, lambda s: s["base"]), lambda base: F.filter(spans, lambda s: s["base"] | (F.get(s["votes"], 0) == -1) | ~_meets(base, s)))
 
 
-def estimate(counted: list[tuple[int, tuple[int, ...], int]], rounds: int = 100) -> dict:
-    """Expectation-maximisation on (kind, votes, count): prior by kind, vote rates by labeler and class, posterior by pattern."""
+def estimate(counted: list[tuple[int, tuple[int, ...], int]], sure: list[bool] | None = None, rounds: int = 100, shared: float = 50.0) -> dict:
+    """Expectation-maximisation on (kind, votes, count): prior by kind, vote rates by labeler and class, posterior by pattern.
+
+    Every kind has rates of its own (``by_kind``), as one and the same labeler may be good for one kind and
+    useless for another; the rates over all kinds (``rates``) count as ``shared`` further spans of
+    each.  Patterns that are ``sure`` stay positive.
+    """
     kinds = np.array([r[0] for r in counted], int)
     votes = np.array([r[1] for r in counted], int).reshape(len(counted), len(LABELERS)) + 1
     n = np.array([r[2] for r in counted], float)
-    p = np.clip(0.5 + 0.15 * (votes - 1).sum(axis=1), 0.05, 0.95)  # start: the sum of votes
+    fixed = np.zeros(len(counted), bool) if sure is None else np.array(sure, bool)
+    p = np.where(fixed, 1.0, np.clip(0.5 + 0.15 * (votes - 1).sum(axis=1), 0.05, 0.95))  # start: the sum of votes
     prior, rates = np.full(len(KINDS), 0.5), np.full((len(LABELERS), 2, 3), 1 / 3)
+    by_kind = np.full((len(KINDS), len(LABELERS), 2, 3), 1 / 3)
     # a weak belief that labelers are rather right than wrong keeps the two classes from changing places
     right = 1 + 0.02 * n.sum() * np.array([[1.0, 0.0, 0.0], [0.0, 0.0, 1.0]])
     for _ in range(rounds):
@@ -184,15 +191,18 @@ def estimate(counted: list[tuple[int, tuple[int, ...], int]], rounds: int = 100)
             prior[k] = ((n * p)[own].sum() + 1) / (n[own].sum() + 2)
         for j in range(len(LABELERS)):
             for y, q in enumerate((1 - p, p)):
-                c = np.bincount(votes[:, j], weights=n * q, minlength=3) + right[y]
-                rates[j, y] = c / c.sum()
-        log = [np.log(np.where(y, prior[kinds], 1 - prior[kinds])) + sum(np.log(rates[j, y, votes[:, j]]) for j in range(len(LABELERS))) for y in (0, 1)]
-        new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
+                c = np.array([np.bincount(votes[kinds == k, j], weights=(n * q)[kinds == k], minlength=3) for k in range(len(KINDS))])
+                every = c.sum(axis=0) + right[y]
+                rates[j, y] = every / every.sum()
+                c = c + shared * rates[j, y]
+                by_kind[:, j, y] = c / c.sum(axis=1, keepdims=True)
+        log = [np.log(np.where(y, prior[kinds], 1 - prior[kinds])) + sum(np.log(by_kind[kinds, j, y, votes[:, j]]) for j in range(len(LABELERS))) for y in (0, 1)]
+        new = np.where(fixed, 1.0, 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50))))
         done = np.abs(new - p).max(initial=0) < 1e-9
         p = new
         if done:
             break
-    return {"prior": prior, "rates": rates, "posterior": p}
+    return {"prior": prior, "rates": rates, "by_kind": by_kind, "posterior": p}
 
 
 def _row(kind: int, votes: tuple[int, ...], shape: int) -> list[float]:
@@ -224,7 +234,8 @@ def fitted(spans: DataFrame) -> dict:
     for k, v, _, n in rows:
         by[k, v] = by.get((k, v), 0) + n
     pattern = list(by)
-    got = estimate([(k, v, by[k, v]) for k, v in pattern]) if pattern else {"posterior": np.zeros(0), "prior": np.full(len(KINDS), 0.5), "rates": None}
+    # the rule's own vote is 1 for base spans alone, which are personal data by definition
+    got = estimate([(k, v, by[k, v]) for k, v in pattern], [v[0] == 1 for _, v in pattern]) if pattern else {"posterior": np.zeros(0), "prior": np.full(len(KINDS), 0.5), "rates": None}
     at = dict(zip(pattern, got["posterior"], strict=True))
     return got | {"weights": train([(k, v, h, n, float(at[k, v])) for k, v, h, n in rows])}
 
