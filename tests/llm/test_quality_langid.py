@@ -80,6 +80,18 @@ def test_language_on_held_out_rows(frame):
     assert {r.doc_id: (r.lang_pred, r.score) for r in identify(frame(shuffled)).collect()} == {i: (r.lang_pred, r.score) for i, r in got.items()}
 
 
+def test_a_small_language_is_learnt_beside_large_ones(frame):
+    """Nine hundred rows of two languages to forty of a third, and a sample of thirty rows each."""
+    docs, _ = corpus(900)
+    rnd = random.Random(8)
+    third = "ja nie tak dom kot pies woda ogień drzewo szkoła miasto rzeka góra niebo słońce".split()
+    small = [(5000 + i, " ".join(rnd.choice(third) for _ in range(40)), "pl", "s") for i in range(40)]
+    got = {r.doc_id: r for r in identify(frame(docs + small), max_rows=30).collect()}
+    for lang in {d[2] for d in docs + small if d[2]}:
+        held = [d for d in docs + small if out(d[0]) and d[2] == lang]
+        assert held and sum(got[i].lang_pred == la for i, _, la, _ in held) >= 0.95 * len(held), lang
+
+
 def test_language_of_odd_rows(odd, frame):
     docs, _ = corpus(100)
     rows = identify(odd.unionByName(frame([(1000 + i, t, la, s) for i, t, la, s in docs])).unionByName(frame([(9, "123 +-² !", "en", "a")]))).collect()

@@ -42,6 +42,11 @@ def may_learn(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 != 1, F.lit(False))
 
 
-def hash_share(id_col: Column, share: float) -> Column:
+def chosen(id_col: Column, share: Column) -> Column:
     """A fixed pseudo-random subset holding about ``share`` of the ids."""
-    return F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    return F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(1 << 30)) < share * (1 << 30)
+
+
+def hash_share(id_col: Column, share: float) -> Column:
+    """``chosen`` with one share for all."""
+    return chosen(id_col, F.lit(share))

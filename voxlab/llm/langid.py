@@ -5,14 +5,17 @@ back to its character n-grams, the longest length of which any is known, then
 shorter ones.  The text's language has the highest sum; its score is that
 language's share of the summed likelihoods.
 
-The model is learnt from at most about ``max_rows`` labelled rows (a fixed hash
-of the id chooses them) and holds the ``max_words`` most frequent words and
-``max_grams`` most frequent n-grams; rarer ones are what the backoff is for.
-Every whole text is predicted.
+The model is learnt from a sample of the labelled rows: of each language about
+``max_rows`` rows and ``max_chars`` characters at most (a fixed hash of the id chooses
+them), so a language of few documents is learnt from all of them, however many
+rows others have.  It holds every word that its language's sample has ``LEAST``
+times and every n-gram that it has ``LEAST_GRAM`` times; nothing else is left out, and what is
+rarer is what the backoff is for.  Every whole text is predicted.
 
 Defined results: ``und`` with score 0 for a null text, one without letters, or
 when there is nothing to learn from; a null language is no label; a null id
-is predicted but never learnt from; repeated rows are predicted row by row.
+is predicted but never learnt from; repeated rows are predicted row by row;
+of languages with equal sums the first by code point is taken.
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, held_out, may_learn
+from .common import chosen, held_out, may_learn, stage
 
-MAX_ROWS, MAX_WORDS, MAX_GRAMS, LENGTHS = 20_000, 100_000, 100_000, (5, 4, 3, 2, 1)
+MAX_ROWS, MAX_CHARS, LEAST, LEAST_GRAM, LENGTHS = 5_000, 12_000_000, 2, 5, (5, 4, 3, 2, 1)
 #: Unseen words a worker remembers.
 CACHED = 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -51,15 +54,17 @@ class Model:
         """counted: (item, kind, language, count); kind 0 is a word, n an n-gram."""
         self.langs = sorted({r[2] for r in counted})
         at = {x: i for i, x in enumerate(self.langs)}
-        tables: dict[int, dict[str, np.ndarray]] = {}
-        for item, kind, lang, n in counted:
-            tables.setdefault(kind, {}).setdefault(item, np.zeros(len(at)))[at[lang]] += n
-        self.tables = {}
-        for kind, t in tables.items():
-            total = sum(t.values()) + 0.1 * len(t)
-            self.tables[kind] = {x: np.log((c + 0.1) / total) for x, c in t.items()}
-        self.known = {w: i for i, w in enumerate(self.tables.get(0, {}))}
-        self.rows = np.array([self.tables[0][w] for w in self.known]).reshape(len(self.known), len(at))
+        #: by kind: number of each item and the log frequencies by number
+        self.tables: dict[int, tuple[dict[str, int], np.ndarray]] = {}
+        for kind in {0, *(r[1] for r in counted)}:
+            own = [r for r in counted if r[1] == kind]
+            number: dict[str, int] = {}
+            place = [number.setdefault(r[0], len(number)) for r in own]
+            n = np.full((len(number), len(at)), 0.1)
+            np.add.at(n, (place, [at[r[2]] for r in own]), [r[3] for r in own])
+            self.tables[kind] = number, np.log(n / n.sum(axis=0)).astype(np.float32)
+        known, rows = self.tables[0]
+        self.known, self.rows = known, rows.astype(float)
         self.unseen: dict[str, np.ndarray] = {}
 
     def backoff(self, word: str) -> np.ndarray:
@@ -67,9 +72,10 @@ class Model:
         if got is None:
             got = np.zeros(len(self.langs))
             for n in LENGTHS:
-                found = [x for x in map(self.tables.get(n, {}).get, grams(word, n)) if x is not None]
+                number, logs = self.tables.get(n, ({}, got))
+                found = [x for x in map(number.get, grams(word, n)) if x is not None]
                 if found:
-                    got = sum(found) / len(found)
+                    got = logs[found].mean(axis=0, dtype=float)
                     break
             if len(self.unseen) >= CACHED:
                 self.unseen.clear()
@@ -119,20 +125,24 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array([k[2] for k in keys], pa.string()), pa.array(found.values(), pa.int64())], names=["item", "kind", "lang", "n"])
 
 
-def learn(docs: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, id_col: str = "doc_id",
+def learn(docs: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, least: int = LEAST, least_gram: int = LEAST_GRAM, id_col: str = "doc_id",
           text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, int, str, int]]:
-    """(item, kind, language, count) of the words and n-grams of the model."""
-    fit = may_learn(F.col(id_col)) & F.col(lang_col).isNotNull()
-    n = docs.where(fit).count()
-    some = docs.where(fit & hash_share(F.col(id_col), min(1.0, max_rows / max(1, n)))) \
-        .select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
-    counted = some.mapInArrow(_counts, "item string, lang string, n long").groupBy("item", "lang").agg(F.sum("n").alias("n"))
-    by_word = counted.groupBy("item").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by"))  # one entry a language
-    top = by_word.orderBy(F.col("n").desc(), "item").limit(max_words).select("item", F.lit(0).alias("kind"), "by")
-    by_gram = counted.mapInArrow(_gram_counts, "item string, kind int, lang string, n long").groupBy("item", "kind", "lang").agg(F.sum("n").alias("n")) \
-        .groupBy("item", "kind").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    top_grams = by_gram.orderBy(F.col("n").desc(), "item", "kind").limit(max_grams).select("item", "kind", "by")
-    return [(r["item"], r["kind"], x["lang"], x["n"]) for part in (top, top_grams) for r in part.collect() for x in r["by"]]
+    """(item, kind, language, count) of the words and n-grams of the model.
+
+    The sample bounds them: ``max_chars`` / ``least`` words of each language at most.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
+    own = own.where(may_learn(F.col("id")) & F.col("lang").isNotNull())
+    size = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t")).alias("c")).collect()  # one row a language
+    share = F.lit(0.0)
+    for r in size:
+        share = F.when(F.col("lang") == r["lang"], F.lit(float(min(1.0, max_rows / r["n"], max_chars / max(1, r["c"] or 0))))).otherwise(share)
+    some = own.where(chosen(F.col("id"), share)).select("t", "lang")
+    counted = stage(some.mapInArrow(_counts, "item string, lang string, n long").groupBy("item", "lang").agg(F.sum("n").alias("n")), "words")
+    top = counted.where(F.col("n") >= least).select("item", F.lit(0).alias("kind"), "lang", "n")
+    of_words = counted.mapInArrow(_gram_counts, "item string, kind int, lang string, n long").groupBy("item", "kind", "lang").agg(F.sum("n").alias("n"))
+    table = top.unionByName(of_words.where(F.col("n") >= least_gram)).toPandas()
+    return list(zip(*(table[c].tolist() for c in ("item", "kind", "lang", "n")), strict=True))
 
 
 _MADE: dict = {}
@@ -141,7 +151,7 @@ _MADE: dict = {}
 def identify(docs: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     spark = docs.sparkSession
-    counted = spark.sparkContext.broadcast(learn(docs, max_rows, id_col=id_col, text_col=text_col, lang_col=lang_col))  # max_words + max_grams rows
+    counted = spark.sparkContext.broadcast(sorted(learn(docs, max_rows, id_col=id_col, text_col=text_col, lang_col=lang_col)))  # bounded by the sample
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
