@@ -1,4 +1,6 @@
+import datetime
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +26,7 @@ def brute(text, items, least=16, similarity=0.8):
         for start in range(-len(v) + 1, len(w)):
             same = [0 <= start + k < len(w) and w[start + k] == v[k] for k in range(len(v))]
             same = same[max(0, -start):max(0, -start) + min(len(v), len(w) - start) - max(0, -start)]
-            if len(v) >= 5 and brute_longest(same, similarity) >= min(least, len(v)):
+            if v and brute_longest(same, similarity) >= min(least, len(v)):
                 out.add(i)
     return out
 
@@ -101,6 +103,7 @@ def test_short_items_survive_every_allowed_substitution(n):
     for lost in combinations(range(n), n // 5):
         text = " ".join(["so", *("other" if i in lost else w for i, w in enumerate(item)), "it"])
         assert [x[:3] for x in seeds.overlaps(text, 16, 0.8)] == [(7, n, n - len(lost))], lost
+        assert bool(seeds.overlaps(text, 16, 0.8, 5)) == (n >= 5)
     for lost in combinations(range(n), n // 5 + 1):
         text = " ".join("other" if i in lost else w for i, w in enumerate(item))
         assert seeds.overlaps(text, 16, 0.8) == []
@@ -109,3 +112,43 @@ def test_short_items_survive_every_allowed_substitution(n):
 def test_items_without_spaces_are_searched():
     seeds = Seeds([(1, "今天天气很好"), (2, "你好,世界")])
     assert sorted(x[0] for x in seeds.overlaps("他说:今天天气很好。你好,世界!", 16, 0.8)) == [1, 2]
+    # characters are words of their own there, so an item inside a longer run is found
+    assert [x[0] for x in seeds.overlaps("因为今天天气很好所以我们出去", 16, 0.8)] == [1]
+    assert words("ab 今天 cd9") == ["ab", "今", "天", "cd9"]
+
+
+def test_a_phrase_that_many_items_share():
+    rnd = random.Random(2)
+    stem = "which of the following statements is true about the thing"
+    items = [(i, f"{stem} {' '.join(f'q{rnd.randrange(9000)}' for _ in range(10))}") for i in range(20_000)]
+    seeds = Seeds(items)
+    text = " ".join(f"{stem} x{i} y{i} z{i}" for i in range(20)) + " " + items[77][1]
+    began = time.process_time()
+    got = seeds.overlaps(text, 16, 0.8)
+    assert time.process_time() - began < 3  # 400,000 places
+    assert [x[:3] for x in got if x[1] == 20] == [(77, 20, 20)]
+    assert {x[0] for x in got} & set(range(0, 20_000, 500)) == brute(text, [items[i] for i in range(0, 20_000, 500)])
+
+
+def test_batches_of_places_change_nothing(monkeypatch):
+    from voxlab.llm import decontaminate as D
+    docs, items, _ = planted()
+    want = [Seeds([(i, t) for i, t in items]).overlaps(t, 16, 0.8) for _, t, *_ in docs]
+    monkeypatch.setattr(D, "HITS", 3)
+    monkeypatch.setattr(D, "COMPARED", 7)
+    assert [Seeds([(i, t) for i, t in items]).overlaps(t, 16, 0.8) for _, t, *_ in docs] == want
+
+
+def test_ids_of_other_types(spark, frame):
+    text = "one two three four five six seven"
+    for kind, value in (("date", datetime.date(2020, 1, 2)), ("double", 0.5), ("struct<a:int,b:string>", (1, "x"))):
+        bench = spark.createDataFrame([(value, text)], f"item_id {kind}, text string")
+        (r,) = overlaps(frame([(1, f"so {text} it", "en", "s")]), bench).collect()
+        assert (tuple(r.item_id) if kind.startswith("struct") else r.item_id) == value and r.proves
+
+
+def test_short_items_prove_nothing(spark, frame):
+    bench = spark.createDataFrame([(1, "Yes")], "item_id int, text string")
+    df = frame([(1, "well yes I think so", "en", "s")])
+    assert [(r.item_id, r.proves) for r in overlaps(df, bench).collect()] == [(1, False)]
+    assert clean_documents(df, bench).count() == 1
