@@ -51,6 +51,32 @@ def test_a_layout_named_like_a_section_keeps_its_text(wrapper, inner):
     assert main_text(page(f"<nav>menu</nav>{wrapper}{text}{aside}</div><footer>x</footer>"), STOP) == f"{SENTENCE} one\n{SENTENCE} two"
 
 
+@pytest.mark.parametrize("inner", ['<div class="legal-analysis"><p>{}</p></div>', '<div class="tags-explained meta"><p>{}</p></div>', '<div id="side-effects"><p>{}</p></div>',
+                                   '<section class="search"><p>{}</p></section>', "<p><math><mi>{}</mi></math></p>", "<object><p>{}</p></object>"])
+def test_parts_of_an_article_stay(inner):
+    html = page(f"<nav>menu</nav><article><p>{SENTENCE} one</p>{inner.format(SENTENCE + ' two')}<p>{SENTENCE} three</p></article>")
+    assert main_text(html, STOP) == f"{SENTENCE} one\n{SENTENCE} two\n{SENTENCE} three"
+
+
+def test_a_table_in_an_article_keeps_its_cells():
+    html = page(f"<article><p>{SENTENCE}</p><table><tr><th>Year</th><th>Size</th></tr><tr><td>1990</td><td>12 m</td></tr></table>"
+                f"<div><a href=a>some link text of a list</a></div><table><tr><td>end</td></tr></table></article>")
+    assert main_text(html, STOP) == f"{SENTENCE}\nYear\nSize\n1990\n12 m\nend"
+
+
+def test_a_long_list_of_names_is_no_text_where_the_language_is_known():
+    names = " ".join(f"Name{i}" for i in range(60))
+    body = f"<div><p>{SENTENCE} one. {SENTENCE}. {SENTENCE}. {SENTENCE}. {SENTENCE}</p><p>{SENTENCE} two. {SENTENCE}</p></div><div>{names}</div><div><a href=x>link one here and there</a></div>"
+    assert names not in main_text(page(body), STOP)
+    assert names in main_text(page(f"<div>{names}</div><p>{names} more</p>"), STOP)
+
+
+def test_stop_words_are_those_of_the_prose(spark):
+    html = page(f"<script>var margin = 1; var track = margin;</script><style>p {{margin: 0}}</style><nav>home blog</nav><p>{SENTENCE} &middot; see www.example.com</p>")
+    got = stop_words(spark.createDataFrame([(html,), (html,)], "html string"))
+    assert {"the", "was", "hill"} <= got and got.isdisjoint({"var", "margin", "track", "middot", "www", "com", "example", "blog", "home"})
+
+
 def test_articles_in_comments_are_no_article():
     for a, b in (("", ""), ('<div class="site has-sidebar">', "</div>")):
         comments = f'<div id="comments"><article class="comment"><p>{SENTENCE} reader</p></article></div>'

@@ -12,11 +12,12 @@ where a page marks up its article, the text in it is main unless such a section.
 A class or id alone is weaker: a wrapper so named that holds the page's article, or half of
 the text of a page without one, is its layout and the block rules decide in it.
 
-Stop words are the ``STOP_WORDS`` most frequent words over all pages, counted
-by documents, so no list per language is needed.
+Stop words are the ``STOP_WORDS`` words that stand in the prose of most pages (runs of text of
+``PROSE`` characters and more, without scripts, styles, references and addresses), so no list per
+language is needed.  A page whose language has too few of them is told by its other features.
 
 Defined results: a null or empty page, or one without main text, gives an
-empty text; unclosed tags and comments end with the page; unknown character
+empty text; of two decided neighbours at equal distance the one before counts; unclosed tags and comments end with the page; unknown character
 references stay as they are; repeated rows are extracted row by row.
 """
 
@@ -31,21 +32,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STOP_WORDS, LONG, SHORT, STOP_HIGH, STOP_LOW, LINKED = 400, 200, 70, 0.30, 0.15, 0.35
+STOP_WORDS, LONG, SHORT, STOP_HIGH, STOP_LOW, LINKED, PROSE = 400, 200, 70, 0.30, 0.15, 0.35, 60
 
 # Names of HTML elements and of page sections.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
     frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul
     """.split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript iframe noframes noembed xmp template textarea title svg math object canvas audio video select button".split())
+RAW = frozenset("script style noscript iframe noframes noembed xmp template textarea title svg canvas audio video select button".split())
 OUT = frozenset("head nav footer aside form menu dialog header".split())
 MAIN = frozenset("article main".split())
+CELLS = frozenset("td th caption tr".split())
 SECTION = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|cookie|cookies|consent|gdpr|notice|popup|modal|"
     r"overlay|nav|navbar|navigation|menu|submenu|breadcrumb|breadcrumbs|sidebar|side|aside|widget|related|recommended|share|sharing|social|follow|"
     r"newsletter|subscribe|signup|login|search|comment|comments|disqus|respond|replies|reply|footer|foot|header|masthead|topbar|toolbar|skip|"
     r"copyright|legal|pagination|pager|tags|tagcloud|meta|byline)(?:$|[\s_-])", re.I)
+#: Of these, class or id tokens that name a section for certain where they stand alone: an article's own parts
+#: are called legal-analysis, tags-explained or meta as well.
+CERTAIN = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr popup modal overlay nav navbar
+    navigation menu submenu breadcrumb breadcrumbs sidebar widget related recommended share sharing social newsletter subscribe comment comments disqus
+    respond replies pagination pager tagcloud cookie-notice cookie-banner related-posts share-buttons comment-list comments-area""".split())
 ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -57,21 +64,23 @@ WORD = re.compile(r"[^\W\d_]+")
 
 class Block:
     """Text between two block-level tags and where it stood."""
-    __slots__ = ("article", "heading", "linked", "named", "out", "section", "text")
+    __slots__ = ("article", "cell", "heading", "linked", "named", "out", "section", "text")
 
-    def __init__(self, text: str, linked: int, out: bool, article: bool, section: int, heading: bool, named: tuple[int, ...]):
-        self.text, self.linked, self.out, self.article, self.section, self.heading, self.named = text, linked, out, article, section, heading, named
+    def __init__(self, text: str, linked: int, out: bool, article: bool, section: int, heading: bool, named: tuple[int, ...], cell: bool = False):
+        self.text, self.linked, self.out, self.article, self.section, self.heading, self.named, self.cell = text, linked, out, article, section, heading, named, cell
 
 
-def _boilerplate(name: str, attributes: str) -> int:
-    """2 for a section that is no text, 1 for one that only a class or id says so of, else 0."""
+def _boilerplate(name: str, attributes: str, article: bool) -> int:
+    """2 for a section that is no text, 1 for one that only a class or id says so of, else 0.
+
+    Within an article a class or id must be one of ``CERTAIN`` as a whole."""
     if name in OUT:
         return 2
     named = 0
     if "=" in attributes or "hidden" in attributes:
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key in ("class", "id") and SECTION.search(value) or key == "role" and value.lower() in ROLE:
+            if key in ("class", "id") and (not CERTAIN.isdisjoint(value.lower().split()) if article else SECTION.search(value)) or key == "role" and value.lower() in ROLE:
                 if name in ("body", "html", "article", "main"):
                     return 0
                 if key == "role":
@@ -119,7 +128,7 @@ def blocks(page: str | None) -> list[Block]:
         if text:
             in_links = len(SPACE.sub(" ", html.unescape("".join(linked))).strip())
             _, off, article, section, named = stack[-1] if stack else ("", False, False, 0, ())
-            out.append(Block(text, in_links, off, article, section, heading, named))
+            out.append(Block(text, in_links, off, article, section, heading, named, bool(stack) and stack[-1][0] in CELLS))
         pieces.clear()
         linked.clear()
 
@@ -164,7 +173,7 @@ def blocks(page: str | None) -> list[Block]:
                     stack.pop()
                 _, off, article, section, named = stack[-1] if stack else ("", False, False, 0, ())
                 # a header within an article may hold its title; a page's own header doesn't
-                bad = 0 if name == "header" and article else _boilerplate(name, attributes)
+                bad = 0 if name == "header" and article else _boilerplate(name, attributes, article)
                 if bad or name in MAIN or name in ("section", "div", "td", "body"):
                     sections += 1
                     section = sections
@@ -182,8 +191,16 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-def decided(b: Block, stop: frozenset[str], marked: bool) -> bool | None:
-    """First pass: True for main text, False for boilerplate, None where the block is too short to tell."""
+def _known(found: list[Block], stop: frozenset[str]) -> bool:
+    """Whether the stop words are those of the page's language: its blocks hold many of them as a whole."""
+    words = [w for b in found if not b.out and b.linked <= LINKED * len(b.text) for w in WORD.findall(b.text.lower())]
+    return sum(w in stop for w in words) >= STOP_HIGH * max(1, len(words))
+
+
+def decided(b: Block, stop: frozenset[str], marked: bool, known: bool = False) -> bool | None:
+    """First pass: True for main text, False for boilerplate, None where the block is too short to tell.
+
+    ``known``: the page's language has its stop words, so a long block without them is a list or a table of names."""
     if b.out:
         return False
     if marked and not b.article:
@@ -192,6 +209,8 @@ def decided(b: Block, stop: frozenset[str], marked: bool) -> bool | None:
     links = b.linked / n
     if links > LINKED and (n > 20 or links > 0.9):
         return False
+    if marked and b.cell:
+        return True  # a table belongs to its article, however short its cells
     found = WORD.findall(b.text.lower())
     share = sum(w in stop for w in found) / len(found) if found else 0.0
     if n < SHORT or b.heading:
@@ -200,14 +219,15 @@ def decided(b: Block, stop: frozenset[str], marked: bool) -> bool | None:
         return True
     if share >= STOP_LOW:
         return True if n > LONG else None
-    return None if n <= LONG else bool(marked or found)
+    return None if n <= LONG else bool(marked or found and not known)
 
 
 def main_text(page: str | None, stop: frozenset[str]) -> str:
     """The main text, one line per block."""
     found = blocks(page)
     marked = any(b.article and not b.out for b in found)
-    label = [decided(b, stop, marked) for b in found]
+    known = not marked and _known(found, stop)
+    label = [decided(b, stop, marked, known) for b in found]
     before, after = [None] * len(found), [None] * len(found)
     at = None
     for i, x in enumerate(label):
@@ -238,13 +258,24 @@ def main_text(page: str | None, stop: frozenset[str]) -> str:
     return "\n".join(out)
 
 
+NO_PROSE = re.compile(r"<(script|style|noscript|svg|template|textarea|title|select)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
+INLINE = re.compile(r"</?(?:a|abbr|b|cite|code|em|i|mark|q|s|small|span|strong|sub|sup|u)(?=[\s/>])[^>]*>", re.I)
+ADDRESS = re.compile(r"\S*(?:://|www\.|@)\S*")
+
+
+def prose(page: str | None) -> str:
+    """The long runs of text of a page."""
+    runs = re.split(r"<[^>]*>", INLINE.sub("", NO_PROSE.sub(" ", page or "")))
+    return "\n".join(ADDRESS.sub(" ", html.unescape(r)) for r in runs if len(r) >= PROSE)
+
+
 def _page_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(found: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
     found: Counter = Counter()
     for b in batches:
         for t in b.column(0):
-            found.update(set(WORD.findall(re.sub(r"<[^>]*>", " ", t.as_py() or "").lower())))
+            found.update(set(WORD.findall(prose(t.as_py()).lower())))
         if len(found) > 500_000:
             yield out(found)
             found.clear()
