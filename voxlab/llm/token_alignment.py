@@ -33,8 +33,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -47,8 +47,8 @@ from .common import stage
 
 #: A block is closed when it holds so many tokens of A, or so many different windows.
 BLOCK_TOKENS, BLOCK_WINDOWS = 1 << 24, 300_000
-#: Windows that a worker remembers; a full table is emptied.  Longer windows are not remembered.
-MAX_WINDOWS, LONGEST = 400_000, 256
+#: Windows that a worker remembers; a full table is emptied.  Windows of more bytes of ids are not remembered.
+MAX_WINDOWS, LONGEST = 400_000, 2048
 #: Documents whose windows are cut at a time, and their characters.
 TEXTS, CHARACTERS = 1024, 1 << 21
 # Fixed value: the word rule of byte-level vocabularies.
@@ -59,7 +59,8 @@ _OLD = [(0x00, 0x24F), (0x391, 0x3A1), (0x3A3, 0x3C9), (0x410, 0x44F), (0x2010,
 UNSETTLED = re.compile("[^" + "".join(f"{chr(x)}-{chr(y)}" for x, y in _OLD).replace("\\", "") + "]")
 #: How sentencepiece writes a space.
 MARK = chr(0x2581)
-B_BITS = 20
+#: Bits of an id of B in a link code, and what marks an id of B in a window.
+B_BITS, OF_B = 20, 1 << 30
 
 _LOADED: dict = {}
 
@@ -71,10 +72,38 @@ def byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def merges_alike(spec: bytes) -> bool:
+    """Whether tiktoken merges like the tokenizers library under this file.
+
+    tiktoken merges any two neighbours that make a token, the library only those that are
+    a merge rule.  Where the rules make every token of its own bytes, two neighbours that make
+    a token have always been a rule's: the rules would have made that token from them.
+    """
+    j = json.loads(spec)
+    m, pre = j["model"], j["pre_tokenizer"] or {}
+    if m["type"] != "BPE" or j["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) \
+            or m["dropout"] or m["continuing_subword_prefix"] or m["end_of_word_suffix"] or m["ignore_merges"]:
+        return False
+    merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in m["merges"]]
+    at = [m["vocab"][x + y] for x, y in merges]
+    if at != sorted(set(at)):
+        return False
+    rank = {x: i for i, x in enumerate(merges)}
+    for x, y in merges:
+        parts = list(x + y)
+        while len(parts) > 1:
+            k = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), len(rank)))
+            if (parts[k], parts[k + 1]) not in rank:
+                return False
+            parts[k:k + 2] = [parts[k] + parts[k + 1]]
+    return True
+
+
 class TokenPair:
     """Both tokenizers with the bytes of their tokens."""
 
-    def __init__(self, spec_a: bytes, spec_b: bytes):
+    def __init__(self, spec_a: bytes, spec_b: bytes, alike: bool | None = None):
+        """``alike``: what ``merges_alike`` says of A's file, if it is known already."""
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
@@ -94,33 +123,16 @@ class TokenPair:
         self.size_a, self.size_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
         self.sizes_a, self.sizes_b = self.size_a.tolist(), self.size_b.tolist()
         self.spaced_a, self.spaced_b = (np.array([x[:1] == b" " for x in y]) for y in (self.bytes_a, self.bytes_b))
-        self.windows: dict[tuple, tuple] = {}
-        self.fast = self._tiktoken(json.loads(spec_a))
+        # ids as they are written inside and at the end of their side of a group
+        self.written_a = [f"{i}," for i in range(n_a)], [f"{i}|" for i in range(n_a)]
+        self.written_b = [f"{i}," for i in range(len(self.bytes_b))], [f"{i};" for i in range(len(self.bytes_b))]
+        self.windows: dict[bytes, tuple] = {}
+        self.fast = self._tiktoken(json.loads(spec_a)) if (merges_alike(spec_a) if alike is None else alike) else None
 
     def _tiktoken(self, j: dict):
-        """The same merges in tiktoken, None where the file asks for more than it does.
-
-        tiktoken merges any two neighbours that make a token, the library only those that are
-        a merge rule.  Where the rules make every token of its own bytes, two neighbours that make
-        a token have always been a rule's: the rules would have made that token from them.
-        """
-        m, pre = j["model"], j["pre_tokenizer"] or {}
-        merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in m.get("merges", [])]
-        at = [m["vocab"][x + y] for x, y in merges] if m["type"] == "BPE" else []
-        if m["type"] != "BPE" or j["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) \
-                or m["dropout"] or m["continuing_subword_prefix"] or m["end_of_word_suffix"] or m["ignore_merges"] or at != sorted(set(at)):
-            return None
-        rank = {x: i for i, x in enumerate(merges)}
-        for x, y in merges:
-            parts = list(x + y)
-            while len(parts) > 1:
-                k = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), len(rank)))
-                if (parts[k], parts[k + 1]) not in rank:
-                    return None
-                parts[k:k + 2] = [parts[k] + parts[k + 1]]
         import tiktoken
         special = {t.content for t in self.a.get_added_tokens_decoder().values()}
-        ranks = {self.bytes_a[i]: i for t, i in m["vocab"].items() if t not in special}
+        ranks = {self.bytes_a[i]: i for t, i in j["model"]["vocab"].items() if t not in special}
         return tiktoken.Encoding("pair", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def _piece(self, i: int) -> bytes:
@@ -143,32 +155,30 @@ class TokenPair:
                 out[k] = x, y
         return out
 
-    def align(self, a: tuple, b: tuple) -> tuple[str, int, bytes]:
-        """(groups as text, number of groups, link codes) of one window."""
-        size_a, size_b, n = self.sizes_a, self.sizes_b, len(a)
-        i = j = n_groups = 0
-        ahead = size_a[a[0]] - size_b[b[0]]  # how far the end of A's token lies beyond that of B's
-        left, right, text, links = str(a[0]), str(b[0]), "", [a[0] << B_BITS | b[0]]
-        while True:
-            if ahead:
-                if ahead < 0:
-                    i += 1
-                    ahead += size_a[a[i]]
-                    left += f",{a[i]}"
-                else:
-                    j += 1
-                    ahead -= size_b[b[j]]
-                    right += f",{b[j]}"
-            else:
-                n_groups += 1
-                text += f"{left}|{right}"
-                i += 1
-                j += 1
-                if i == n:
-                    return text, n_groups, struct.pack(f"<{len(links)}q", *links)
-                ahead = size_a[a[i]] - size_b[b[j]]
-                left, right = f";{a[i]}", str(b[j])
-            links.append(a[i] << B_BITS | b[j])
+    def align(self, keys: list[bytes]) -> list[tuple[str, int, bytes]]:
+        """(groups as text, number of groups, link codes) of windows, each the ids of A and then those of B, marked by ``OF_B``."""
+        if not keys:
+            return []
+        flat, sizes = np.frombuffer(b"".join(keys), "<i4").astype(np.int64), np.array([len(k) >> 2 for k in keys])
+        of_b = flat >= OF_B
+        a, b = flat[~of_b], flat[of_b] - OF_B
+        n_b = np.add.reduceat(of_b.astype(np.int64), np.cumsum(sizes) - sizes)
+        n_a = sizes - n_b
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        # bytes between neighbouring ends belong to one token of each: a link
+        seams = np.union1d(ends_a, ends_b)
+        codes = a[np.searchsorted(ends_a, seams)] << B_BITS | b[np.searchsorted(ends_b, seams)]
+        last_a = ends_b[np.searchsorted(ends_b, ends_a)] == ends_a
+        last_b = ends_a[np.searchsorted(ends_a, ends_b)] == ends_b
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        (comma, bar), (also, over) = self.written_a, self.written_b
+        pieces = [bar[x] if e else comma[x] for x, e in zip(a.tolist(), last_a.tolist(), strict=True)]
+        pieces += [over[x] if e else also[x] for x, e in zip(b.tolist(), last_b.tolist(), strict=True)]
+        pieces = list(map(pieces.__getitem__, order.tolist()))
+        at, groups = np.cumsum(sizes).tolist(), np.diff(group_a[np.cumsum(n_a) - 1] + 1, prepend=0).tolist()
+        links, raw = (8 * (np.searchsorted(seams, ends_a[np.cumsum(n_a) - 1]) + 1)).tolist(), codes.astype("<i8").tobytes()
+        return [("".join(pieces[p:q])[:-1], n, raw[r:s]) for p, q, n, r, s in zip([0, *at], at, groups, [0, *links], links, strict=False)]
 
     def cuts(self, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where windows end, in tokens of A and of B: shared ends before space-marked tokens.
@@ -206,10 +216,10 @@ def _alike(ids: np.ndarray, ends: np.ndarray, of: np.ndarray) -> np.ndarray:
     return same & (wrong[first + take] == wrong[first])
 
 
-def loaded(spec_a, spec_b) -> TokenPair:
+def loaded(spec_a, spec_b, alike: bool) -> TokenPair:
     """The worker's own pair of tokenizers, made once per broadcast."""
     if _LOADED.get("of") != (spec_a, spec_b):
-        _LOADED.update(of=(spec_a, spec_b), pair=TokenPair(spec_a.value, spec_b.value))
+        _LOADED.update(of=(spec_a, spec_b), pair=TokenPair(spec_a.value, spec_b.value, alike))
     return _LOADED["pair"]
 
 
@@ -218,7 +228,7 @@ class Block:
 
     def __init__(self, pair: TokenPair, no: int):
         self.pair, self.no = pair, no
-        self.numbers: dict[tuple, int] = {}
+        self.numbers: dict[bytes, int] = {}
         self.texts: list[str] = []
         self.groups: list[int] = []
         self.links: list[bytes] = []
@@ -244,8 +254,13 @@ class Block:
         numbers = np.zeros(len(of), np.int64)
         i0, j0 = np.concatenate(([0], i[:-1])), np.concatenate(([0], j[:-1]))
         own = np.flatnonzero(of == np.arange(len(of)))
-        x, y = tuple(a.tolist()), tuple(b.tolist())
-        numbers[own] = [self.number((x[p:q], y[r:s])) for p, q, r, s in zip(*(v[own].tolist() for v in (i0, i, j0, j)), strict=True)]
+        x, y = a.astype("<i4").tobytes(), (b + OF_B).astype("<i4").tobytes()
+        keys = [x[p:q] + y[r:s] for p, q, r, s in zip(*((4 * v[own]).tolist() for v in (i0, i, j0, j)), strict=True)]
+        found = list(map(self.numbers.get, keys))
+        if None in found:
+            self.add(list(dict.fromkeys(k for k, n in zip(keys, found, strict=True) if n is None)))
+            found = list(map(self.numbers.__getitem__, keys))
+        numbers[own] = found
         refs = numbers[of].astype("<i4")
         self.tokens += len(a)
         self.refs.append(refs)
@@ -255,23 +270,22 @@ class Block:
             s = e
         return out
 
-    def number(self, key: tuple) -> int:
-        """Number of a window in the block."""
-        n = self.numbers.get(key)
-        if n is None:
-            known = self.pair.windows
-            w = known.get(key)
-            if w is None:
-                w = self.pair.align(*key)
-                if len(key[0]) <= LONGEST:
-                    if len(known) >= MAX_WINDOWS:
-                        known.clear()
-                    known[key] = w
-            n = self.numbers[key] = len(self.links)
+    def add(self, keys: list[bytes]) -> None:
+        """Number windows that the block doesn't hold yet."""
+        known = self.pair.windows
+        todo = [k for k in keys if k not in known]
+        if len(known) + len(todo) > MAX_WINDOWS:
+            known.clear()
+            todo = keys
+        long = {}
+        for k, w in zip(todo, self.pair.align(todo), strict=True):
+            (known if len(k) <= LONGEST else long)[k] = w
+        for k in keys:
+            w = known.get(k) or long[k]
+            self.numbers[k] = len(self.links)
             self.texts.append(w[0])
             self.groups.append(w[1])
             self.links.append(w[2])
-        return n
 
     def pairs(self) -> tuple[bytes, bytes, bytes, np.ndarray, np.ndarray]:
         """(groups of each window, links of each window, number of the pair of each link, pairs, count of each pair)."""
@@ -287,19 +301,23 @@ _ROW = "block long, doc_id {t}, n_a long, n_b long, groups_sha256 string, refs b
 _OUT = "doc_id {t}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _packed(raw: bytes) -> bytes:
+@cache
+def _codecs() -> tuple:
     import zstandard
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _packed(raw: bytes) -> bytes:
+    return _codecs()[0].compress(raw)
 
 
 def _plain(raw: bytes) -> np.ndarray:
-    import zstandard
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<i4")
+    return np.frombuffer(_codecs()[1].decompress(raw), "<i4")
 
 
-def _aligner(spec_a, spec_b, schema: pa.Schema):
+def _aligner(spec_a, spec_b, alike: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, no = loaded(spec_a, spec_b), TaskContext.get().partitionId() << 24
+        pair, no = loaded(spec_a, spec_b, alike), TaskContext.get().partitionId() << 24
         block = Block(pair, no)
 
         def closed() -> pa.RecordBatch:
@@ -376,7 +394,7 @@ def align_documents(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, id_col:
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     row, out = (to_arrow_schema(StructType.fromDDL(s.format(t=kind))) for s in (_ROW, _OUT))
-    aligned = stage(src.mapInArrow(_aligner(*specs, row), _ROW.format(t=kind)), "aligned")
+    aligned = stage(src.mapInArrow(_aligner(*specs, merges_alike(specs[0].value), row), _ROW.format(t=kind)), "aligned")
     pairs = stage(aligned.where("codes is not null").select("block", F.posexplode(F.arrays_zip("codes", "counts")).alias("i", "p"))
                   .select("block", F.col("i").cast("int").alias("i"), F.col("p.codes").alias("code"), F.col("p.counts").alias("n")), "pairs")
     # an id of B has no more pairs than A has ids
