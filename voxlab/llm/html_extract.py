@@ -265,8 +265,8 @@ ADDRESS = re.compile(r"\S*(?:://|www\.|@)\S*")
 
 def prose(page: str | None) -> str:
     """The long runs of text of a page."""
-    runs = re.split(r"<[^>]*>", INLINE.sub("", NO_PROSE.sub(" ", page or "")))
-    return "\n".join(ADDRESS.sub(" ", html.unescape(r)) for r in runs if len(r) >= PROSE)
+    runs = (r for r in re.split(r"<[^>]*>", INLINE.sub("", NO_PROSE.sub(" ", page or ""))) if len(r) >= PROSE)
+    return "\n".join(html.unescape(ADDRESS.sub(" ", r) if "://" in r or "www." in r or "@" in r else r) for r in runs)
 
 
 def _page_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
