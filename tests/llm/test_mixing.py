@@ -97,3 +97,70 @@ def test_targets_of_one_source(frame):
     df = frame([(1, "a b", "en", "s")]).select(F.lit(2).cast("long").alias("size"), "source").select("source", "size")
     (r,) = source_targets(df).collect()
     assert r.target == pytest.approx(2.0)
+
+
+def brute_draw(rows, bound=3.0, seed_rank=None):
+    """Plain form: documents in rank order as they fit, set aside otherwise; at the end the shortest one that helps."""
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    taken = {}
+    for s, own in by.items():
+        rest = own[0].target - (own[0].target // max(1, own[0].source_size)) * own[0].source_size
+        order, left = sorted((r for r in own if r["size"] > 0), key=lambda r: (seed_rank[r.row_key], r.row_key)), rest
+        drawn = []
+        for r in order:
+            if r["size"] <= left:
+                drawn.append(r)
+                left -= r["size"]
+        if (out := [r for r in order if r not in drawn]) and (least := min(r["size"] for r in out)) < 2 * left:
+            left -= least
+        taken[s] = (own[0].target // max(1, own[0].source_size)) * own[0].source_size + rest - left
+    return taken
+
+
+def test_draw_goes_on_as_the_plain_form(frame):
+    rnd = random.Random(5)
+    rows = [(i, " ".join(["w"] * max(1, int(rnd.paretovariate(0.8)))), "en", rnd.choice(["a", "a", "b", None])) for i in range(800)]
+    rows = [(i, t[:40000], la, s) for i, t, la, s in rows]
+    got = mix(frame(rows)).collect()
+    size2 = {}
+    for r in got:
+        size2[r.source] = size2.get(r.source, 0) + r["size"] ** 2
+
+    def rank(r):
+        u = float(hashes[r.row_key] % (1 << 52) + 0.5) / (1 << 52)
+        rest = r.target - (r.target // r.source_size) * r.source_size
+        p = min(1.0, rest * r["size"] / max(size2[r.source], 1.0))
+        a, b = u * (1 - p), (1 - u) * p
+        return int((a / (a + b) if p > 0 else 1.0) * float((1 << 30) - 1))
+    spark = frame([]).sparkSession
+    keys = spark.createDataFrame([(r.row_key,) for r in got], "k long")
+    hashes = {k: h for k, h in keys.select("k", F.xxhash64("k", F.lit(7))).collect()}
+    want = brute_draw(got, seed_rank={r.row_key: rank(r) for r in got})
+    taken = {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert taken == {s: pytest.approx(w) for s, w in want.items()}
+
+
+@pytest.mark.parametrize("others", [140_000, 50_000])
+def test_a_refused_long_document_leaves_its_words_to_others(frame, others):
+    rows = [(0, "w " * 1_000_000, "en", "a")] + [(i, "w " * 300, "en", "a") for i in range(1, 1001)]
+    rows += [(5000 + i, "w " * 1000, "en", s) for s in "bc" for i in range(others // 1000)]
+    got = mix(frame(rows)).where("source = 'a'").collect()
+    target, taken = got[0].target, sum(r.taken for r in got)
+    # the 300,000 words that fit are taken; what is left out would lead further away
+    assert taken >= 300_000 and all(r["size"] >= 2 * (target - taken) for r in got if not r.taken)
+
+
+def test_equal_rows_are_dealt_in_one_division(frame, monkeypatch):
+    import voxlab.llm.mixing as mixing
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    rows = [(1, "same words here", "en", "a")] * 500 + [(i, "w " * 7, "en", "b") for i in range(2, 300)]
+    docs = frame(rows)
+    got = mix(docs).collect()
+    a = [r for r in got if r.doc_id == 1]
+    assert len(got) == len(rows) and len(a) == 500
+    assert abs(sum(r.taken for r in a) - a[0].target) <= 1.5
+    assert mixed_rows(docs).where("doc_id = 1").count() == sum(r.copies for r in a)
