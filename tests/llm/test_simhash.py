@@ -71,6 +71,31 @@ def test_links_lose_no_component(spark, monkeypatch, held):
     assert [got.index(g) for g in got] == [want.index(w) for w in want]
 
 
+@pytest.mark.parametrize("distance", [0, 1, 2, 3, 5, 6])
+def test_any_distance_against_brute_force(spark, monkeypatch, distance):
+    monkeypatch.setattr("voxlab.llm.simhash.HELD", 1 << 18)
+    rnd = random.Random(distance)
+    fps = [rnd.getrandbits(64) for _ in range(12)]
+    for a in list(fps):  # neighbours at every number of bits up to one beyond, and chains of them
+        for d in range(1, distance + 2):
+            a ^= sum(1 << b for b in rnd.sample(range(64), d))
+            fps.append(a)
+    fps = sorted(set(fps))
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    at = {f: i for i, f in enumerate(fps)}
+    found = [(at[r.a % (1 << 64)], at[r.b % (1 << 64)]) for r in links(df, distance).collect()]
+    root = list(range(len(fps)))
+    for _ in fps:
+        for a, b in found:
+            root[a] = root[b] = min(root[a], root[b])
+    assert root == brute_components(fps, distance)
+
+
+def test_distances_that_are_not_spread(spark):
+    with pytest.raises(ValueError):
+        links(spark.createDataFrame([(1,)], "fp long"), 9)
+
+
 def test_components_of_chains_and_hubs(spark):
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 60)] + [(500, 500), (70, 71), (71, 70)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}

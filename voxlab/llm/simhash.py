@@ -14,7 +14,10 @@ one key's variants fit in memory, and where a crowd of near copies gathers
 under one key, that key is divided bit by bit in the same way.
 
 Members of one variant lie within ``distance`` of each other by the triangle
-inequality, so the links kept from it lead to its least member; links are
+inequality, so the links kept from it lead to its least member.  An odd distance
+takes the next radius: two fingerprints at it meet where one of them flips a bit less,
+so there the links lead to a member with the fewest flips, which all others of that
+variant that are near enough for it lie around.  Links are
 verified by their bits and thinned to a spanning forest per key before they leave
 the task.  No step emits all pairs of a group.
 
@@ -29,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,8 @@ SEED = 42
 #: Variants held at a time by one task.
 HELD = 1 << 21
 MAX_KEY_BITS = 24
+#: Balls beyond half this distance (679,121 variants) aren't spread.
+MAX_DISTANCE = 8
 #: Parts that a component's fingerprints are dealt in where they meet its least id.
 PARTS = 32
 
@@ -96,8 +102,11 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _meetings(base: np.ndarray, left: np.ndarray, owner: np.ndarray, free: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (owner, owner) of equal variants; ``left`` is how many free bits each base may still flip."""
+def _meetings(base: np.ndarray, left: np.ndarray, owner: np.ndarray, free: tuple[int, ...], odd: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (owner, owner) of equal variants; ``left`` is how many free bits each base may still flip.
+
+    They lead to the variant's least owner, or with ``odd`` to its least one of those with the fewest flips.
+    """
     sizes = [len(_ball(free, r)) for r in range(int(left.max(initial=0)) + 1)]
     total = sum(int((left == r).sum()) * s for r, s in enumerate(sizes))
     if len(base) < 2:
@@ -107,15 +116,17 @@ def _meetings(base: np.ndarray, left: np.ndarray, owner: np.ndarray, free: tuple
         for side in (np.uint64(0), bit):
             same = (base & bit) == side
             keep = same | (left > 0)
-            yield from _meetings(np.where(same, base, base ^ bit)[keep], np.where(same, left, left - 1)[keep], owner[keep], rest)
+            yield from _meetings(np.where(same, base, base ^ bit)[keep], np.where(same, left, left - 1)[keep], owner[keep], rest, odd)
         return
-    parts, owners = [], []
+    parts, owners, spare = [], [], []
     for r in range(len(sizes)):
         own = np.flatnonzero(left == r)
         if len(own):
             ball = _ball(free, r)
             parts.append((base[own][:, None] ^ ball[None, :]).ravel())
             owners.append(np.repeat(owner[own], len(ball)))
+            if odd:
+                spare.append(np.tile(r - np.bitwise_count(ball).astype(np.int8), len(own)))
     v, who = np.concatenate(parts), np.concatenate(owners)
     s = np.sort(v)
     twice = s[1:][s[1:] == s[:-1]]
@@ -127,13 +138,13 @@ def _meetings(base: np.ndarray, left: np.ndarray, owner: np.ndarray, free: tuple
     table[(twice * spread) >> np.uint64(48)] = True
     some = np.flatnonzero(table[(v * spread) >> np.uint64(48)])
     some = some[np.isin(v[some], twice)]
-    some = some[np.lexsort((who[some], v[some]))]
+    some = some[np.lexsort((who[some], -np.concatenate(spare)[some], v[some]) if odd else (who[some], v[some]))]
     first = np.concatenate(([True], v[some][1:] != v[some][:-1]))
     yield who[some], who[some][np.flatnonzero(first)][np.cumsum(first) - 1]
 
 
 def _linker(distance: int, keyed: int):
-    free = tuple(i for i in range(64) if not keyed >> i & 1)
+    free, radius = tuple(i for i in range(64) if not keyed >> i & 1), (distance + 1) // 2
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         base = t["base"].to_numpy().view(np.uint64)
@@ -142,7 +153,7 @@ def _linker(distance: int, keyed: int):
         base, fp = base[order], fp[order]
         flips = np.bitwise_count(base ^ fp).astype(np.int64)
         n, root = len(fp), np.arange(len(fp))
-        for a, b in _meetings(base, distance // 2 - flips, np.arange(n), free):
+        for a, b in _meetings(base, radius - flips, np.arange(n), free, distance % 2 == 1):
             near = np.bitwise_count(fp[a] ^ fp[b]) <= distance
             a, b = a[near], b[near]
             root = _roots(np.concatenate((a, np.arange(n))), np.concatenate((b, root)), n)
@@ -153,15 +164,17 @@ def _linker(distance: int, keyed: int):
 
 def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     """Links (a, b) whose components are those of the fingerprints at ``distance`` or fewer bits."""
-    n = distinct.count()
-    per = 1 + 64 + 64 * 63 // 2 if distance >= 4 else 65
+    if not 0 <= distance <= MAX_DISTANCE:
+        raise ValueError(f"distance {distance} is not from 0 to {MAX_DISTANCE}")
+    n, radius = distinct.count(), (distance + 1) // 2
+    per = sum(comb(64, r) for r in range(radius + 1))
     k = min(MAX_KEY_BITS, max(0, int(np.ceil(np.log2(max(1, n * per / HELD))))) + 1)
     # key bits: those that split the fingerprints most evenly
     ones = distinct.agg(*[F.coalesce(F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(1)), F.lit(0)).alias(f"b{i}") for i in range(64)]).first()
     bits = sorted(sorted(range(64), key=lambda i: abs(2 * ones[i] - n))[:k])
     keyed = sum(1 << i for i in bits)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    flips = F.array(*[F.lit(signed(int(m))).cast("long") for m in _ball(tuple(bits), distance // 2)])
+    flips = F.array(*[F.lit(signed(int(m))).cast("long") for m in _ball(tuple(bits), radius)])
     sent = distinct.select("fp", F.explode(flips).alias("_m")).select("fp", F.col("fp").bitwiseXOR(F.col("_m")).alias("base")) \
         .withColumn("key", F.col("base").bitwiseAND(F.lit(signed(keyed)).cast("long")))
     return sent.groupBy("key").applyInArrow(_linker(distance, keyed), "a long, b long")
