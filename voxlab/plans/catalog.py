@@ -45,6 +45,11 @@ from . import learning  # noqa: E402
 for _n, (_f, _s) in learning.QUERIES.items():
     register(_n, _f, _s)
 
+from . import given  # noqa: E402
+
+for _n, (_f, _s) in given.QUERIES.items():
+    register(_n, _f, _s)
+
 from . import streams  # noqa: E402
 
 for _n, (_f, _s) in streams.QUERIES.items():
