@@ -91,6 +91,36 @@ def test_any_distance_against_brute_force(spark, monkeypatch, distance):
     assert root == brute_components(fps, distance)
 
 
+@pytest.mark.parametrize("distance", [3, 4])
+def test_keys_stay_few_and_variants_are_divided_by_later_bits(spark, monkeypatch, distance):
+    """Rows sent for a fingerprint don't grow with the number of fingerprints, as long as a key's fit."""
+    monkeypatch.setattr("voxlab.llm.simhash.HELD", 1 << 9)
+    fps = planted(40, distance)
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    found = links(df, distance)
+    generated = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "explode" in line]
+    assert len(generated) == 1 and generated[0].count(",") < 1 + 7 + 21 + 5
+    at = {f: i for i, f in enumerate(fps)}
+    root, pairs = list(range(len(fps))), [(at[r.a % (1 << 64)], at[r.b % (1 << 64)]) for r in found.collect()]
+    for _ in fps:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert root == brute_components(fps, distance)
+
+
+def test_one_of_each_shuffles_texts_once(spark, frame):
+    rows = [(i % 50, f"text number {i % 40} of many", "en", "s") for i in range(120)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = one_of_each(frame(rows))
+        assert len(kept.collect()) == len({t for _, t, *_ in rows})
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    final = plan.split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in final and final.count("Exchange") == 2  # the texts and the kept rows
+
+
 def test_distances_that_are_not_spread(spark):
     with pytest.raises(ValueError):
         links(spark.createDataFrame([(1,)], "fp long"), 9)

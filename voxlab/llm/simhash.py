@@ -9,9 +9,9 @@ the input.  So the shuffle is on the leading part of a variant, and only that pa
 of the ball is spread before it: with k key bits, a fingerprint is sent once
 for each way to flip at most two of them (1 + k + k(k-1)/2 rows); the flips
 left over are spread where it arrives, as all variants with that key meet
-there anyway.  k grows with the logarithm of the number of fingerprints so that
-one key's variants fit in memory, and where a crowd of near copies gathers
-under one key, that key is divided bit by bit in the same way.
+there anyway.  A key's variants are divided bit by bit in the same way where they are
+more than a task holds at a time, so k stays small: it grows only where a key's
+fingerprints themselves would be too many.
 
 Members of one variant lie within ``distance`` of each other by the triangle
 inequality, so the links kept from it lead to its least member.  An odd distance
@@ -45,7 +45,8 @@ from .components import components
 SEED = 42
 #: Variants held at a time by one task.
 HELD = 1 << 21
-MAX_KEY_BITS = 24
+#: Key bits that give all tasks their share, and fingerprints of a key beyond which more bits are taken.
+KEY_BITS, MAX_KEY_BITS, GROUP = 7, 24, 1 << 20
 #: Balls beyond half this distance (679,121 variants) aren't spread.
 MAX_DISTANCE = 8
 #: Parts that a component's fingerprints are dealt in where they meet its least id.
@@ -143,14 +144,12 @@ def _meetings(base: np.ndarray, left: np.ndarray, owner: np.ndarray, free: tuple
     yield who[some], who[some][np.flatnonzero(first)][np.cumsum(first) - 1]
 
 
-def _linker(distance: int, keyed: int):
-    free, radius = tuple(i for i in range(64) if not keyed >> i & 1), (distance + 1) // 2
+def _linker(distance: int, bits: list[int], free: tuple[int, ...]):
+    radius, keyed = (distance + 1) // 2, np.uint64(sum(1 << i for i in bits))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        base = t["base"].to_numpy().view(np.uint64)
-        fp = t["fp"].to_numpy().view(np.uint64)
-        order = np.argsort(fp.view(np.int64), kind="stable")
-        base, fp = base[order], fp[order]
+        fp = np.sort(t["fp"].to_numpy()).view(np.uint64)
+        base = fp & ~keyed | np.uint64(key[0].as_py() % (1 << 64))
         flips = np.bitwise_count(base ^ fp).astype(np.int64)
         n, root = len(fp), np.arange(len(fp))
         for a, b in _meetings(base, radius - flips, np.arange(n), free, distance % 2 == 1):
@@ -168,16 +167,20 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
         raise ValueError(f"distance {distance} is not from 0 to {MAX_DISTANCE}")
     n, radius = distinct.count(), (distance + 1) // 2
     per = sum(comb(64, r) for r in range(radius + 1))
-    k = min(MAX_KEY_BITS, max(0, int(np.ceil(np.log2(max(1, n * per / HELD))))) + 1)
-    # key bits: those that split the fingerprints most evenly
+    k = min(KEY_BITS, max(0, int(np.ceil(np.log2(max(1, n * per / HELD))))) + 1)
+    while k < MAX_KEY_BITS and n * sum(comb(k, r) for r in range(radius + 1)) >> k > GROUP:
+        k += 1
+    # key bits: those that split the fingerprints most evenly; a key's variants are divided by the next ones
     ones = distinct.agg(*[F.coalesce(F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(1)), F.lit(0)).alias(f"b{i}") for i in range(64)]).first()
-    bits = sorted(sorted(range(64), key=lambda i: abs(2 * ones[i] - n))[:k])
+    even = sorted(range(64), key=lambda i: abs(2 * ones[i] - n))
+    bits = sorted(even[:k])
     keyed = sum(1 << i for i in bits)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     flips = F.array(*[F.lit(signed(int(m))).cast("long") for m in _ball(tuple(bits), radius)])
-    sent = distinct.select("fp", F.explode(flips).alias("_m")).select("fp", F.col("fp").bitwiseXOR(F.col("_m")).alias("base")) \
-        .withColumn("key", F.col("base").bitwiseAND(F.lit(signed(keyed)).cast("long")))
-    return sent.groupBy("key").applyInArrow(_linker(distance, keyed), "a long, b long")
+    # outside the key a flipped fingerprint is the fingerprint, so the key and that are all that is sent
+    sent = distinct.select("fp", F.explode(flips).alias("_m")) \
+        .select("fp", F.col("fp").bitwiseXOR(F.col("_m")).bitwiseAND(F.lit(signed(keyed)).cast("long")).alias("key"))
+    return sent.groupBy("key").applyInArrow(_linker(distance, bits, tuple(even[k:])), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,10 +213,10 @@ def one_of_each(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str
         .agg(F.min("row_hash").alias("_h")).select("_id", "_h")
     unnamed = rows.where("component_id is null").groupBy("root").agg(F.min("row_hash").alias("_h")) \
         .select(F.lit(None).cast(named.schema["_id"].dataType).alias("_id"), "_h")
-    kept = stage(named.unionByName(unnamed).distinct(), "kept")
+    # a struct is never null, so rows without an id meet by it too, and one shuffle of the texts serves the join and the repeats
+    kept = stage(named.unionByName(unnamed).distinct().select(F.struct("_id", "_h").alias("_row")), "kept")
     cols = docs.columns
     d = docs.toDF(*[f"c{i}" for i in range(len(cols))])
     own, text = F.col(f"c{cols.index(id_col)}"), F.col(f"c{cols.index(text_col)}")
-    d = d.withColumns({"_own": own, "_text": F.xxhash64(text)})
-    d = d.join(kept, d["_own"].eqNullSafe(kept["_id"]) & (d["_text"] == kept["_h"]), "left_semi")
-    return d.dropDuplicates(["_own", "_text"]).drop("_own", "_text").toDF(*cols)
+    d = d.withColumn("_row", F.struct(own.alias("_id"), F.xxhash64(text).alias("_h")).cast(kept.schema["_row"].dataType))
+    return d.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row").toDF(*cols)
