@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from voxlab.llm.langid import Model, grams, identify
-from voxlab.llm.quality import classify, fit, good_documents, scored
+from voxlab.llm.quality import classify, features, fit, good_documents, learn, scored
 
 LANGS = {"en": "the of and house tree window light", "fr": "le des et maison arbre fenêtre lumière", "de": "der und das haus baum fenster licht"}
 
@@ -69,6 +69,30 @@ def test_ranking_orders_pairs():
     assert abs((s >= 0.5).mean() - y.mean()) < 0.02  # the threshold is the quantile of the low share
 
 
+def test_all_pairs_count():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 19))
+    y = (x[:, 1] + rng.normal(size=120) > 0).astype(int)
+    m = fit(x, y)
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -8, 8)
+    d = (z[y == 1][:, None] - z[y == 0][None, :]).reshape(-1, 19)
+    slope = -(d / (1 + np.exp(d @ m["w"]))[:, None]).mean(axis=0) + 1e-3 * m["w"]
+    assert np.abs(slope).max() < 1e-4  # the least loss over every pair
+
+
+def test_model_is_learnt_from_every_labelled_row(spark, frame):
+    """25,000 rows to learn from, more than any sample of 20,000 holds, give the constants of all of them."""
+    rows = [(i, "a" * (i % 7 + 1) + " B" * (i % 5) + "!" * (i % 3), "en", "s") for i in range(37_500)]
+    own = [(i, t) for i, t, *_ in rows if not out(i)]
+    lab = spark.createDataFrame([(i, int(i % 7 + i % 3 > 3), 0) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    kept = {t: features(t) for t in {t for _, t in own}}
+    x, y = np.array([kept[t] for _, t in own]), np.array([int(i % 7 + i % 3 > 3) for i, _ in own])
+    got, want = learn(frame(rows), lab), fit(x, y)
+    assert len(own) > 20_000 and got["low"] == pytest.approx((y == 0).mean())
+    for part in ("mean", "scale", "w", "cut", "unit"):
+        assert got[part] == pytest.approx(want[part], abs=1e-6), part
+
+
 def test_language_on_held_out_rows(frame):
     docs, _ = corpus(300)
     got = {r.doc_id: r for r in identify(frame(docs)).collect()}
