@@ -171,3 +171,14 @@ def test_odd_rows(odd):
 
 def test_empty_table(frame):
     assert near_duplicates(frame([])).collect() == [] and one_of_each(frame([])).collect() == []
+
+
+def test_components_of_stars_take_no_step(spark, monkeypatch):
+    """What is a set of stars already is seen from its least neighbours, without a round that changes nothing."""
+    import voxlab.llm.components as C
+    steps, write = [], C.stage
+    monkeypatch.setattr(C, "stage", lambda df, name: steps.append(name) or write(df, name))
+    stars = [(10 * i + j, 10 * i) for i in range(5) for j in range(1, 4)]
+    got = {r.node: r.root for r in C.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {10 * i + j: 10 * i for i in range(5) for j in range(4)}
+    assert steps == ["links", "least"]

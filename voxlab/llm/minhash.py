@@ -244,12 +244,12 @@ def merge(members: DataFrame, chunk: int, per_bundle: int, make: Callable, perce
     placed = lookup(members, sizes, "grp", total).withColumn("chunk", F.pmod(F.xxhash64("node", "grp"), F.col("chunks")).cast("int")).drop("n")
     cells = placed.select("*", F.col("chunk").cast("long").alias("cell"), F.col("node").alias("class"), F.lit(0).alias("side"))
     bundle = F.pmod(F.xxhash64("grp", "cell"), F.lit(max(1, total // per_bundle)))  # most groups are small: many to a call
-    first = stage(cells.withColumn("_bundle", bundle).groupBy("_bundle").applyInArrow(run, "a long, b long").distinct(), "inner")
+    first = stage(cells.withColumn("_bundle", bundle).groupBy("_bundle").applyInArrow(run, "a long, b long"), "inner")
     large = sizes.where("chunks > 1")
     if large.isEmpty():
         return components(first)
     # groups of several chunks whose members are of several classes
-    roots = stage(components(first), "roots")
+    roots = components(first)
     some = placed.where("chunks > 1").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
     some = stage(some, "large")
     ranked = some.groupBy("grp", "class").agg(F.count(F.lit(1)).alias("k")).groupBy("grp") \
@@ -265,8 +265,11 @@ def merge(members: DataFrame, chunk: int, per_bundle: int, make: Callable, perce
     cell = lambda stray, other: stray.cast("long") * F.lit(1 << 31) + other
     cells = met.select(*keep, "side", cell(F.col("with"), F.col("chunk")).alias("cell")) \
         .unionByName(ours.select(*keep, "side", cell(F.col("chunk"), F.col("_to")).alias("cell")))
-    second = stage(cells.groupBy("grp", "cell").applyInArrow(run, "a long, b long").distinct(), "outer")
-    return components(first.unionByName(second))
+    second = stage(cells.groupBy("grp", "cell").applyInArrow(run, "a long, b long"), "outer")
+    if second.isEmpty():
+        return roots
+    # the classes found so far are stars already
+    return components(second.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, coordinates: int = COORDINATES, matches: int = MATCHES,
