@@ -164,3 +164,22 @@ def test_equal_rows_are_dealt_in_one_division(frame, monkeypatch):
     assert len(got) == len(rows) and len(a) == 500
     assert abs(sum(r.taken for r in a) - a[0].target) <= 1.5
     assert mixed_rows(docs).where("doc_id = 1").count() == sum(r.copies for r in a)
+
+
+def test_texts_stay_where_they_are(frame):
+    """Rows find their copies by their source's cut: no shuffle of the texts once the entries are too many to broadcast."""
+    rows = documents(6000, seed=3)
+    docs = frame(rows + rows[:5] + [(7, "zero one", "en", None)] * 4)
+    conf = docs.sparkSession.conf
+    before = conf.get("spark.sql.autoBroadcastJoinThreshold")
+    conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        got = mixed_rows(docs)
+        n, plan = got.groupBy("doc_id", "text", "source").count().collect(), None
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        want = mix(docs).groupBy("doc_id", "source", "row_key").agg(F.sum("copies").alias("n")).where("n > 0").collect()
+    finally:
+        conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((str(r.doc_id), str(r.source), r["count"]) for r in n) == sorted((str(r.doc_id), str(r.source), r.n) for r in want)
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") <= 1  # equal rows alone

@@ -155,12 +155,18 @@ def _drawn(entries: DataFrame) -> DataFrame:
     return _of_source(out, lacks).withColumn("drawn", F.col("drawn") + one.cast("long")).drop("_least")
 
 
-def mixed_entries(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat: float = 3.0, id_col: str = "doc_id",
-                  text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
-    """Per distinct (source, id, text): n rows, ``whole`` copies of each of them, ``drawn`` of them once more.
+def _rank(size: Column, row_key: Column, seed: int) -> Column:
+    """Rank of an entry in its source's order; beside it stand the source's ``rest`` and ``size2``."""
+    u = (F.pmod(F.xxhash64(row_key, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    p = F.least(F.lit(1.0), F.col("rest") * size / F.greatest(F.col("size2"), F.lit(1.0)))
+    # the rank key q / (1 + q) of q = u (1 - p) / ((1 - u) p) lies in [0, 1] and keeps the order
+    a, b = u * (1 - p), (1 - u) * p
+    return F.floor(F.when(p > 0, a / (a + b)).otherwise(F.lit(1.0)) * F.lit(float((1 << (LEVEL_BITS * LEVELS)) - 1))).cast("long")
 
-    ``row_key`` is a hash of id and text, for joining back to the rows.
-    """
+
+def _ranked_entries(docs: DataFrame, weights: tuple[float, ...], max_repeat: float, id_col: str, text_col: str, source_col: str,
+                    seed: int) -> tuple[DataFrame, DataFrame]:
+    """The entries with ``_rank`` and ``rest``, and per source what ranks them."""
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     sizes = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                               word_count(F.col(text_col)).alias("size"), key.alias("row_key")), "sizes")
@@ -168,12 +174,17 @@ def mixed_entries(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_r
     t = targets.withColumn("whole", F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))))
     t = t.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     rows = _of_source(sizes.groupBy("source", "doc_id", "size", "row_key").agg(F.count(F.lit(1)).alias("n")), t)
-    u = (F.pmod(F.xxhash64(F.col("row_key"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    p = F.least(F.lit(1.0), F.col("rest") * F.col("size") / F.greatest(F.col("size2"), F.lit(1.0)))
-    # the rank key q / (1 + q) of q = u (1 - p) / ((1 - u) p) lies in [0, 1] and keeps the order
-    a, b = u * (1 - p), (1 - u) * p
-    rows = rows.withColumn("_rank", F.floor(F.when(p > 0, a / (a + b)).otherwise(F.lit(1.0)) * F.lit(float((1 << (LEVEL_BITS * LEVELS)) - 1))).cast("long"))
-    return _drawn(stage(rows.drop("size2"), "ranked")).drop("_rank", "rest")
+    rows = rows.withColumn("_rank", _rank(F.col("size"), F.col("row_key"), seed))
+    return _drawn(stage(rows.drop("size2"), "ranked")), t
+
+
+def mixed_entries(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat: float = 3.0, id_col: str = "doc_id",
+                  text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
+    """Per distinct (source, id, text): n rows, ``whole`` copies of each of them, ``drawn`` of them once more.
+
+    ``row_key`` is a hash of id and text, for joining back to the rows.
+    """
+    return _ranked_entries(docs, weights, max_repeat, id_col, text_col, source_col, seed)[0].drop("_rank", "rest")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat: float = 3.0, id_col: str = "doc_id",
@@ -190,23 +201,33 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat: flo
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat: float = 3.0, id_col: str = "doc_id",
-               text_col: str = "text", source_col: str = "source", copy_col: str = "copy") -> DataFrame:
+               text_col: str = "text", source_col: str = "source", copy_col: str = "copy", seed: int = 7) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it has copies, numbered from 1 in ``copy_col``.
 
-    Rows are met by id and text hash.  Of rows equal in id, text and source one stands
-    for all: it is repeated as often as all of them together.  Only such rows are looked
-    through for repeats; the others move once, to meet their number of copies.
+    Nearly all rows find their number of copies where they stand: in a source's order all that fit are
+    taken up to the first entry that doesn't, which is one rank a source.  What is taken after
+    it has fewer words than that entry in all; those entries, and rows equal in id, text and source, of which
+    one stands for all and is repeated as often as all of them together, are met by id and text hash.
     """
     cols = docs.columns
     names = [f"c{i}" for i in range(len(cols))]
     own = [names[cols.index(c)] for c in (id_col, text_col, source_col)]
-    entries = mixed_entries(docs.select(*[F.col(c) for c in (id_col, text_col, source_col)]), weights, max_repeat, id_col, text_col, source_col)
-    each = entries.where("size > 0").select("row_key", F.col("source").alias("_s"), "n", (F.col("whole") * F.col("n") + F.col("drawn")).alias("_sum"))
-    each = stage(each.where("_sum > 0"), "copies")
+    entries, sources = _ranked_entries(docs.select(*[F.col(c) for c in (id_col, text_col, source_col)]), weights, max_repeat, id_col, text_col, source_col, seed)
+    entries = stage(entries.where("size > 0"), "entries")
+    fits = F.col("size") <= F.col("rest")
+    cut = stage(entries.where(fits & (F.col("drawn") < F.col("n"))).groupBy("source").agg(F.min("_rank").alias("_cut")), "cut")
+    first = fits & (F.col("_cut").isNull() | (F.col("_rank") < F.col("_cut")))
+    others = _of_source(entries, cut).where((F.col("n") > 1) | (F.col("drawn") != first.cast("long")))
+    others = stage(others.select("row_key", F.col("source").alias("_s"), "n", (F.col("whole") * F.col("n") + F.col("drawn")).alias("_sum")), "others")
+    rule = stage(_of_source(sources, cut).select("source", "whole", "rest", "size2", "_cut"), "rule")
     d = docs.toDF(*names).withColumns({"_key": F.xxhash64(own[0], own[1]), "_from": F.col(own[2]).cast("string")})
 
-    def met(some: DataFrame) -> DataFrame:
-        return d.join(some, (d["_key"] == some["row_key"]) & d["_from"].eqNullSafe(some["_s"]))
-    one = met(each.where("n = 1")).unionByName(met(each.where("n > 1")).dropDuplicates(["_key", "_from"]))
-    out = one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_sum").cast("int"))))
+    def met(some: DataFrame, how: str = "inner") -> DataFrame:
+        return d.join(some, (d["_key"] == some["row_key"]) & d["_from"].eqNullSafe(some["_s"]), how)
+    here = met(others, "left").where("n is null or n = 1").select(*names, "_key", "_from", "_sum", word_count(F.col(own[1])).alias("size"))
+    here = here.join(rule, here["_from"].eqNullSafe(rule["source"])).withColumn("_rank", _rank(F.col("size"), F.col("_key"), seed))
+    usual = F.when(F.col("size") > 0, F.col("whole") + first.cast("long")).otherwise(0)
+    here = here.select(*names, F.coalesce(F.col("_sum"), usual).alias("_sum"))
+    repeated = met(others.where("n > 1")).dropDuplicates(["_key", "_from"]).select(*names, "_sum")
+    out = here.unionByName(repeated).where("_sum > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_sum").cast("int"))))
     return out.select(*names, "_copy").toDF(*cols, copy_col)

@@ -44,7 +44,7 @@ from .components import components
 
 SEED = 42
 #: Variants held at a time by one task.
-HELD = 1 << 21
+HELD = 1 << 19
 #: Key bits that give all tasks their share, and fingerprints of a key beyond which more bits are taken.
 KEY_BITS, MAX_KEY_BITS, GROUP = 7, 24, 1 << 20
 #: Balls beyond half this distance (679,121 variants) aren't spread.
