@@ -50,19 +50,24 @@ BLOCK = 4096
 
 
 def stencil(df: DataFrame, cols: Sequence[str], offsets: Sequence[int], rec: str = REC, i: str = "i",
-            keep: Sequence[str] = ()) -> DataFrame:
+            keep: Sequence[str] = (), dense: bool = False) -> DataFrame:
     """Neighbour values as columns: ``<c>_<o>`` = value of ``c`` at ``i + o``.
 
     Positions are cut into blocks of ``BLOCK``; only rows within reach of an edge
     are copied to the next block, so about 1 + reach / BLOCK copies are
     shuffled and a long recording is spread over all tasks.  One sort per block
     serves all offsets.  Missing neighbours are null; offsets stay below BLOCK.
+    ``dense``: positions are those of ``dense_index`` (none missing or twice), so
+    a neighbour is that many rows away.
     """
     offs = sorted({0, *offsets})
     at = lambda d: block_bucket(F.col(i) - F.lit(d), BLOCK)
     rows = df.select(rec, i, *cols, *keep, F.explode(F.array_distinct(F.array(at(offs[-1]), at(0), at(offs[0])))).alias("_vx_blk"))
     w = Window.partitionBy(rec, "_vx_blk").orderBy(i)
-    near = {f"{c}_{_tag(o)}": F.max(c).over(w.rangeBetween(o, o)) for o in offs for c in cols}
+    if dense:
+        near = {f"{c}_{_tag(o)}": F.lead(c, o).over(w) if o else F.col(c) for o in offs for c in cols}
+    else:
+        near = {f"{c}_{_tag(o)}": F.max(c).over(w.rangeBetween(o, o)) for o in offs for c in cols}
     return rows.withColumns(near).where(F.col("_vx_blk") == at(0)).select(rec, i, *near, *keep)
 
 
@@ -96,6 +101,15 @@ def voiced_series(frames: DataFrame, f0: str = "f0", order: str = "frame_idx", r
     return dense_index(v, order, rec)
 
 
+def ranked_voiced(frames: DataFrame, f0: str = "f0", order: str = "frame_idx", rec: str = REC) -> DataFrame:
+    """``voiced_series`` whose rows carry their recording's number of voiced frames ``n``, mean ``mu``
+    and range ``lo``, ``hi``, met once for all measures that need them."""
+    v = voiced_series(frames, f0, order, rec)
+    st = voiced(frames, f0).select(rec, F.col(f0).cast("double").alias("x")).groupBy(rec).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mu"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return with_constants(v, st, rec)
+
+
 def lag_diff(df: DataFrame, x: str, rec: str = REC, i: str = "i", out: str | None = None) -> DataFrame:
     """``x_i - x_{i-1}`` along the dense index (null for the first row)."""
     s = stencil(df, [x], [-1], rec, i)
@@ -171,7 +185,7 @@ def spreads(frames: DataFrame, f0: str = "f0", rec: str = REC) -> DataFrame:
 # Histogram density and normalised entropy
 # ---------------------------------------------------------------------------
 
-def histogram_density(df: DataFrame, x: str, rec: str = REC, max_bins: int = C.HIST_MAX_BINS) -> DataFrame:
+def histogram_density(df: DataFrame, x: str, rec: str = REC, max_bins: int = C.HIST_MAX_BINS, known: bool = False) -> DataFrame:
     """Equal-width histogram per group with density values.
 
     bins = min(max_bins, n div 2) over [min, max]; the last bin is closed on
@@ -179,16 +193,21 @@ def histogram_density(df: DataFrame, x: str, rec: str = REC, max_bins: int = C.H
     edges are ``lo + k * (hi - lo) / bins`` (last edge = hi) and a value's bin
     is the scaled index corrected against those edges, so values lying on an
     edge fall exactly where numpy puts them.  density = count / width / n.
-    Output ``(rec, bin, count, density, n, bins)``.
+    Output ``(rec, bin, count, density, n, bins)``.  ``known``: the rows carry
+    their group's size ``n`` and the extremes ``lo``, ``hi`` of ``x``.
     """
-    st = df.groupBy(rec).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    st = df.select(rec, F.col(x).alias("_vx_x"), "n", "lo", "hi") if known else \
+        df.groupBy(rec).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
     st = st.withColumn("bins", F.least(F.lit(max_bins), F.floor(F.col("n") / 2)).cast("int"))
     st = st.withColumns({
         "lo_e": F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.col("lo") - 0.5),
         "hi_e": F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("hi") + 0.5)})
     st = st.withColumn("step", (F.col("hi_e") - F.col("lo_e")) / F.col("bins"))
-    spread = [F.col(c).alias("_vx_at") for c in ("frame_idx", "i") if c in df.columns][:1]
-    j = with_constants(df.select(rec, F.col(x).alias("_vx_x"), *spread), st.where(F.col("bins") > 0), rec)
+    if known:
+        j = st.where(F.col("bins") > 0)
+    else:
+        spread = [F.col(c).alias("_vx_at") for c in ("frame_idx", "i") if c in df.columns][:1]
+        j = with_constants(df.select(rec, F.col(x).alias("_vx_x"), *spread), st.where(F.col("bins") > 0), rec)
     bins, lo_e, hi_e, step, v = F.col("bins"), F.col("lo_e"), F.col("hi_e"), F.col("step"), F.col("_vx_x")
 
     def edge(k):
@@ -219,23 +238,30 @@ def _index(df: DataFrame) -> list[str]:
     return [c for c in ("frame_idx",) if c in df.columns]
 
 
-def rpde(frames: DataFrame, f0: str = "f0", rec: str = REC) -> DataFrame:
-    """Normalised density entropy of voiced f0; 0.5 when n <= 10."""
-    v = voiced(frames, f0).select(rec, F.col(f0).cast("double").alias("x"), *_index(frames))
+def rpde(frames: DataFrame, f0: str = "f0", rec: str = REC, series: DataFrame | None = None) -> DataFrame:
+    """Normalised density entropy of voiced f0; 0.5 when n <= 10.  ``series``: ``ranked_voiced`` of the frames."""
+    v = series if series is not None else voiced(frames, f0).select(rec, F.col(f0).cast("double").alias("x"), *_index(frames))
     n = v.groupBy(rec).agg(F.count(F.lit(1)).alias("n"))
-    ent = density_entropy(histogram_density(v, "x", rec), rec)
+    ent = density_entropy(histogram_density(v, "x", rec, known=series is not None), rec)
     j = recordings(frames, rec).join(n, rec, "left").join(ent, rec, "left")
     return j.select(rec, when_enough(F.coalesce(F.col("n"), F.lit(0)), 10, F.col("entropy"), C.DEFAULT_RPDE).alias("RPDE"))
 
 
-def ppe(frames: DataFrame, f0: str = "f0", rec: str = REC) -> DataFrame:
-    """Entropy of min-max normalised periods 1/(f0 + 1e-6); 0.2 when n <= 10."""
-    v = voiced(frames, f0).select(rec, guarded_reciprocal(F.col(f0).cast("double"), 1e-6).alias("period"), *_index(frames))
-    st = v.groupBy(rec).agg(F.count(F.lit(1)).alias("n"), F.min("period").alias("pmin"), F.max("period").alias("pmax"))
-    pn = with_constants(v, st, rec).select(rec, ((F.col("period") - F.col("pmin")) / ((F.col("pmax") - F.col("pmin")) + F.lit(1e-6))).alias("pn"),
-                                           *_index(v))
-    ent = density_entropy(histogram_density(pn, "pn", rec), rec)
-    j = recordings(frames, rec).join(st.select(rec, "n"), rec, "left").join(ent, rec, "left")
+def ppe(frames: DataFrame, f0: str = "f0", rec: str = REC, series: DataFrame | None = None) -> DataFrame:
+    """Entropy of min-max normalised periods 1/(f0 + 1e-6); 0.2 when n <= 10.  ``series``: ``ranked_voiced`` of the frames."""
+    norm = lambda p: (p - F.col("pmin")) / ((F.col("pmax") - F.col("pmin")) + F.lit(1e-6))
+    if series is not None:
+        # periods fall as f0 rises, so the range of f0 gives theirs
+        v = series.select(rec, "n", *[guarded_reciprocal(F.col(c), 1e-6).alias(p) for c, p in (("x", "period"), ("hi", "pmin"), ("lo", "pmax"))])
+        n = v.groupBy(rec).agg(F.count(F.lit(1)).alias("n"))
+        pn = v.select(rec, "n", *[norm(F.col(p)).alias(c) for p, c in (("period", "pn"), ("pmin", "lo"), ("pmax", "hi"))])
+    else:
+        v = voiced(frames, f0).select(rec, guarded_reciprocal(F.col(f0).cast("double"), 1e-6).alias("period"), *_index(frames))
+        st = v.groupBy(rec).agg(F.count(F.lit(1)).alias("n"), F.min("period").alias("pmin"), F.max("period").alias("pmax"))
+        n = st.select(rec, "n")
+        pn = with_constants(v, st, rec).select(rec, norm(F.col("period")).alias("pn"), *_index(v))
+    ent = density_entropy(histogram_density(pn, "pn", rec, known=series is not None), rec)
+    j = recordings(frames, rec).join(n, rec, "left").join(ent, rec, "left")
     return j.select(rec, when_enough(F.coalesce(F.col("n"), F.lit(0)), 10, F.col("entropy"), C.DEFAULT_PPE).alias("PPE"))
 
 
@@ -262,7 +288,10 @@ def dfa_signal(frames: DataFrame, samples: DataFrame | None = None, f0: str = "f
                rec: str = REC, series: DataFrame | None = None) -> DataFrame:
     """Series used by DFA: voiced f0 when a recording has more than 20 voiced
     frames, else its first 2,000 raw samples.  Output ``(rec, i, x)``.
-    ``series``: an already ranked voiced series ``(rec, i, x)``."""
+    ``series``: an already ranked voiced series ``(rec, i, x)``; where it is that of
+    ``ranked_voiced`` and there are no samples, its ``n`` and ``mu`` are kept."""
+    if samples is None and series is not None and {"n", "mu"} <= set(series.columns):
+        return series.where((F.col("n") > 20) & F.col(rec).isNotNull()).select(rec, "i", "x", "n", "mu")
     v = (series if series is not None else voiced_series(frames, f0, rec=rec)).select(rec, "i", "x")
     nv = v.groupBy(rec).agg(F.count(F.lit(1)).alias("_vx_nv"))
     long_v = with_constants(v, nv.where(F.col("_vx_nv") > 20), rec).select(rec, "i", "x")
@@ -284,11 +313,14 @@ def dfa(signal: DataFrame, rec: str = REC, all_recordings: DataFrame | None = No
     ln(F + 1e-12) on ln(s), clipped to [0.3, 0.95]; 0.6 when L <= 20 or
     fewer than 3 scales.
     """
-    st = signal.groupBy(rec).agg(F.count(F.lit(1)).alias("L"), F.avg("x").alias("mu"))
-    st = st.where(F.col("L") > 20).withColumn("scales", geometric_scales(F.col("L")))
-    # one join brings mean, length and scales; they ride along the running sum
-    c = with_constants(signal, st, rec).withColumn("_vx_d", F.col("x") - F.col("mu"))
-    y = prefix_sums(c, [rec], ["i"], block_bucket(F.col("i")), {"y": F.col("_vx_d")})
+    # mean and length ride along the running sum; one join brings them where they don't come with the signal
+    if {"n", "mu"} <= set(signal.columns):
+        c = signal.withColumnRenamed("n", "L").where(F.col("L") > 20)
+    else:
+        st = signal.groupBy(rec).agg(F.count(F.lit(1)).alias("L"), F.avg("x").alias("mu"))
+        c = with_constants(signal, st.where(F.col("L") > 20), rec)
+    c = c.withColumn("_vx_d", F.col("x") - F.col("mu"))
+    y = prefix_sums(c, [rec], ["i"], block_bucket(F.col("i")), {"y": F.col("_vx_d")}).withColumn("scales", geometric_scales(F.col("L")))
     seg = y.select(rec, "i", "y", "L", F.explode("scales").alias("s"))
     seg = segment(seg, F.col("s"), "L").withColumn("k", F.col("k").cast("double"))
     per = seg.groupBy(rec, "s", "seg").agg(
@@ -334,27 +366,36 @@ def jitter(pulses: DataFrame, t_min: float = C.JITTER_T_MIN, t_max: float = C.JI
     centred mean of 3 / 5| / mean T; DDP = 3 RAP.  Mean T is over periods
     inside the limits.  All 0.0 when nothing qualifies.
     """
-    T = periods(pulses, rec)
-    s = stencil(T, ["T"], [-2, -1, 1, 2], rec)
-    ok = {o: F.col(f"T_{_tag(o)}").isNotNull() & F.col(f"T_{_tag(o)}").between(t_min, t_max) for o in (-2, -1, 0, 1, 2)}
-    rat = {(o, o + 1): _ratio_ok(F.col(f"T_{_tag(o)}"), F.col(f"T_{_tag(o + 1)}"), max_ratio) for o in (-2, -1, 0, 1)}
-    t = {o: F.col(f"T_{_tag(o)}") for o in (-2, -1, 0, 1, 2)}
+    p = dense_index(pulses.select(rec, "pulse_idx", "t"), "pulse_idx", rec)
+    agg = stencil(p, ["t"], range(-2, 4), rec, dense=True).groupBy(rec).agg(*_jitter_terms(t_min, t_max, max_ratio))
+    return recordings(pulses, rec).join(agg, rec, "left").select(rec, *_jitter_values())
+
+
+def _jitter_terms(t_min: float, t_max: float, max_ratio: float) -> list[Column]:
+    """The sums of ``jitter`` over pulse times at j - 2 .. j + 3."""
+    t = {o: F.col(f"t_{_tag(o + 1)}") - F.col(f"t_{_tag(o)}") for o in (-2, -1, 0, 1, 2)}  # the period from pulse j + o on
+    ok = {o: p.isNotNull() & p.between(t_min, t_max) for o, p in t.items()}
+    rat = {(o, o + 1): _ratio_ok(t[o], t[o + 1], max_ratio) for o in (-2, -1, 0, 1)}
     loc_ok = ok[-1] & ok[0] & rat[(-1, 0)]
     rap_ok = ok[-1] & ok[0] & ok[1] & rat[(-1, 0)] & rat[(0, 1)]
     ppq_ok = rap_ok & ok[-2] & ok[2] & rat[(-2, -1)] & rat[(1, 2)]
-    agg = s.groupBy(rec).agg(
+    return [
         F.avg(F.when(ok[0], t[0])).alias("mean_T"),
         F.avg(F.when(loc_ok, F.abs(t[0] - t[-1]))).alias("abs_"),
         F.avg(F.when(rap_ok, F.abs(t[0] - (t[-1] + t[0] + t[1]) / 3.0))).alias("rap_"),
-        F.avg(F.when(ppq_ok, F.abs(t[0] - (t[-2] + t[-1] + t[0] + t[1] + t[2]) / 5.0))).alias("ppq_"))
-    g = lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
-    out = recordings(pulses, rec).join(agg, rec, "left")
-    return out.select(rec,
-                      g(F.col("abs_") / F.col("mean_T")).alias("jitter_local"),
-                      g(F.col("abs_")).alias("jitter_abs"),
-                      g(F.col("rap_") / F.col("mean_T")).alias("jitter_rap"),
-                      g(F.col("ppq_") / F.col("mean_T")).alias("jitter_ppq5"),
-                      g(F.lit(3.0) * F.col("rap_") / F.col("mean_T")).alias("jitter_ddp"))
+        F.avg(F.when(ppq_ok, F.abs(t[0] - (t[-2] + t[-1] + t[0] + t[1] + t[2]) / 5.0))).alias("ppq_")]
+
+
+def _or_zero(c: Column) -> Column:
+    return F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
+
+
+def _jitter_values() -> list[Column]:
+    return [_or_zero(F.col("abs_") / F.col("mean_T")).alias("jitter_local"),
+            _or_zero(F.col("abs_")).alias("jitter_abs"),
+            _or_zero(F.col("rap_") / F.col("mean_T")).alias("jitter_rap"),
+            _or_zero(F.col("ppq_") / F.col("mean_T")).alias("jitter_ppq5"),
+            _or_zero(F.lit(3.0) * F.col("rap_") / F.col("mean_T")).alias("jitter_ddp")]
 
 
 def shimmer(pulses: DataFrame, t_min: float = C.JITTER_T_MIN, t_max: float = C.JITTER_T_MAX,
@@ -371,8 +412,17 @@ def shimmer(pulses: DataFrame, t_min: float = C.JITTER_T_MIN, t_max: float = C.J
     qualifies.
     """
     p = dense_index(pulses.select(rec, "pulse_idx", "t", "amp"), "pulse_idx", rec)
-    offs = list(range(-5, 7))
-    s = stencil(p, ["t", "amp"], offs, rec)
+    agg = stencil(p, ["t", "amp"], SHIMMER_REACH, rec, dense=True).groupBy(rec).agg(*_shimmer_terms(t_min, t_max, max_ratio, max_amp_ratio))
+    return recordings(pulses, rec).join(agg, rec, "left").select(rec, *_shimmer_values())
+
+
+#: Pulses around one that its shimmer terms read; those of jitter are among them.
+SHIMMER_REACH = range(-5, 7)
+
+
+def _shimmer_terms(t_min: float, t_max: float, max_ratio: float, max_amp_ratio: float) -> list[Column]:
+    """The sums of ``shimmer`` over pulses at j - 5 .. j + 6."""
+    offs = SHIMMER_REACH
     t = {o: F.col(f"t_{_tag(o)}") for o in offs}
     a = {o: F.col(f"amp_{_tag(o)}") for o in offs}
     per = {o: t[o + 1] - t[o] for o in range(-5, 6)}  # period between pulse o and o+1
@@ -390,20 +440,29 @@ def shimmer(pulses: DataFrame, t_min: float = C.JITTER_T_MIN, t_max: float = C.J
         m = sum((a[o] for o in range(-h, h + 1)), F.lit(0.0)) / float(2 * h + 1)
         return F.avg(F.when(window_ok(-h, h), F.abs(a[0] - m)))
 
-    agg = s.groupBy(rec).agg(
+    return [
         F.avg(a[0]).alias("mean_A"),
         F.avg(F.when(window_ok(-1, 0), F.abs(a[0] - a[-1]))).alias("loc_"),
         F.avg(F.when(window_ok(-1, 0), F.abs(F.lit(20.0) * F.log10(F.try_divide(a[0], a[-1]))))).alias("db_"),
-        apq(1).alias("apq3_"), apq(2).alias("apq5_"), apq(5).alias("apq11_"))
-    g = lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
-    out = recordings(pulses, rec).join(agg, rec, "left")
-    return out.select(rec,
-                      g(F.col("loc_") / F.col("mean_A")).alias("shimmer_local"),
-                      g(F.col("db_")).alias("shimmer_db"),
-                      g(F.col("apq3_") / F.col("mean_A")).alias("shimmer_apq3"),
-                      g(F.col("apq5_") / F.col("mean_A")).alias("shimmer_apq5"),
-                      g(F.col("apq11_") / F.col("mean_A")).alias("shimmer_apq11"),
-                      g(F.lit(3.0) * F.col("apq3_") / F.col("mean_A")).alias("shimmer_dda"))
+        apq(1).alias("apq3_"), apq(2).alias("apq5_"), apq(5).alias("apq11_")]
+
+
+def _shimmer_values() -> list[Column]:
+    return [_or_zero(F.col("loc_") / F.col("mean_A")).alias("shimmer_local"),
+            _or_zero(F.col("db_")).alias("shimmer_db"),
+            _or_zero(F.col("apq3_") / F.col("mean_A")).alias("shimmer_apq3"),
+            _or_zero(F.col("apq5_") / F.col("mean_A")).alias("shimmer_apq5"),
+            _or_zero(F.col("apq11_") / F.col("mean_A")).alias("shimmer_apq11"),
+            _or_zero(F.lit(3.0) * F.col("apq3_") / F.col("mean_A")).alias("shimmer_dda")]
+
+
+def jitter_shimmer(pulses: DataFrame, t_min: float = C.JITTER_T_MIN, t_max: float = C.JITTER_T_MAX, max_ratio: float = C.JITTER_MAX_RATIO,
+                   max_amp_ratio: float = C.SHIMMER_MAX_AMP_RATIO, rec: str = REC) -> DataFrame:
+    """``jitter`` and ``shimmer`` of every recording that has an id, from one ranking and one stencil."""
+    p = dense_index(pulses.where(F.col(rec).isNotNull()).select(rec, "pulse_idx", "t", "amp"), "pulse_idx", rec)
+    agg = stencil(p, ["t", "amp"], SHIMMER_REACH, rec, dense=True).groupBy(rec).agg(
+        *_jitter_terms(t_min, t_max, max_ratio), *_shimmer_terms(t_min, t_max, max_ratio, max_amp_ratio))
+    return agg.select(rec, *_jitter_values(), *_shimmer_values())
 
 
 # ---------------------------------------------------------------------------

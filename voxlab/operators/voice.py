@@ -1,14 +1,15 @@
 """The full voice-feature row per recording.
 
 All measures are computed from the same long tables and joined on
-``recording_id`` (one row per recording on every side).  The inputs are
-written once to the shared checkpoint folder because about ten measures
-read them.
+``recording_id`` (one row per recording on every side).  The frames and the ranked
+voiced series, whose rows carry their recording's constants, are written once to
+the shared checkpoint folder because about ten measures read them; the pulses are
+ranked once for jitter and shimmer together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,22 +49,22 @@ MEASURE_TO_FEATURE = {
 }
 
 
-def voice_measures(frames: DataFrame, pulses: DataFrame, samples: DataFrame | None = None,
+def voice_measures(frames: DataFrame, pulses: DataFrame | Callable[[DataFrame], DataFrame], samples: DataFrame | None = None,
                    materialise: bool = True) -> DataFrame:
-    """All 22 measures per recording, measure-named columns."""
+    """All 22 measures per recording, measure-named columns.  ``pulses`` may be what makes them from the written frames."""
     if materialise:
         frames = cut_lineage(frames)
-        pulses = cut_lineage(pulses)
+    if callable(pulses):
+        pulses = pulses(frames)
     recs = SG.recordings(frames)
-    # the ranked voiced series feeds DFA and D2
-    vs = cut_lineage(SG.voiced_series(frames)) if materialise else SG.voiced_series(frames)
+    # the ranked voiced series feeds RPDE, PPE, DFA and D2
+    vs = cut_lineage(SG.ranked_voiced(frames)) if materialise else SG.ranked_voiced(frames)
     parts = [
         SG.f0_summary(frames).drop("n_voiced"),
-        SG.jitter(pulses).withColumn("jitter_percent", to_percent("jitter_local")).drop("jitter_local"),
-        SG.shimmer(pulses),
+        SG.jitter_shimmer(pulses).withColumn("jitter_percent", to_percent("jitter_local")).drop("jitter_local"),
         SG.harmonicity(frames) if "r" in frames.columns else
         recs.select(REC, F.lit(0.0).alias("HNR"), F.lit(C.DEFAULT_NHR).alias("NHR")),
-        SG.rpde(frames), SG.ppe(frames), SG.spreads(frames),
+        SG.rpde(frames, series=vs), SG.ppe(frames, series=vs), SG.spreads(frames),
         SG.dfa(SG.dfa_signal(frames, samples, series=vs), all_recordings=recs),
         correlation_dimension(frames, series=vs),
     ]
@@ -73,7 +74,7 @@ def voice_measures(frames: DataFrame, pulses: DataFrame, samples: DataFrame | No
     return out
 
 
-def voice_features(frames: DataFrame, pulses: DataFrame, samples: DataFrame | None = None,
+def voice_features(frames: DataFrame, pulses: DataFrame | Callable[[DataFrame], DataFrame], samples: DataFrame | None = None,
                    feats: Sequence[str] = C.LABELLED_FEATURES, materialise: bool = True) -> DataFrame:
     """One row per recording with exactly ``feats`` (in order): the measured
     value where a measure maps to the name, 0.0 otherwise."""

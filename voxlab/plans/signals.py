@@ -307,10 +307,9 @@ QUERIES = {
 
 def q_voice_features(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.voice import voice_features
-    from ..session import cut_lineage
     from ..sources.tables import pulses_from_frames
-    fr = cut_lineage(frames_r(spark, sf))          # ranked once; pulses derive from it
-    v = voice_features(fr, pulses_from_frames(fr), materialise=True)
+    # the frames are ranked and written once; pulses derive from them
+    v = voice_features(frames_r(spark, sf), pulses_from_frames, materialise=True)
     # same per-measure rounding as the single-measure queries
     digits = {"MDVP:Fo(Hz)": 4, "DFA": 5, "MDVP:Jitter(Abs)": 9, "MDVP:RAP": 9, "MDVP:PPQ": 9, "Jitter:DDP": 9}
     cols = []
