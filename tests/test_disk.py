@@ -5,7 +5,8 @@ import os
 from pyspark.sql import functions as F
 
 from voxlab.operators import sampling as S
-from voxlab.session import cut_lineage, drop_cut
+from voxlab.plans import learning
+from voxlab.session import cut_lineage, drop_cut, ensure_checkpoint_dir
 from voxlab.sources.tables import labelled_events
 
 from conftest import SF_SMALL
@@ -67,3 +68,17 @@ def test_joined_events_shuffle_no_text(spark):
     plan = labelled_events(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     join = plan.index("Join")
     assert "get_json_object" in plan[join:] and "get_json_object" not in plan[:join] and "event_type" not in plan[:join]
+
+
+def test_boosted_fit_keeps_neither_copies_of_predictions_nor_its_training_table(spark):
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    seen = []
+    real, learning.drop_cut = learning.drop_cut, lambda df: (seen.append(df._vx_cut), real(df))
+    try:
+        model, te = learning._fit_boosted(spark, SF_SMALL)
+    finally:
+        learning.drop_cut = real
+    assert model.getNumTrees == 20 and te.count() > 0
+    assert len(seen) == 1 and not os.path.exists(seen[0].removeprefix("file:"))
+    assert not [d for d in set(os.listdir(root)) - before if d.startswith("rdd-")]
